@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, token_output
+from . import chat, mixing, ngram_join, sharding, token_output
 from .common import table, word_count
 
 
@@ -80,6 +80,10 @@ FROM x GROUP BY conv_id
 """
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), n=3, a=90, b=100)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_output.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
     return token_output.token_digests(token_output.read_tokens(spark, path))
@@ -89,5 +93,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op5_token_output": op5_token_output, "op9_sharding": op9_sharding}
+QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op9_sharding": op9_sharding}
 ORACLE = {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL}
