@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, sharding, token_output
+from . import chat, mixing, ngram_join, sharding, substring, token_output
 from .common import table, word_count
 
 
@@ -93,5 +93,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op9_sharding": op9_sharding}
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op9_sharding": op9_sharding, "op10_substring": op10_substring}
 ORACLE = {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL}
