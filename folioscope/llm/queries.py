@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, sharding, substring, token_output
+from . import chat, mixing, near_vectors, ngram_join, sharding, substring, token_output
 from .common import table, word_count
 
 
@@ -89,6 +89,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(token_output.read_tokens(spark, path))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_groups(table(spark, sf_dir, "embeddings"), least_cosine=0.93)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -97,5 +101,5 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op9_sharding": op9_sharding, "op10_substring": op10_substring}
+QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op7_near_vectors": op7_near_vectors, "op9_sharding": op9_sharding, "op10_substring": op10_substring}
 ORACLE = {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL}
