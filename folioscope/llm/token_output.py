@@ -10,7 +10,7 @@ small row each.
 
 from __future__ import annotations
 
-import re
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import shared_dir
+from .words import batches_of, hash_pieces, text_bytes
 
 #: Row groups of about this size in memory, and pages of at most this size.
 WRITE_OPTIONS = {
@@ -30,74 +31,107 @@ WRITE_OPTIONS = {
     "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(2 << 20), "compression": "zstd",
 }
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, token_ids array<int>"
-#: Distinct white-space-free pieces whose ids a task remembers; beyond, it starts anew.
-REMEMBERED = 400_000
-#: Documents and bytes of text for each batch that a task hands on.
-BATCH_DOCS, BATCH_BYTES = 1000, 4 << 20
+#: Distinct pieces whose ids a worker remembers (about 30 bytes each); beyond, it starts anew.
+REMEMBERED = 2_000_000
+#: Rows and bytes of text that are encoded at once.
+ROWS, BYTES = 1000, 1 << 20
+#: Texts with this, which special tokens begin with, are given to the tokenizer whole.
+SPECIAL = b"<|"
 
-
-#: What str.split() takes for white space and the vocabulary's pre-tokenizer does not.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-
-
-def pieces_of(text: str) -> list[str]:
-    if any(c in text for c in SEPARATORS):
-        return [p for p in WHITE.split(text) if p]
-    return text.split()
+# classes of bytes: white space, ASCII letters and digits, ASCII marks, and what may join either
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+for _c in range(33, 127):
+    _CLASS[_c] = 1 if chr(_c).isalnum() else 3 if chr(_c) == "'" else 2
 
 
 class PieceEncoder:
-    """Encodes texts through the tokenizers library, each distinct piece once.
+    """Encodes texts with the tokenizers library, each distinct piece once.
 
-    The vocabulary's pre-tokenizer drops white space and never joins what it separates,
-    so a text's ids are those of its pieces one after another.
+    The vocabulary's pre-tokenizer drops white space, and splits letters and digits from
+    marks; it ignores the case of letters. So a lower-cased text can be cut at ASCII white
+    space and between ASCII letters or digits and ASCII marks (apostrophes aside, which
+    contractions begin with), and its ids are those of its pieces in order.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        pieces = [pieces_of(t) for t in texts]
-        new = list({w for p in pieces for w in p if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({w for p in pieces for w in p})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = e.ids
-        known = self.known
-        return [[i for w in p for i in known[w]] for p in pieces]
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.count = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.ids = [np.array([self.end_id], np.int32)]
+        self.total = 1
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.place = np.insert(self.place, at, len(self.count) + np.arange(len(hashes)))
+        self.begin = np.concatenate([self.begin, self.total + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids.append(np.fromiter((i for f in found for i in f), np.int32, int(count.sum())))
+        self.total += int(count.sum())
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and where each text's begin (one more than texts)."""
+        if any(SPECIAL in t for t in texts):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            at = np.concatenate([[0], np.cumsum([len(f) + 1 for f in found])])
+            return np.fromiter((i for f in found for i in (*f, self.end_id)), np.int32, int(at[-1])), at
+        data = b" ".join(texts).lower()
+        raw = np.frombuffer(data, np.uint8)
+        kind = np.concatenate([[0], _CLASS[raw], [0]])
+        here, before = kind[1:], kind[:-1]
+        cut = (here != before) & ((here == 0) | (before == 0) | ((here == 1) & (before == 2)) | ((here == 2) & (before == 1)))
+        edge = np.flatnonzero(cut)
+        solid = kind[1:][edge] != 0
+        starts, ends = edge[solid], edge[1:][solid[:-1]]
+        hashes = hash_pieces(raw, starts, ends)
+        distinct, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > REMEMBERED:
+            self.forget()
+        at = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == distinct[inside]
+        if not known.all():
+            new = first[~known]
+            self._learn(distinct[~known], [data[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, distinct)
+        if len(self.ids) > 1:
+            self.ids = [np.concatenate(self.ids)]
+        begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        upto = np.searchsorted(starts, begins[1:])
+        place = np.insert(self.place[at][where] if len(distinct) else where, upto, 0)  # place 0: the end id
+        count = self.count[place]
+        to = np.cumsum(count)
+        ids = self.ids[0][np.repeat(self.begin[place] - (to - count), count) + np.arange(to[-1] if len(to) else 0)]
+        ends_at = upto + np.arange(len(texts))
+        return ids, np.concatenate([[0], to[ends_at]])
+
+
+#: The encoder of this worker process, kept from task to task.
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
 def _encode_part(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, start, part = PieceEncoder(path), 0, TaskContext.get().partitionId()
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        at = 0
-        while at < batch.num_rows:
-            took, size = at, 0
-            chunk = []
-            while took < batch.num_rows and took - at < BATCH_DOCS and size < BATCH_BYTES:
-                chunk.append(texts[took].as_py() or "")
-                size += len(chunk[-1])
-                took += 1
-            rows = encoder.encode(chunk)
-            n = np.fromiter((len(r) + 1 for r in rows), np.int32, len(rows))
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            flat = np.empty(offsets[-1], np.int32)
-            for r, a, b in zip(rows, offsets[:-1], offsets[1:], strict=True):
-                flat[a : b - 1] = r
-            flat[offsets[1:] - 1] = end_id
-            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([
-                ids.slice(at, took - at), pa.array(np.full(len(rows), part, np.int32)),
-                pa.array(start + offsets[:-1].astype(np.int64)), pa.array(n), tokens,
-            ], names=["doc_id", "part", "start_in_part", "n_tokens", "token_ids"])
-            start += int(offsets[-1])
-            at = took
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = PieceEncoder(path, end_id)
+    encoder, start, part = _ENCODERS[path, end_id], 0, TaskContext.get().partitionId()
+    for batch in batches_of(batches, "text", ROWS, BYTES):
+        ids, at = encoder.encode(text_bytes(batch.column("text")))
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(start + at[:-1]),
+            pa.array(np.diff(at).astype(np.int32)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)),
+        ], names=["doc_id", "part", "start_in_part", "n_tokens", "token_ids"])
+        start += int(at[-1])
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 1) -> str:
@@ -120,14 +154,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_before"))
-    joined = rows.join(starts, F.col("part") == F.col("_part"))
+    joined = rows.join(F.broadcast(starts), F.col("part") == F.col("_part"))  # one row for each file
     return joined.withColumn("start", (F.col("_before") + F.col("start_in_part")).cast("long")).drop("_part", "_before")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = batch.column("token_ids")
-        offsets, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy().astype("<u4")
+        offsets, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy().astype("<u4", copy=False)
         crc = np.fromiter((zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)), np.int64, len(tokens))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc)],

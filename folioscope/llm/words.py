@@ -41,11 +41,15 @@ def _hash_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     gap = np.concatenate([[True], _SPACE[raw], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = edge[::2], edge[1::2]
+    return edge[::2], hash_pieces(raw, edge[::2], edge[1::2])
+
+
+def hash_pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of pieces of an array of bytes; equal pieces have equal hashes wherever they stand."""
     power, inverse = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_TABLE[raw] * power[: len(raw)], out=total[1:])
-    return starts, mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def _cut(text: bytes) -> Iterator[bytes]:
