@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, near_vectors, ngram_join, sharding, substring, token_output
+from . import chat, decontaminate, mixing, near_vectors, ngram_join, sharding, substring, token_output, toxicity
 from .common import table, word_count
 
 
@@ -80,6 +80,13 @@ FROM x GROUP BY conv_id
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model, threshold=0.7)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), n=3, a=90, b=100)
 
@@ -93,6 +100,21 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_groups(table(spark, sf_dir, "embeddings"), least_cosine=0.93)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 3)), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM d),
+si AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 3)), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i),
+n AS (SELECT item_id, CAST(count(*) AS BIGINT) AS item_shingles FROM si GROUP BY item_id)
+SELECT doc_id, item_id, any_value(item_shingles) AS item_shingles, CAST(count(*) AS BIGINT) AS found, count(*) / any_value(item_shingles) AS containment
+FROM ds JOIN si USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) * 10 >= any_value(item_shingles) * 8
+"""
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -101,5 +123,5 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op7_near_vectors": op7_near_vectors, "op9_sharding": op9_sharding, "op10_substring": op10_substring}
-ORACLE = {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op7_near_vectors": op7_near_vectors, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding, "op10_substring": op10_substring}
+ORACLE = {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op8_decontaminate": OP8_SQL}
