@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near_vectors, ngram_join, sharding, substring, token_output, toxicity
+from . import chat, decontaminate, mixing, near_vectors, ngram_join, pii, sharding, substring, token_output, toxicity
 from .common import table, word_count
 
 
@@ -96,6 +96,15 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(token_output.read_tokens(spark, path))
 
 
+#: Key of the registered query; a real run takes its own from a secret store.
+PII_KEY = "folioscope"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, PII_KEY).select("doc_id", "text", "n_entities", "kinds")
+
+
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_groups(table(spark, sf_dir, "embeddings"), least_cosine=0.93)
 
@@ -123,5 +132,5 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op7_near_vectors": op7_near_vectors, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding, "op10_substring": op10_substring}
+QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op6_pii": op6_pii, "op7_near_vectors": op7_near_vectors, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding, "op10_substring": op10_substring}
 ORACLE = {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op8_decontaminate": OP8_SQL}

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import batches_of
+
 #: Labelled rows of each class that the model is fitted on at most.
 SAMPLE = 2000
 BUCKETS, DIM, N_GRAMS = 1 << 18, 10, (3, 4, 5, 6)
@@ -166,18 +168,27 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(a, 1e-3), b
 
 
+def _parts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows and their scores."""
+    known: dict[str, float] = {}
+    for part in batches_of(batches, "text", 500, 2 << 20):
+        split = [(t or "").split() for t in part.column("text").to_pylist()]
+        new = list({w for r in split for w in r if w not in known})
+        if len(known) + len(new) > REMEMBERED:
+            known, new = {}, list({w for r in split for w in r})
+        known.update(zip(new, model.words([plain(w) for w in new]).tolist(), strict=True))
+        mean = np.array([np.fromiter(map(known.__getitem__, r), np.float64, len(r)).mean() if r else 0.0 for r in split])
+        yield part, model.score(mean)
+
+
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    model, known = model.value, {}
-    for batch in batches:
-        for s in range(0, batch.num_rows, 500):
-            part = batch.slice(s, 500)
-            split = [(t or "").split() for t in part.column("text").to_pylist()]
-            new = list({w for r in split for w in r if w not in known})
-            if len(known) + len(new) > REMEMBERED:
-                known, new = {}, list({w for r in split for w in r})
-            known.update(zip(new, model.words([plain(w) for w in new]).tolist(), strict=True))
-            mean = np.array([np.fromiter(map(known.__getitem__, r), np.float64, len(r)).mean() if r else 0.0 for r in split])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(mean))], names=["doc_id", "score"])
+    for part, score in _parts(batches, model.value):
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+
+
+def _keep(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterator[pa.RecordBatch]:
+    for part, score in _parts(batches, model.value):
+        yield part.filter(pa.array(score < threshold))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Model:
@@ -214,3 +225,9 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> Dat
     rows = docs.select("doc_id", "text")
     scored = rows.mapInArrow(lambda it: _score(it, sent), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda it: _keep(it, sent, threshold), docs.schema)
