@@ -29,16 +29,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
+def _of(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _starts(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
 
 
 def shingle_hashes(words: Column, n: int) -> Column:
-    return F.transform(_starts(words, n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+    return _of(words, lambda w: F.transform(_starts(w, n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))
 
 
 def shingles(words: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(_starts(words, n), lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
+    return _of(words, lambda w: F.array_distinct(F.transform(_starts(w, n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))))
 
 
 def signatures(items: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
@@ -65,8 +70,8 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, share: tuple[int
     bound = signed.agg(F.count("*").alias("rows"), F.max("hash").alias("highest")).first()
     if bound["rows"] <= BROADCAST_ROWS:
         signed = F.broadcast(signed)
-    probes = F.filter(shingle_hashes(F.col("words"), n), lambda h: h <= F.lit(bound["highest"]).cast("long"))
-    looked_up = docs.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", F.explode(probes).alias("hash"))
+    probes = F.filter(shingle_hashes(words_of(F.col("text")), n), lambda h: h <= F.lit(bound["highest"]).cast("long"))
+    looked_up = docs.select("doc_id", F.explode(probes).alias("hash"))
     candidates = store(looked_up.join(signed, "hash").select("doc_id", "item_id").distinct(), "candidates")
 
     whole_items = items.select("item_id", shingles(words_of(F.col("text")), n).alias("wanted"))
