@@ -5,8 +5,10 @@
    work there is, never the result.
 2. Documents of equal sets are one class. Two classes can only be alike if they share a
    shingle of their prefixes (the first |x| - ceil(t |x|) + 1 in order), so prefixes are
-   dealt by shingle, and bounds on length, position and a parity bitmap of the whole set
-   leave few candidates. These only say which documents have to be looked at together.
+   dealt by shingle. Bounds on length, position and a short parity bitmap of the whole set
+   leave few postings; these are dealt again with a bitmap of a bit for each shingle of the
+   set, whose differences bound the sets' difference so closely that hardly more than
+   similar documents become candidates. These only say what has to be looked at together.
 3. Each cluster of candidates has its whole sets stored in a trie in global order.
    Sets walk down the trie and share the overlap of common paths; a subtree is left when
    what remains of both sides cannot reach the overlap that its lengths need, or when all
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import store
 from .components import connected_components
-from .words import batches_of, forest, mix, runs, shingle_sets, text_bytes
+from .words import batches_of, mix, runs, shingle_sets, text_bytes
 
 #: Documents of a cluster that one task compares at once.
 BLOCK = 256
@@ -39,7 +41,8 @@ FREQUENT, FREQUENT_IN_BATCH = 100_000, 4
 SMALL_RUN = 32
 
 TOP = np.uint64(1 << 63)
-FEATURES = "doc_id long, n_shingles int, s1 long, s2 long, b1 long, b2 long, prefix array<long>"
+FEATURES = "doc_id long, n_shingles int, s1 long, s2 long, b1 long, b2 long, bitmap binary, prefix array<long>"
+POSTINGS = "token long, doc_id long, place long"
 LINKS = "a long, b long"
 
 
@@ -62,6 +65,22 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(rows.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
+def parity_bitmap(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles at each of as many places as the set has shingles, up to a power of two."""
+    places = 1 << max(7, int(len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(x: tuple[int, int], y: tuple[int, int]) -> int:
+    """Places at which two bitmaps (value, size in bits) differ, the larger folded to the size of the smaller."""
+    (a, m), (b, k) = (x, y) if x[1] >= y[1] else (y, x)
+    while m > k:
+        m //= 2
+        a = (a >> m) ^ (a & ((1 << m) - 1))
+    return (a ^ b).bit_count()
+
+
 class Order:
     """The global order: a shingle's hash, with the top bit set if it is frequent."""
 
@@ -102,61 +121,104 @@ def _features(batches: Iterator[pa.RecordBatch], n: int, a: int, b: int, frequen
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array(size.astype(np.int32)), total(np.add, flat), total(np.add, mix(flat)),
             total(np.bitwise_xor, np.where(half, bit, np.uint64(0))), total(np.bitwise_xor, np.where(half, np.uint64(0), bit)),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(taken.view(np.int64))),
-        ], names=["doc_id", "n_shingles", "s1", "s2", "b1", "b2", "prefix"])
+            pa.array([parity_bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(taken.view(np.int64))),
+        ], names=["doc_id", "n_shingles", "s1", "s2", "b1", "b2", "bitmap", "prefix"])
 
 
-class _Candidates:
+class _Postings:
     """Bounds on pairs of postings: the overlap that is still possible against the one that is needed."""
 
     def __init__(self, t: pa.Table, a: int, b: int):
         self.a, self.b = a, b
-        self.token, self.doc = (t.column(c).to_numpy() for c in ("token", "doc_id"))
-        place = t.column("place").to_numpy()
-        self.n, self.pos = place >> 32, place & 0xFFFFFFFF
-        self.b1, self.b2 = (t.column(c).to_numpy().view(np.uint64) for c in ("b1", "b2"))
+        self.token, self.doc, self.place = (t.column(c).to_numpy() for c in ("token", "doc_id", "place"))
+        self.n, self.pos = self.place >> 32, self.place & 0xFFFFFFFF
+        edge = np.concatenate([[True], self.token[1:] != self.token[:-1]])
+        self.starts = np.flatnonzero(edge)
+        self.lengths = np.diff(np.concatenate([self.starts, [len(self.token)]]))
+        self.end = np.repeat(self.starts + self.lengths, self.lengths)
+
+    def need(self, i, j):
+        return -(-self.a * (self.n[i] + self.n[j]) // (self.a + self.b))
 
     def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         x, y = self.n[i], self.n[j]
-        need = -(-self.a * (x + y) // (self.a + self.b))
-        left = 1 + np.minimum(x - self.pos[i], y - self.pos[j]) - 1 + np.minimum(self.pos[i], self.pos[j])
-        apart = np.bitwise_count(self.b1[i] ^ self.b1[j]).astype(np.int64) + np.bitwise_count(self.b2[i] ^ self.b2[j])
-        return (self.b * np.minimum(x, y) >= self.a * np.maximum(x, y)) & (left >= need) & (apart <= x + y - 2 * need) & (self.doc[i] != self.doc[j])
+        left = np.minimum(x - self.pos[i], y - self.pos[j]) + np.minimum(self.pos[i], self.pos[j])
+        return (self.b * np.minimum(x, y) >= self.a * np.maximum(x, y)) & (left >= self.need(i, j)) & (self.doc[i] != self.doc[j])
 
-
-def _candidates(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
-    """Links between documents that may be alike and share a prefix shingle; rows come sorted by shingle."""
-    for t in runs(batches, ["token"]):
-        c = _Candidates(t, a, b)
-        m = len(c.token)
-        starts = np.flatnonzero(np.concatenate([[True], c.token[1:] != c.token[:-1]]))
-        lengths = np.diff(np.concatenate([starts, [m]]))
-        end = np.repeat(starts + lengths, lengths)
-        small = np.repeat((lengths > 1) & (lengths <= SMALL_RUN), lengths)
-        found = []
-        rows = np.flatnonzero(small)
+    def short_runs(self):
+        """Pairs of rows of runs of two to SMALL_RUN postings."""
+        rows = np.flatnonzero(np.repeat((self.lengths > 1) & (self.lengths <= SMALL_RUN), self.lengths))
         for k in range(1, SMALL_RUN):
-            rows = rows[rows + k < end[rows]]
+            rows = rows[rows + k < self.end[rows]]
             if not len(rows):
                 break
-            ok = rows[c.possible(rows, rows + k)]
-            found.append((c.doc[ok], c.doc[ok + k]))
-        for s, length in zip(starts[lengths > SMALL_RUN], lengths[lengths > SMALL_RUN], strict=True):
-            group = np.arange(s, s + length)
-            label = np.arange(length)
+            ok = rows[self.possible(rows, rows + k)]
+            yield ok, ok + k
+
+    def long_runs(self):
+        long = self.lengths > SMALL_RUN
+        yield from zip(self.starts[long].tolist(), self.lengths[long].tolist(), strict=True)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
+    """Postings that may have a partner; rows come sorted by shingle."""
+    for t in runs(batches, ["token"]):
+        p = _Postings(t, a, b)
+        b1, b2 = (t.column(c).to_numpy().view(np.uint64) for c in ("b1", "b2"))
+        keep = np.zeros(len(p.token), bool)
+        for i, j in p.short_runs():
+            apart = np.bitwise_count(b1[i] ^ b1[j]).astype(np.int64) + np.bitwise_count(b2[i] ^ b2[j])
+            ok = apart <= p.n[i] + p.n[j] - 2 * p.need(i, j)
+            keep[i[ok]] = keep[j[ok]] = True
+        for s, length in p.long_runs():
+            keep[s : s + length] = True
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (p.token, p.doc, p.place)], names=["token", "doc_id", "place"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
+    """Links that join all documents that share a prefix shingle and may be alike; rows come sorted by shingle."""
+    parent: dict[int, int] = {}
+    maps: dict[int, tuple[int, int]] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while x != root:
+            parent[x], x = root, parent.get(x, x)
+        return root
+
+    for t in runs(batches, ["token"]):
+        p = _Postings(t, a, b)
+        for doc, raw in zip(p.doc.tolist(), t.column("bitmap").to_pylist(), strict=True):
+            if doc not in maps:
+                maps[doc] = (int.from_bytes(raw, "little"), 8 * len(raw))
+        new: list[tuple[int, int]] = []
+
+        def look(i: np.ndarray, j: np.ndarray, p=p, new=new) -> None:
+            most = p.n[i] + p.n[j] - 2 * p.need(i, j)
+            for x, y, m in zip(p.doc[i].tolist(), p.doc[j].tolist(), most.tolist(), strict=True):
+                u, w = find(x), find(y)
+                if u != w and _apart(maps[x], maps[y]) <= m:
+                    parent[max(u, w)] = min(u, w)
+                    new.append((max(u, w), min(u, w)))
+
+        for i, j in p.short_runs():
+            look(i, j)
+        for s, length in p.long_runs():
+            docs = p.doc[s : s + length].tolist()
             for i in range(length - 1):
-                rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+                roots = [find(d) for d in docs]
+                rest = np.array([k for k in range(i + 1, length) if roots[k] != roots[i]], np.int64)
                 if not len(rest):
-                    if (label == label[0]).all():
+                    if len(set(roots)) == 1:
                         break
                     continue
-                ok = rest[c.possible(np.full(len(rest), group[i]), group[rest])]
-                if len(ok):
-                    label[np.isin(label, label[ok])] = label[i]
-                    found.append((np.full(len(ok), c.doc[group[i]]), c.doc[group[ok]]))
-        if found:
-            x, y = forest(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                rest = rest[p.possible(np.full(len(rest), s + i), s + rest)]
+                look(np.full(len(rest), s + i), s + rest)
+        if new:
+            x = np.array(new, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
 
 class Trie:
@@ -284,7 +346,9 @@ def jaccard_groups(docs: DataFrame, n: int = 3, a: int = 90, b: int = 100) -> Da
         .select("doc_id", "n_shingles", "b1", "b2", F.posexplode("prefix").alias("pos", "token"))
         .select("token", "doc_id", (F.shiftleft(F.col("n_shingles").cast("long"), 32) + F.col("pos")).alias("place"), "b1", "b2")
     )
-    pairs = postings.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _candidates(it, a, b), LINKS)
+    shared = store(postings.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _shared(it, a, b), POSTINGS), "shared-postings")
+    mapped = shared.join(features.where(usable).select("doc_id", "bitmap").dropDuplicates(["doc_id"]), "doc_id").select("token", "doc_id", "place", "bitmap")
+    pairs = mapped.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _candidates(it, a, b), LINKS)
     clusters = store(connected_components(pairs).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
 
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
