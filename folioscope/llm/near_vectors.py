@@ -88,9 +88,8 @@ def _compare(batches: Iterator[pa.RecordBatch], least_cosine: float) -> Iterator
                 if cells[1, s] != cells[2, s]:  # two blocks: pairs inside one are another cell's
                     ok &= block[s + i] != block[s + j]
                 i, j = i[ok], j[ok]
-                k = int(table[s])
-                if k and len(i):
-                    fresh = ~(own[i, :k] == own[j, :k]).any(1)
+                for k in range(int(table[s])):  # pairs that an earlier table has
+                    fresh = own[i, k] != own[j, k]
                     i, j = i[fresh], j[fresh]
                 found.append((s + i, s + j))
         if not found:
