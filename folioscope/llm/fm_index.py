@@ -60,7 +60,7 @@ class FMIndex:
             follow[:-step] = rank[step:] + 1
             follow[text == 0] = 0
             key = rank * (int(rank.max()) + 2) + follow
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             new = np.empty(n, np.int64)
             new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])

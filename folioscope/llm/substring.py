@@ -3,10 +3,10 @@
 1. Of each run of ``window`` words the least hash of its short word sequences is an
    anchor. Equal windows have equal anchors, so only the surroundings of anchors that two
    documents share need to be searched, and these are all.
-2. A surrounding is a segment: the words that windows around the anchor can cover.
+2. A surrounding is a segment: the words of the windows that the anchor is the least of.
    Equal segments are kept once, under their least document; so copies, however many,
    are one segment.
-3. Segments are dealt into shards by anchor. Each shard builds a compressed FM-index over
+3. Segments whose anchor has more than one are dealt into shards by anchor. Each shard builds a compressed FM-index over
    its segments and streams them through it: backward search over the wavelet tree gives
    the stretches in which every window occurs in a document with a smaller id. A segment
    of a document other than the segment's least occurs there from end to end.
@@ -30,7 +30,7 @@ from .words import batches_of, hash_words, mix, runs, sequence_hashes, text_byte
 #: Words of a sequence whose hash can be an anchor.
 ANCHOR = 8
 #: Words of an index; an anchor with more segments has several, and all are searched.
-SHARD_WORDS = 300_000
+SHARD_WORDS = 1_000_000
 SEGMENTS = "anchor long, h1 long, h2 long, doc_id long, start int, length int, words binary"
 STRETCHES = "anchor long, h1 long, h2 long, starts array<int>, ends array<int>"
 
@@ -43,20 +43,40 @@ def _sliding(op, x: np.ndarray, width: int) -> np.ndarray:
     return op(x[:want], x[width - size : width - size + want])
 
 
-def anchors_of(words: np.ndarray, at: np.ndarray, window: int, n: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in words) of anchors, and the hashes of all n-word sequences."""
+def window_minima(words: np.ndarray, at: np.ndarray, window: int, n: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+    """Least hash of an n-word sequence in each window (0 where it would leave its document), and all these hashes."""
     grams = sequence_hashes(words, n)
     width = window - n + 1
     if len(grams) < width:
-        return np.zeros(0, np.int64), grams
+        return np.zeros(0, np.uint64), grams
     least = _sliding(np.minimum, grams, width)
     end = np.repeat(at[1:], np.diff(at))[: len(least)]
     least[np.arange(len(least)) + window > end] = 0
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    most = _sliding(np.maximum, padded, width)
+    return least, grams
+
+
+def anchors_of(words: np.ndarray, at: np.ndarray, window: int, n: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in words) of anchors, and the hashes of all n-word sequences."""
+    least, grams = window_minima(words, at, window, n)
+    if not len(least):
+        return np.zeros(0, np.int64), grams
+    pad = np.zeros(window - n, np.uint64)
+    most = _sliding(np.maximum, np.concatenate([pad, least, pad]), window - n + 1)
     return np.flatnonzero(most == grams), grams
 
 
+def segments_of(least: np.ndarray, grams: np.ndarray, anchors: np.ndarray, window: int, n: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+    """First word of the windows that each anchor is the least of, and the word after them; they are a stretch."""
+    first, last = np.full(len(anchors), np.iinfo(np.int64).max), np.full(len(anchors), -1)
+    for back in range(window - n + 1):
+        start = anchors - back
+        own = (start >= 0) & (start < len(least))
+        own[own] = least[start[own]] == grams[anchors[own]]
+        first[own] = np.minimum(first[own], start[own])
+        last[own] = np.maximum(last[own], start[own])
+    return first, last + window
+
+
 def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches_of(batches, "text"):
         words, at = hash_words(text_bytes(batch.column("text")))
@@ -72,24 +92,30 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
     for batch in batches_of(batches, "text", rows=500, size=2 << 20):
         texts = text_bytes(batch.column("text"))
         words, at = hash_words(texts)
-        power = np.cumprod(np.full(2 * window, 0x9E3779B97F4A7C15, np.uint64))
-        seen: set[tuple[int, int, int]] = set()
-        rows: list[tuple] = []
-        for text, doc, places, base in zip(texts, batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), at, strict=False):
-            split = text.split()
-            own = words[base : base + len(split)]
-            grams = sequence_hashes(own, ANCHOR).view(np.int64)
-            for p in places:
-                a, b = max(0, p - (window - ANCHOR)), min(len(split), p + window)
-                part = own[a:b]
-                h1 = int((part * power[: b - a]).sum(dtype=np.uint64).view(np.int64))
-                h2 = int((mix(part) * power[: b - a]).sum(dtype=np.uint64).view(np.int64))
-                key = (int(grams[p]), h1, h2)
-                rows.append((*key, doc, a, b - a, None if key in seen else b" ".join(split[a:b])))
-                seen.add(key)
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["anchor", "h1", "h2", "doc_id", "start", "length", "words"])
+        least, grams = window_minima(words, at, window)
+        places = batch.column("places")
+        count = np.diff(places.offsets.to_numpy())
+        anchors = places.flatten().to_numpy().astype(np.int64) + np.repeat(at[:-1], count)
+        first, last = segments_of(least, grams, anchors, window)
+        # sums over words give each stretch a hash: its own part, brought to the front
+        scale = np.cumprod(np.full(len(words) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        unscale = np.cumprod(np.full(len(words) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * scale[: len(words)])]) for x in (words, mix(words))]
+        h1, h2 = (mix((x[last] - x[first]) * unscale[first]).view(np.int64) for x in sums)
+        keys = grams[anchors].view(np.int64)
+        fresh = np.zeros(len(anchors), bool)
+        fresh[np.unique(np.stack([keys, h1, h2]), axis=1, return_index=True)[1]] = True
+        base = np.repeat(at[:-1], count)
+        own = np.repeat(np.arange(len(texts)), count)
+        parts, split, held = [], [], -1
+        for k, a, b, new in zip(own.tolist(), (first - base).tolist(), (last - base).tolist(), fresh.tolist(), strict=True):
+            if new and k != held:
+                split, held = texts[k].split(), k
+            parts.append(b" ".join(split[a:b]) if new else None)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(keys), pa.array(h1), pa.array(h2), batch.column("doc_id").take(pa.array(own)),
+            pa.array((first - base).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(parts, pa.binary()),
+        ], names=["anchor", "h1", "h2", "doc_id", "start", "length", "words"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -106,7 +132,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
         lengths, numbers = np.diff(at), np.unique(owners, return_inverse=True)[1]
         first = 0
         while first < len(lengths):  # an index for each SHARD_WORDS words, searched for all segments
-            to = max(first + 1, int(np.searchsorted(at, at[first] + 2 * SHARD_WORDS, "right")) - 1)
+            to = max(first + 1, int(np.searchsorted(at, at[first] + 3 * SHARD_WORDS // 2, "right")) - 1)
             a, b = at[first], at[to]
             ends = at[first + 1 : to + 1] - a
             index = FMIndex(np.insert(symbols[a:b], ends, 0), ends + np.arange(to - first), len(distinct), np.repeat(numbers[first:to], lengths[first:to] + 1))
@@ -124,7 +150,13 @@ def _stretches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
         )
 
     for t in runs(batches, ["anchor"]):
-        # a run may hold many anchors; shards are cut between anchors
+        # an anchor with one segment has nothing else to find it in
+        anchors = t.column("anchor").to_numpy()
+        twin = np.concatenate([[False], anchors[1:] == anchors[:-1], [False]])
+        t = t.filter(pa.array(twin[1:] | twin[:-1])).combine_chunks()
+        if not t.num_rows:
+            continue
+        # a table may hold many anchors; shards are cut between anchors
         anchors, lengths = t.column("anchor").to_numpy(), t.column("length").to_numpy()
         border = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
         sizes = np.add.reduceat(lengths, border)
@@ -171,15 +203,15 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id and spans (a, b) of words to remove, for the documents that have some."""
     docs = docs.where(F.col("doc_id").isNotNull())
     anchors = store(docs.mapInArrow(lambda it: _anchors(it, window), "anchor long, doc_id long, pos int"), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = store(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared-anchors")
     places = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     segments = store(docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _segments(it, window), SEGMENTS), "segments")
     distinct = segments.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("owner"), F.first("length").alias("length"), F.max("words").alias("words"))
     owners = store(distinct, "owners")
-    dealt = owners.where(F.col("length") >= window).repartition("anchor").sortWithinPartitions("anchor", "owner")
+    dealt = owners.repartition("anchor").sortWithinPartitions("anchor", "owner")
     stretches = dealt.mapInArrow(lambda it: _stretches(it, window), STRETCHES)
     own = owners.select("anchor", "h1", "h2", "owner").join(stretches, ["anchor", "h1", "h2"], "left")
-    placed = segments.where(F.col("length") >= window).select("anchor", "h1", "h2", "doc_id", "start", "length").join(own, ["anchor", "h1", "h2"])
+    placed = segments.select("anchor", "h1", "h2", "doc_id", "start", "length").join(own, ["anchor", "h1", "h2"])
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b")))
     parts = F.transform(F.arrays_zip("starts", "ends"), lambda z: F.struct((F.col("start") + z["starts"]).alias("a"), (F.col("start") + z["ends"]).alias("b")))
     spans = placed.select("doc_id", F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(parts).alias("spans")).where(F.size("spans") > 0)
