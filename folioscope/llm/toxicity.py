@@ -38,8 +38,15 @@ def plain(word: str) -> str:
     return word.strip(EDGES) or word
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_features(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of all n-grams of all words, and where each word's begin."""
+    parts = [_features(words[s : s + at_once]) for s in range(0, len(words), at_once)]
+    count = np.concatenate([np.zeros(1, np.int64), *(c for _, c in parts)])
+    return np.concatenate([np.zeros(0, np.int32), *(r for r, _ in parts)]), np.cumsum(count)
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of all n-grams of some words, and their number for each word."""
     marked = [f"<{w}>" for w in words]
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     length = np.fromiter(map(len, marked), np.int64, len(marked))
@@ -60,7 +67,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     row, who = np.concatenate(rows), np.concatenate(owners)
     row = (row ^ (row >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     order = np.argsort(who, kind="stable")
-    return (row[order] >> np.uint64(40)).astype(np.int64) % BUCKETS, np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(words)))])
+    return ((row[order] >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32), np.bincount(who, minlength=len(words))
 
 
 @dataclass
@@ -91,10 +98,10 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 3, clean_weight: float
         only = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 3.0 if only > 0.5 else -3.0)
     rng = np.random.default_rng(seed)
-    raw = [t.split() for t in texts]
     number: dict[str, int] = {}
-    docs = [np.fromiter((number.setdefault(plain(w), len(number)) for w in r), np.int64, len(r)) for r in raw]
-    rows, at = word_features(list(number)) if number else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+    docs = [np.array([number.setdefault(plain(w), len(number)) for w in t.split()], np.int32) for t in texts]
+    rows, at = word_features(list(number))
+    del number
     count = np.diff(at)
     table = rng.uniform(-0.5, 0.5, (BUCKETS, DIM)).astype(np.float32) / DIM
     soft, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
