@@ -79,7 +79,7 @@ def title_kind(title: Column) -> Column:
 
 def bullets(body: Column) -> Column:
     """(title, description) of list items of the form '- **Title** — description'."""
-    item = r"(?m)^\s*[-*]\s+\*\*([^*\n]+)\*\*\s*(?:—|–|-|:)?\s*([^\n]*)$"
+    item = r"(?m)^[ \t]*[-*][ \t]+\*\*([^*\n]+)\*\*[ \t]*(?:—|–|-|:)?[ \t]*([^\n]*)$"
     return F.arrays_zip(F.regexp_extract_all(body, F.lit(item), F.lit(1)).alias("title"), F.regexp_extract_all(body, F.lit(item), F.lit(2)).alias("description"))
 
 
