@@ -89,11 +89,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * (logit + self.bias) + self.shift, -30, 30)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, seed: int = 3, clean_weight: float = 1.0) -> Model:
-    """Fits embeddings and softmax; a fifth of the rows sets the scale of the scores instead.
-
-    ``clean_weight`` is what a clean row of the sample stands for there, against a toxic one.
-    """
+def fit(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Model:
+    """Fits embeddings and softmax; a fifth of the rows sets the scale of the scores instead."""
     if len(set(toxic.tolist())) < 2:
         only = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 3.0 if only > 0.5 else -3.0)
@@ -154,19 +151,19 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 3, clean_weight: float
     own_bias = float(bias[1] - bias[0])
     word = np.add.reduceat(numbers[rows], at[:-1]) / count if len(count) else np.zeros(0)
     logit = np.array([word[docs[d]].mean() if len(docs[d]) else 0.0 for d in held]) + own_bias if len(held) else np.zeros(0)
-    scale, shift = _calibrate(logit, labels[held], np.where(labels[held] == 1, 1.0, clean_weight))
+    scale, shift = _calibrate(logit, labels[held])
     return Model(numbers, own_bias, scale, shift)
 
 
-def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Scale and shift of logits by logistic regression on rows that the model was not fitted on."""
     if len(set(y.tolist())) < 2:
         return 1.0, 0.0
     a, b = 1.0, 0.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = weight * p * (1 - p) + 1e-9
-        g = np.array([(weight * (p - y) * z).sum() + 0.01 * a, (weight * (p - y)).sum()])
+        w = p * (1 - p) + 1e-9
+        g = np.array([((p - y) * z).sum() + 0.01 * a, (p - y).sum()])
         h = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum()]])
         step = np.linalg.solve(h + 1e-6 * np.eye(2), g)
         a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
@@ -202,8 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     """A model from labelled rows whose crc32 of the id is not 1 modulo 3, at most ``sample`` of each class.
 
     The sample is the same for the same rows. Labels that are null are left out, and a
-    document with several labels is toxic if one says so. Scores are scaled for the shares
-    that the classes have among all these rows.
+    document with several labels is toxic if one says so. Scores are scaled for the sample,
+    in which the classes are about even, so that toxic documents are not missed for being rare.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
@@ -211,11 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     for value in (0, 1):
         some = known.where(F.col("toxic") == value).orderBy("draw", "doc_id").limit(sample)
         taken = some if taken is None else taken.unionByName(some)
-    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    stands_for = [max(1.0, totals.get(v, 0) / sample) for v in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), seed, stands_for[0] / stands_for[1])
+    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), seed)
 
 
 def held_out(id_col: str):
