@@ -9,6 +9,7 @@ from ..operators import extraction, filters, graph, search, tables
 from ..plans import reports
 from ..sources import readers
 from . import query
+from .searches import vector_queries
 
 
 @query("s1_page_sections", sql="""WITH b AS (SELECT page_id, generate_subscripts(m, 1) AS n, unnest(m) AS block FROM (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h1|h2|p)[^>]*>.*?</(?:h1|h2|p)>') AS m FROM pages)),
@@ -167,8 +168,8 @@ def _(v):
 
 @query("r14_hybrid", "corpus", "vectors")
 def _(v):
-    q = v.spark.createDataFrame([(1, "licensed under the license")], "query_id long, q string")
+    # each vector asked for stands for its document, whose title is the words asked for
+    near = search.top(search.semantic(v.vectors, vector_queries(v)), 40).withColumn("source", F.lit("semantic"))
+    q = v.corpus.where("ord % 50 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("q"))
     words = search.top(search.lexical(search.postings(v.corpus, ["title", "content"]), search.query_terms(q)), 40).withColumn("source", F.lit("lexical"))
-    seed = v.vectors.where("doc_id = 'D1'").select(F.lit(1).cast("long").alias("query_id"), F.col("embedding").alias("q_vector"))
-    near = search.top(search.semantic(v.vectors, seed), 40).withColumn("source", F.lit("semantic"))
     return search.top(search.fuse(words, near), 10)

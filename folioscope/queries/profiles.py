@@ -11,7 +11,7 @@ from ..session import shared_folder
 from ..sources import readers
 from ..streaming import changes
 from . import query
-from .searches import FIELDS, INDEX, SEMANTIC, asked
+from .searches import FIELDS, INDEX, SEMANTIC, asked, vector_queries
 
 
 @query("w5_rank_in_leg", "history", sql="SELECT date, doc_id, CAST(row_number() OVER (PARTITION BY date ORDER BY n DESC, doc_id) AS INT) AS rank FROM (SELECT date, doc_id, count(*) AS n FROM history GROUP BY ALL)")
@@ -20,11 +20,12 @@ def _(v):
     return n.select("date", "doc_id", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("n"), "doc_id")).alias("rank"))
 
 
-@query("o3_overfetch", "vectors", sql=SEMANTIC + "SELECT doc_id FROM (SELECT doc_id, label, score FROM se WHERE query_id = 'D1' ORDER BY round(score, 9) DESC, doc_id LIMIT 40) WHERE label = 3 ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
+@query("o3_overfetch", "vectors", sql=SEMANTIC + """SELECT query_id, doc_id, CAST(n - 1 AS INT) AS rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS n FROM (
+SELECT query_id, doc_id, label, round(score, 9) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS k FROM se) WHERE k <= 40 AND label = 3) WHERE n <= 10""")
 def _(v):
-    q = v.vectors.where("doc_id = 'D1'").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q_vector"))
-    scores = search.semantic(v.vectors, q).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(40)
-    return scores.join(v.vectors.where("label = 3").select("doc_id"), "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id")
+    scores = search.semantic(v.vectors, vector_queries(v)).withColumn("score", F.round("score", 9))
+    wide = search.top(scores, 40).drop("rank").join(v.vectors.where("label = 3").select("doc_id"), "doc_id", "left_semi")
+    return search.top(wide, 10).select("query_id", "doc_id", "rank")
 
 
 @query("o4_limit_after_constraints", "edges", "docs", sql="SELECT id FROM docs WHERE type = '1-URGENT' AND id IN (SELECT to_id FROM edges WHERE from_id = 'S2') ORDER BY id LIMIT 50")
