@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of whole texts or token lists that go to Python at once.
+ROWS_AT_ONCE = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's number of rows in an Arrow batch, which fits rows of numbers, to one that fits whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir
+from .common import bound_batches, shared_dir
 from .words import batches_of, hash_pieces, text_bytes
 
 #: Row groups of about this size in memory, and pages of at most this size.
@@ -32,9 +32,9 @@ WRITE_OPTIONS = {
 }
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, token_ids array<int>"
 #: Distinct pieces whose ids a worker remembers (about 30 bytes each); beyond, it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: Rows and bytes of text that are encoded at once.
-ROWS, BYTES = 1000, 1 << 20
+ROWS, BYTES = 500, 1 << 19
 #: Texts with this, which special tokens begin with, are given to the tokenizer whole.
 SPECIAL = b"<|"
 
@@ -67,7 +67,9 @@ class PieceEncoder:
         self.total = 1
 
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        found = []
+        for s in range(0, len(pieces), 2000):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces[s : s + 2000]], add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
@@ -141,6 +143,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
     stay together, in order of their texts. Other columns of docs are ignored. The
     tokenizer's file must be at the same path on every machine.
     """
+    bound_batches(docs.sparkSession)
     path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encoded = ordered.mapInArrow(lambda it: _encode_part(it, tokenizer_path, end_id), FILE_SCHEMA)
@@ -150,6 +153,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows with start, the number of ids of all documents before."""
+    bound_batches(spark)
     rows = spark.read.schema(FILE_SCHEMA).parquet(path)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
