@@ -24,10 +24,17 @@ from .components import connected_components
 from .words import forest, mix, runs
 
 #: Tables, projections in each, and the width of a quantum: at cosine 0.93 a pair shares
-#: one of the tables with a probability over 0.999, and closer pairs more often.
-TABLES, PROJECTIONS, WIDTH = 24, 8, 2.0
+#: one of the tables with a probability over 0.998, and closer pairs more often.
+TABLES, PROJECTIONS, WIDTH = 20, 8, 2.0
 BLOCK = 1024
-HASHED = "rep long, n long, label long, keys array<long>, vector array<double>"
+HASHED = "rep long, n long, label long, keys array<long>, vector array<{}>"
+
+
+def unit_rows(values: np.ndarray, dim: int) -> np.ndarray:
+    """Vectors of one length as rows of length 1, in double precision."""
+    raw = np.array(values, np.float64).reshape(-1, dim)
+    raw = raw / np.abs(raw).max(1, keepdims=True)  # no overflow of squares
+    return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
 
 class PStable:
@@ -55,14 +62,12 @@ def _hash(batches: Iterator[pa.RecordBatch], tables: int, projections: int, widt
         for dim in np.unique(sizes):
             dim = int(dim)
             pick = batch.filter(pa.array(sizes == dim))
-            raw = np.array(pick.column("vector").flatten(), np.float64).reshape(-1, dim)
-            raw = raw / np.abs(raw).max(1, keepdims=True)  # no overflow of squares
-            unit = raw / np.sqrt((raw * raw).sum(1, keepdims=True))
+            unit = unit_rows(pick.column("vector").flatten().to_numpy(), dim)
             family = made.setdefault(dim, PStable(dim, tables, projections, width, seed))
             label = pick.column("label").to_numpy()
             keys = family.keys(unit, label * 1_000_003 + dim)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (keys, unit)]
-            yield pa.RecordBatch.from_arrays([pick.column("rep"), pick.column("n"), pick.column("label"), *lists], names=["rep", "n", "label", "keys", "vector"])
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([pick.column("rep"), pick.column("n"), pick.column("label"), listed, pick.column("vector")], names=["rep", "n", "label", "keys", "vector"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], least_cosine: float) -> Iterator[pa.RecordBatch]:
@@ -78,7 +83,7 @@ def _compare(batches: Iterator[pa.RecordBatch], least_cosine: float) -> Iterator
         for s, e in zip(starts, [*starts[1:], len(rep)], strict=True):
             if e - s < 2 or len({*np.diff(vector_at[s : e + 1])}) > 1:
                 continue
-            unit = all_values[vector_at[s] : vector_at[e]].reshape(e - s, -1)
+            unit = unit_rows(all_values[vector_at[s] : vector_at[e]], int(vector_at[s + 1] - vector_at[s]))
             own = all_keys[key_at[s] : key_at[e]].reshape(e - s, -1)
             for at in range(s, e, 512):
                 to = min(e, at + 512)
@@ -113,14 +118,15 @@ def near_groups(vectors: DataFrame, least_cosine: float = 0.93, tables: int = TA
     that are null, empty, zero or hold a null or a value that is not finite link with
     nothing, nor do rows with a null vec_id, whose component_id and kept are null.
     Repeated rows link with each other. Other columns are ignored. The hash finds a pair
-    at the bound with a probability over 0.999.
+    at the bound with a probability over 0.998.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # floats travel as they are
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0)
     sound &= F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
     classes = store(rows.where(sound).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    hashed = store(classes.mapInArrow(lambda it: _hash(it, tables, projections, width, seed), HASHED), "vector-keys")
+    hashed = store(classes.mapInArrow(lambda it: _hash(it, tables, projections, width, seed), HASHED.format(kind)), "vector-keys")
 
     bucketed = hashed.select("rep", F.posexplode("keys").alias("table", "key"))
     sizes = bucketed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
