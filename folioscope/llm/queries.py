@@ -132,5 +132,42 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
 
 
+#: Components of links (a, b) among nodes (id) by closure.
+CLOSURE = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS id, b AS other FROM both_ways UNION SELECT r.id, w.b FROM reach r JOIN both_ways w ON w.a = r.other),
+least AS (SELECT id, min(other) AS other FROM reach GROUP BY id)"""
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 90 * (na.n + nb.n - o)),
+@CLOSURE@
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, l.other) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.id = d.doc_id
+""".replace("@CLOSURE@", CLOSURE)
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND norm > 0 AND isfinite(norm) AND len(list_filter(e, lambda x: x IS NULL)) = 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.e) = len(y.e) WHERE list_sum(list_transform(range(1, len(x.e) + 1), lambda k: x.e[k] * y.e[k])) / (x.norm * y.norm) >= 0.93),
+@CLOSURE@,
+c AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT v.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, least(v.vec_id, l.other) AS component_id, v.vec_id = least(v.vec_id, l.other) AS kept
+FROM v LEFT JOIN c ON c.id = v.vec_id LEFT JOIN least l ON l.id = v.vec_id
+""".replace("@CLOSURE@", CLOSURE)
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, greatest(1, len(w) - 48))) AS k, w FROM d),
+g AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h),
+c AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT g.doc_id, unnest(range(g.k, g.k + 50)) AS i FROM g JOIN f ON f.h = g.h AND f.low < g.doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
 QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op6_pii": op6_pii, "op7_near_vectors": op7_near_vectors, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding, "op10_substring": op10_substring}
-ORACLE = {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op8_decontaminate": OP8_SQL}
+ORACLE = {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op4_ngram_join": OP4_SQL, "op7_near_vectors": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_substring": OP10_SQL}
