@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import bounded, links, parent_key
 
@@ -129,6 +130,32 @@ def label_of(before: Column) -> Column:
     return F.coalesce(*[F.when((F.length(x) >= 3) & ~F.lower(x).isin("the", "this", "that", "these", "those", "it"), x) for x in found])
 
 
+def table_cells(docs: DataFrame) -> DataFrame:
+    """id, address, cells, headers and column of addresses in lines of pipe tables; headers are the line above the last separator."""
+    cut = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    w = Window.partitionBy("id").orderBy("n")
+    lines = docs.select("id", F.posexplode(F.split("content", "\n")).alias("n", "line")).withColumn("line", F.trim("line"))
+    lines = lines.withColumn("separator", F.col("line").rlike(r"^\|[\s\-:|]+\|$")).withColumn("above", F.lag("line").over(w))
+    lines = lines.withColumn("header", F.last(F.when(F.col("separator"), F.col("above")), ignorenulls=True).over(w))
+    rows = lines.where(F.col("line").rlike(r"^\|.+\|$") & ~F.col("separator")).withColumn("raw", F.explode(F.regexp_extract_all("line", F.lit(f"{EVM}|{BASE58}"), F.lit(0))))
+    column = F.regexp_count(F.expr("substring_index(line, raw, 1)"), F.lit(r"\|")) - 1
+    address = F.when(F.col("raw").startswith("0x"), F.lower("raw")).otherwise(F.col("raw"))
+    return rows.select("id", address.alias("address"), cut(F.col("line")).alias("cells"), cut(F.coalesce("header", F.lit(""))).alias("headers"), column.alias("column"))
+
+
+def filled_labels(rows: DataFrame, *sources: DataFrame) -> DataFrame:
+    """rows (address, label, ...) with missing labels from sources (address, name) in their order; names of one address are taken by text."""
+    for k, source in enumerate(sources):
+        named = source.where("name IS NOT NULL").groupBy("address").agg(F.min("name").alias(f"_name{k}"))
+        rows = rows.join(named, "address", "left").withColumn("label", F.coalesce("label", f"_name{k}")).drop(f"_name{k}")
+    return rows
+
+
+def unlabelled(rows: DataFrame) -> DataFrame:
+    """Addresses without a label, with the sections that name them, most named first."""
+    return rows.where("label IS NULL").select("address", "chain", F.size("docs").alias("mentions"), "docs").orderBy(F.desc("mentions"), "address")
+
+
 def annotated(docs: DataFrame) -> DataFrame:
     """One row for each address and chain with its roles, tokens, labels and the sections that name it."""
     rows = addresses(docs).select("id", "address", chain_of(F.col("before")).alias("chain"), roles_of(F.col("around")).alias("roles"), tokens_of(F.col("around")).alias("tokens"), label_of(F.col("before")).alias("label"))

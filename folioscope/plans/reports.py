@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import natural_key
+from ..functions.text import bounded, natural_key
 from ..operators import filters, graph
 
+#: Words that make a sentence a duty.
+MODAL = r"(?i)(?<![A-Za-z])(?:must|shall|should|will|may not|is responsible)(?![A-Za-z])"
+
 
 def responsibility(edges: DataFrame) -> DataFrame:
     """customer, nation and the first supplier there, by edges that locate them."""
@@ -85,5 +88,43 @@ def ask(v, entity: str | None = None, edge_type: str | None = None, doc_type: st
     return docs.orderBy("doc_no", "id").limit(limit)
 
 
+def rewards(instances: DataFrame, params: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Instances (id, agent, kind, status) with a column for each parameter key (params: id, key, value), null where it is not set."""
+    columns = [F.max(F.when(F.col("key") == key, F.col("value"))).alias(name) for name, key in keys.items()]
+    return instances.join(params.groupBy("id").agg(*columns), "id", "left")
+
+
+def duties(docs: DataFrame, edges: DataFrame, subject: str) -> DataFrame:
+    """id, route and snippet of what a facilitator is answerable for: sections it is responsible for, those that define it, and those whose text obliges it."""
+    own = graph.entity_docs(edges, subject).select(F.col("doc_id").alias("id"), F.when(F.col("edge_type") == "responsible_party_for", "responsible").otherwise("linked").alias("route"))
+    titled = docs.join(own, "id").select("id", "route", duty_snippet(F.col("content"), subject).alias("snippet"))
+    told = docs.where(F.col("content").rlike(rf"(?i){bounded(subject)}") & F.col("content").rlike(MODAL)).select("id", F.lit("text").alias("route"), duty_snippet(F.col("content"), subject).alias("snippet"))
+    return titled.unionByName(told)
+
+
+def duty_snippet(content: Column, subject: str, width: int = 200) -> Column:
+    """The first sentence with the subject and a word of duty, else the first with the subject, else the first, without links and marks."""
+    plain = F.regexp_replace(F.regexp_replace(content, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"[*_`#]", "")
+    sentences = F.filter(F.transform(F.split(plain, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
+    about = F.filter(sentences, lambda x: x.rlike(rf"(?i){bounded(subject)}"))
+    bound = F.filter(about, lambda x: x.rlike(MODAL))
+    best = F.coalesce(F.get(bound, F.lit(0)), F.get(about, F.lit(0)), F.get(sentences, F.lit(0)), F.lit(""))
+    return F.when(F.length(best) > width, F.concat(F.substring(best, 1, width), F.lit("…"))).otherwise(best)
+
+
+def decided(decisions: DataFrame, docs: DataFrame, curated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted and rejected decisions (id, action, category, reason): ids must be known, new and given once, with a category to add or a reason to ignore."""
+    known = docs.select("id", F.lit(True).alias("known")).distinct()
+    had = curated.select("id", F.lit(True).alias("had")).distinct()
+    times = decisions.groupBy("id").agg(F.count("*").alias("times"))
+    rows = decisions.join(known, "id", "left").join(had, "id", "left").join(times, "id", "left")
+    fault = (
+        F.when(F.col("known").isNull(), "unknown id").when(F.col("had"), "already there").when(F.col("times") > 1, "given twice")
+        .when((F.col("action") == "add") & F.col("category").isNull(), "no category").when((F.col("action") == "ignore") & F.col("reason").isNull(), "no reason")
+    )
+    rows = rows.withColumn("fault", fault).drop("known", "had", "times")
+    return rows.where("fault IS NULL").drop("fault"), rows.where("fault IS NOT NULL")
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     return docs.orderBy(natural_key(F.col("doc_no")), "id")
