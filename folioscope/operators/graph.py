@@ -2,7 +2,8 @@
 
 A node is named by its type and id, as a section and the entity that it defines share an
 id. Traversals are a fixed small number of joins, each followed by one aggregation that
-keeps a node's least depth, so the frontier never repeats a node.
+keeps a node's least depth, so the frontier never repeats a node; each hop's frontier is
+written to the shared folder, so that plans stay short and no hop is computed twice.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 MOST_HOPS = 4
 
 
@@ -45,12 +48,12 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both"
     """
     if not 0 <= hops <= MOST_HOPS:
         raise ValueError(f"hops must be from 0 to {MOST_HOPS}")
-    step = steps(edges, direction)
+    step = stored(steps(edges, direction), "steps") if hops else None
     found = seeds.select("node_type", "node_id", F.lit(0).alias("depth")).distinct()
     frontier = found
     for hop in range(1, hops + 1):
         there = frontier.join(step, (F.col("node_type") == F.col("a_type")) & (F.col("node_id") == F.col("a_id"))).select(F.col("b_type").alias("node_type"), F.col("b_id").alias("node_id"), F.lit(hop).alias("depth"))
-        frontier = there.distinct().join(found.select("node_type", "node_id"), ["node_type", "node_id"], "left_anti")
+        frontier = stored(there.distinct().join(found.select("node_type", "node_id"), ["node_type", "node_id"], "left_anti"), "frontier")
         found = found.unionByName(frontier)
     return found
 
