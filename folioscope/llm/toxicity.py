@@ -208,9 +208,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     for value in (0, 1):
         some = known.where(F.col("toxic") == value).orderBy("draw", "doc_id").limit(sample)
         taken = some if taken is None else taken.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), seed)
+    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
+    # the sample has a fixed bound, so one task fits the model and the driver gets its numbers alone
+    fitted = rows.repartition(1).mapInArrow(lambda it: _fit_sample(it, seed), MODEL).first()
+    if fitted is None:
+        return fit([], np.zeros(0, np.int64), seed)
+    return Model(np.frombuffer(fitted["numbers"], np.float32), fitted["bias"], fitted["scale"], fitted["shift"])
+
+
+MODEL = "numbers binary, bias double, scale double, shift double"
+
+
+def _fit_sample(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for batch in batches for r in batch.to_pylist())
+    m = fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), seed)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([m.numbers.astype(np.float32).tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (m.bias, m.scale, m.shift))], names=["numbers", "bias", "scale", "shift"]
+    )
 
 
 def held_out(id_col: str):
