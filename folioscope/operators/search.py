@@ -7,6 +7,12 @@ the best of each query come from a window partitioned by query.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,18 +99,65 @@ def similar_terms(index: DataFrame, terms: DataFrame, edits: int) -> DataFrame:
     return near.select("query_id", F.col("term").alias("q_term")).distinct()
 
 
-def semantic(vectors: DataFrame, queries: DataFrame, id_col: str = "doc_id", bound: int = 10_000) -> DataFrame:
-    """query_id, doc_id and cosine of all vectors with each query's vector.
-
-    queries: query_id, q_vector. They are a stated, checked number of rows, sent to every task.
+#: Vectors of a chunk, which is scored at once against SLICE queries of a block.
+CHUNK, SLICE = 4096, 512
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of vectors of one length, as their ids, ascending, and a matrix of their bytes."""
+    for batch in batches:
+        batch = batch.take(pc.sort_indices(batch.column("doc_id"), null_placement="at_start"))
+        sizes = pc.list_value_length(batch.column("v"))
+        for dim in pc.unique(sizes).to_pylist():
+            rows = batch.filter(pc.equal(sizes, dim))
+            for at in range(0, rows.num_rows, CHUNK):
+                part = rows.slice(at, CHUNK)
+                matrix = pc.list_flatten(part.column("v")).to_numpy(zero_copy_only=False).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.string())), pa.array([matrix], pa.binary()), pa.array([dim], pa.int32())], ["ids", "matrix", "dim"])
+
+
+def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a chunk for each query of a block, by the cosine at nine places, then by id."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            ids, asked, dim = batch.column("ids")[n].values, batch.column("asked")[n].values, batch.column("dim")[n].as_py()
+            asked = asked.filter(pc.equal(pc.list_value_length(asked.field("q")), dim))
+            if not len(asked):
+                continue
+            vectors = np.frombuffer(batch.column("matrix")[n].as_py()).reshape(len(ids), dim)
+            wanted = asked.field("q").flatten().to_numpy(zero_copy_only=False).reshape(len(asked), dim)
+            query, found, scores = [], [], []
+            for at in range(0, len(asked), SLICE):
+                near = np.round(wanted[at : at + SLICE] @ vectors.T, 9)
+                least = np.partition(near, -k, 1)[:, -k] if k < len(ids) else near.min(1)
+                for i, row in enumerate(near):
+                    held = np.flatnonzero(row >= least[i])
+                    held = held[np.argsort(-row[held], kind="stable")][:k]
+                    query.append(np.full(len(held), at + i))
+                    found.append(held)
+                    scores.append(row[held])
+            yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(np.concatenate(query))), ids.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], ["query_id", "doc_id", "score"])
+
+
+def semantic(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", block: int = 10_000) -> DataFrame:
+    """query_id, doc_id, score and rank from 0: the k vectors of greatest cosine with each query's vector, of all that have its length.
+
+    queries: query_id, q_vector, any number of them. They are dealt by hash into blocks of about
+    ``block``, and one block after another is sent to every task; a task keeps the k best of each
+    chunk of vectors. Scores are cosines at nine places, ties go by id.
     """
-    asked = queries.limit(bound + 1).count()
-    if asked > bound:
-        raise ValueError(f"more than {bound} queries at once")
-    q = F.broadcast(queries.select("query_id", unit_vector(F.col("q_vector")).alias("q")))
-    v = vectors.select(id_col, unit_vector(F.col("embedding")).alias("v"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return v.join(q).select("query_id", F.col(id_col).alias("doc_id"), dot.alias("score"))
+    asked = queries.select("query_id", unit_vector(F.col("q_vector")).alias("q")).where("q IS NOT NULL AND NOT exists(q, x -> x IS NULL)")
+    blocks = max(1, -(-asked.count() // block))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)))
+    v = vectors.select(F.col(id_col).alias("doc_id"), unit_vector(F.col("embedding")).alias("v")).where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    chunks = v.mapInArrow(_packed, "ids array<string>, matrix binary, dim int")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = None
+    for b in range(blocks):
+        q = asked.where(F.col("block") == b).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+        leg = chunks.join(F.broadcast(q)).mapInArrow(partial(_best, k=k), f"query_id {kind}, doc_id string, score double")
+        rows = leg if rows is None else rows.unionByName(leg)
+    return top(rows.withColumn("score", F.round("score", 9)), k)
 
 
 def fuse(*legs: DataFrame) -> DataFrame:

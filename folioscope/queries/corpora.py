@@ -169,7 +169,7 @@ def _(v):
 @query("r14_hybrid", "corpus", "vectors")
 def _(v):
     # each vector asked for stands for its document, whose title is the words asked for
-    near = search.top(search.semantic(v.vectors, vector_queries(v)), 40).withColumn("source", F.lit("semantic"))
+    near = search.semantic(v.vectors, vector_queries(v), 40).withColumn("source", F.lit("semantic"))
     q = v.corpus.where("ord % 50 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("q"))
     words = search.top(search.lexical(search.postings(v.corpus, ["title", "content"]), search.query_terms(q)), 40).withColumn("source", F.lit("lexical"))
     return search.top(search.fuse(words, near), 10)

@@ -23,8 +23,7 @@ def _(v):
 @query("o3_overfetch", "vectors", sql=SEMANTIC + """SELECT query_id, doc_id, CAST(n - 1 AS INT) AS rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS n FROM (
 SELECT query_id, doc_id, label, round(score, 9) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS k FROM se) WHERE k <= 40 AND label = 3) WHERE n <= 10""")
 def _(v):
-    scores = search.semantic(v.vectors, vector_queries(v)).withColumn("score", F.round("score", 9))
-    wide = search.top(scores, 40).drop("rank").join(v.vectors.where("label = 3").select("doc_id"), "doc_id", "left_semi")
+    wide = search.semantic(v.vectors, vector_queries(v), 40).drop("rank").join(v.vectors.where("label = 3").select("doc_id"), "doc_id", "left_semi")
     return search.top(wide, 10).select("query_id", "doc_id", "rank")
 
 

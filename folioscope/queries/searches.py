@@ -88,8 +88,7 @@ se AS (SELECT q.doc_id AS query_id, n.doc_id, n.label, list_sum(list_transform(r
 @query("r10_semantic", "vectors", sql=SEMANTIC + "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS INT) AS rank FROM se WHERE label <= 4) WHERE rank < 8")
 def _(v):
     q = vector_queries(v)
-    scores = search.semantic(v.vectors.where("label <= 4"), q).withColumn("score", F.round("score", 9))
-    return search.top(scores, 8).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return search.semantic(v.vectors.where("label <= 4"), q, 8).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("r12_fusion", "history", sql=""", legs AS (SELECT date AS query_id, doc_id, 'a' AS source, row_number() OVER (PARTITION BY date ORDER BY sum(value) DESC, doc_id) - 1 AS rank FROM history WHERE change_type = 'added' GROUP BY date, doc_id
