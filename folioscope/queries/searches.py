@@ -91,6 +91,11 @@ def _(v):
     return search.semantic(v.vectors.where("label <= 4"), q, 8).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("r10_all_vectors", "vectors", sql=SEMANTIC + "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS INT) AS rank FROM se) WHERE rank < 8")
+def _(v):
+    return search.semantic(v.vectors, vector_queries(v), 8).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("r12_fusion", "history", sql=""", legs AS (SELECT date AS query_id, doc_id, 'a' AS source, row_number() OVER (PARTITION BY date ORDER BY sum(value) DESC, doc_id) - 1 AS rank FROM history WHERE change_type = 'added' GROUP BY date, doc_id
 UNION ALL SELECT date, doc_id, 'b', row_number() OVER (PARTITION BY date ORDER BY count(*) DESC, doc_id) - 1 FROM history GROUP BY date, doc_id)
 SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS score, array_to_string(list_sort(list(DISTINCT source)), '+') AS sources FROM legs WHERE rank < 20 GROUP BY query_id, doc_id""")

@@ -3,9 +3,23 @@
 import numpy as np
 import pytest
 
+from folioscope import catalog
 from folioscope.operators import search
 
 
+def test_all_vectors_are_neighbours(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4).tolist(), None if i % 3 == 0 else i % 10) for i in range(200)]
+    rows[7] = (7, rows[50][1], 9)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r["rank"]): r.doc_id for r in catalog.queries()["r10_all_vectors"](spark, str(tmp_path)).collect()}
+    unit = np.array([r[1] for r in rows], np.float32).astype(float)
+    unit /= np.sqrt((unit**2).sum(1, keepdims=True))
+    near = np.round(unit @ unit.T, 9)
+    want = {(f"D{q}", k): d for q in range(0, 200, 50) for k, d in enumerate(sorted((f"D{i}" for i in range(200)), key=lambda d, q=q: (-near[q, int(d[1:])], d))[:8])}
+    assert got == want and {got["D50", 0], got["D50", 1]} == {"D50", "D7"}
+
+
 @pytest.mark.parametrize("block", [3, 10_000])
 def test_semantic_takes_more_queries_than_a_block(spark, block):
     rng = np.random.default_rng(2)
