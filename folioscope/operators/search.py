@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import index_terms, unit_vector
+from ..session import stored
 
 # fixed values: weights of fields, and the constant that ranks are softened by
 BOOSTS = {"title": 10.0, "doc_no": 5.0, "type": 2.0, "content": 1.0}
 FUSE = 60
 K1, B = 1.2, 0.75
+#: Up to so many pairs of a query and a term are sent to every task; beyond, they are joined by shuffles.
+SENT = 1_000_000
 
 
 def postings(docs: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
@@ -50,30 +53,39 @@ def query_terms(queries: DataFrame, text: str = "q") -> DataFrame:
 def lexical(index: DataFrame, terms: DataFrame, boosts: dict[str, float] = BOOSTS, prefix: bool = False) -> DataFrame:
     """query_id, doc_id, score and fields hit: BM25 of each field by its weight, terms joined by or.
 
-    With ``prefix`` a query's term also stands for the terms that begin with it.
+    With ``prefix`` a query's term also stands for the terms that begin with it. An index made of
+    documents that are partitioned by id is scored where it lies.
     """
-    lengths = field_lengths(index)
-    stats = field_stats(lengths)
+    stats = F.broadcast(field_stats(field_lengths(index)))  # a row for each field
+    df = index.groupBy("term", "field").agg(F.count("*").alias("df"))
     if prefix:
-        words = index.select("term").distinct()
-        beginnings = words.withColumn("q_term", F.explode(F.transform(F.sequence(F.lit(2), F.length("term")), lambda n: F.substring("term", F.lit(1), n))))
+        # the lengths of queries' terms are a handful, whereas a term can have thousands of beginnings
+        sizes = terms.select(F.length("q_term").alias("size")).distinct()
+        words = df.select("term").distinct().join(F.broadcast(sizes), F.length("term") >= F.col("size"))
+        beginnings = words.select("term", F.expr("substring(term, 1, size)").alias("q_term"))
         terms = terms.join(beginnings, "q_term").select("query_id", "term").distinct()
     else:
         terms = terms.withColumnRenamed("q_term", "term")
-    hits = index.join(terms, "term")
-    df = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "field").agg(F.count("*").alias("df"))
-    hits = hits.join(df, ["term", "field"]).join(lengths, ["doc_id", "field"]).join(F.broadcast(stats), "field")  # a row for each field
+    names = sorted(boosts)
+    weight = F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair])[F.col("field")]
+    bit = F.create_map(*[F.lit(x) for n, name in enumerate(names) for x in (name, 1 << n)])[F.col("field")]
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gains = df.join(terms, "term").join(stats, "field").select("query_id", "term", "field", (weight * idf).alias("gain"), bit.alias("bit"))
+    gains = stored(gains, "gains")
+    if gains.count() <= SENT:
+        gains = F.broadcast(gains)
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weight = F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair])[F.col("field")]
-    scored = hits.withColumn("part", weight * idf * tf)
-    return scored.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.array_join(F.array_sort(F.collect_set("field")), " + ").alias("fields"))
+    rows = index.withColumn("len", F.sum("tf").over(Window.partitionBy("doc_id", "field"))).join(stats, "field").select("doc_id", "term", "field", tf.alias("part"))
+    found = rows.join(gains, ["term", "field"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("gain") * F.col("part")).alias("score"), F.bit_or("bit").alias("bits"))
+    fields = F.concat_ws(" + ", *[F.when(F.col("bits").bitwiseAND(1 << n) != 0, name) for n, name in enumerate(names)])
+    return found.select("query_id", "doc_id", "score", fields.alias("fields"))
 
 
 def top(scores: DataFrame, k: int, by: str = "score", id_col: str = "doc_id") -> DataFrame:
     """The k best rows of each query with rank from 0, ties by id."""
     w = Window.partitionBy("query_id").orderBy(F.desc(by), F.col(id_col))
-    return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    best = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # in this form tasks leave out what can't be among them
+    return best.withColumn("rank", F.col("rank") - 1)
 
 
 def similar_terms(index: DataFrame, terms: DataFrame, edits: int) -> DataFrame:

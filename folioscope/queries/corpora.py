@@ -9,7 +9,7 @@ from ..operators import extraction, filters, graph, search, tables
 from ..plans import reports
 from ..sources import readers
 from . import query
-from .searches import vector_queries
+from .searches import ALL_FIELDS, vector_queries
 
 
 @query("s1_page_sections", sql="""WITH b AS (SELECT page_id, generate_subscripts(m, 1) AS n, unnest(m) AS block FROM (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h1|h2|p)[^>]*>.*?</(?:h1|h2|p)>') AS m FROM pages)),
@@ -171,5 +171,5 @@ def _(v):
     # each vector asked for stands for its document, whose title is the words asked for
     near = search.semantic(v.vectors, vector_queries(v), 40).withColumn("source", F.lit("semantic"))
     q = v.corpus.where("ord % 50 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("q"))
-    words = search.top(search.lexical(search.postings(v.corpus, ["title", "content"]), search.query_terms(q)), 40).withColumn("source", F.lit("lexical"))
+    words = search.top(search.lexical(search.postings(v.corpus.repartition("id"), ALL_FIELDS), search.query_terms(q), prefix=True), 40).withColumn("source", F.lit("lexical"))
     return search.top(search.fuse(words, near), 10)

@@ -11,7 +11,7 @@ from ..session import shared_folder
 from ..sources import readers
 from ..streaming import changes
 from . import query
-from .searches import FIELDS, INDEX, SEMANTIC, asked, vector_queries
+from .searches import FIELDS, INDEX, PREFIX_INDEX, SEMANTIC, asked, prefix_hits, vector_queries
 
 
 @query("w5_rank_in_leg", "history", sql="SELECT date, doc_id, CAST(row_number() OVER (PARTITION BY date ORDER BY n DESC, doc_id) AS INT) AS rank FROM (SELECT date, doc_id, count(*) AS n FROM history GROUP BY ALL)")
@@ -76,6 +76,12 @@ def _(v):
     return hits.join(held, "doc_id", "left_semi").select("query_id", "doc_id")
 
 
+@query("r13_prefix_phrase", "corpus", sql=PREFIX_INDEX + r"SELECT query_id, doc_id FROM sc JOIN corpus ON corpus.id = sc.doc_id WHERE regexp_matches(content, '(?i)(?:^|[^A-Za-z0-9_])licensed under(?:[^A-Za-z0-9_]|$)') OR regexp_matches(title, '(?i)(?:^|[^A-Za-z0-9_])licensed under(?:[^A-Za-z0-9_]|$)')")
+def _(v):
+    held = v.corpus.where(filters.phrase(F.col("title"), F.col("content"), "licensed under")).select(F.col("id").alias("doc_id"))
+    return prefix_hits(v).join(held, "doc_id", "left_semi").select("query_id", "doc_id")
+
+
 @query("r21_vector_cache", "vectors", sql="SELECT doc_id, label % 2 = 0 AS reused, round(CASE WHEN label % 2 = 0 THEN embedding[1]::DOUBLE ELSE embedding[1]::DOUBLE / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))) END, 6) AS head FROM vectors WHERE label IS NOT NULL")
 def _(v):
     rows = v.vectors.where("label IS NOT NULL").withColumn("reused", F.col("label") % 2 == 0)

@@ -24,6 +24,13 @@ sc AS (SELECT query_id, doc_id, sum(CASE field WHEN 'title' THEN 10.0 WHEN 'type
  array_to_string(list_sort(list(DISTINCT field)), ' + ') AS fields FROM post JOIN qt USING (term) JOIN df USING (term, field) JOIN lens USING (doc_id, field) JOIN fs USING (field) GROUP BY ALL)
 """
 FIELDS = ["title", "content", "type"]
+#: The same over doc_no too, where a query's term also stands for the terms that begin with it.
+PREFIX_INDEX = (
+    INDEX.replace(" UNION ALL SELECT 'type'", f" UNION ALL SELECT 'doc_no', id, unnest({terms_sql('doc_no')}) FROM corpus UNION ALL SELECT 'type'")
+    .replace("qt AS (", "q0 AS (").replace("df AS (", "qt AS (SELECT DISTINCT query_id, p.term FROM q0 JOIN (SELECT DISTINCT term FROM post) p ON starts_with(p.term, q0.term)),\ndf AS (", 1)
+    .replace("WHEN 'type' THEN 2.0", "WHEN 'doc_no' THEN 5.0 WHEN 'type' THEN 2.0")
+)
+ALL_FIELDS = ["title", "doc_no", "type", "content"]
 
 
 def asked(v):
@@ -46,6 +53,17 @@ def _(v):
     return search.top(scores, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def prefix_hits(v):
+    """All hits of the benchmark's items, by whole terms and terms that begin with theirs, in all four fields."""
+    return search.lexical(search.postings(v.corpus.repartition("id"), ALL_FIELDS), search.query_terms(asked(v)), prefix=True)
+
+
+@query("r2_prefix", "corpus", sql=PREFIX_INDEX + "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS INT) AS rank FROM sc) WHERE rank < 10")
+def _(v):
+    scores = prefix_hits(v).withColumn("score", F.round("score", 9))
+    return search.top(scores, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("r4_fuzzy_terms", "corpus", sql=INDEX + """, vocab AS (SELECT DISTINCT term FROM post WHERE field = 'title'), qq AS (SELECT unnest(['trash', 'license', 'anble', 'ontion']) AS q)
 SELECT q, term FROM qq, vocab WHERE levenshtein(q, term) <= 1""")
 def _(v):
@@ -80,6 +98,11 @@ def _(v):
     return search.lexical(search.postings(v.corpus, FIELDS), search.query_terms(asked(v))).groupBy("fields").agg(F.count("*").alias("hits"))
 
 
+@query("r9_prefix_reason", "corpus", sql=PREFIX_INDEX + "SELECT fields, CAST(count(*) AS BIGINT) AS hits FROM sc GROUP BY fields")
+def _(v):
+    return prefix_hits(v).groupBy("fields").agg(F.count("*").alias("hits"))
+
+
 SEMANTIC = """, nv AS (SELECT doc_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS u FROM vectors),
 se AS (SELECT q.doc_id AS query_id, n.doc_id, n.label, list_sum(list_transform(range(1, len(n.u) + 1), lambda k: n.u[k] * q.u[k])) AS score FROM nv n, nv q WHERE CAST(substr(q.doc_id, 2) AS BIGINT) % 50 = 0)
 """

@@ -29,3 +29,19 @@ def test_semantic_takes_more_queries_than_a_block(spark, block):
     unit = lambda x: np.array(x) / np.linalg.norm(x)
     want = {(q, k, d) for q, x in asked[:20] for k, d in enumerate(sorted((d for d, _ in vectors[:30]), key=lambda d, x=x: -unit(x) @ unit(dict(vectors)[d]))[:2])}
     assert {(r.query_id, r["rank"], r.doc_id) for r in found.collect()} == want
+
+
+def test_terms_stand_for_those_that_begin_with_them_in_all_fields(spark):
+    docs = spark.createDataFrame([("a", "plan", "x.1", "en", "nothing"), ("b", "", "planet.2", "en", ""), ("c", "", "x.3", "en", "the planning plan"), ("d", "", "x.4", "en", "pla lan")], "id string, title string, doc_no string, type string, content string")
+    asked = spark.createDataFrame([(1, "plan"), (2, "planet")], "query_id int, q string")
+    found = search.lexical(search.postings(docs, ["title", "doc_no", "type", "content"]), search.query_terms(asked), prefix=True)
+    rows = found.collect()
+    assert {(r.query_id, r.doc_id, r.fields) for r in rows} == {(1, "a", "title"), (1, "b", "doc_no"), (1, "c", "content"), (2, "b", "doc_no")}
+    assert all(r.score > 0 for r in rows)
+
+
+def test_registered_search_reaches_beginnings_and_numbers(spark, tmp_path):
+    spark.createDataFrame([(7, "alpha beta", "wiki", "en"), (8, "licensed gamma", "books", "en")], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "gam"), (2, "wiki")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.query_id, r.doc_id) for r in catalog.queries()["r2_prefix"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "D8"), (2, "D7")}
