@@ -207,11 +207,21 @@ def _(v):
     return v.docs.where("depth = 3").orderBy(text.natural_key(F.col("doc_no")), "id").limit(50).select("id")
 
 
+@query("o1_whole_order", "docs", sql="SELECT id, array_to_string(list_transform(string_split(doc_no, '.'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(x, 10, '0') ELSE x END), '.') AS key FROM docs ORDER BY key, id")
+def _(v):
+    return v.docs.select("id", text.natural_key(F.col("doc_no")).alias("key")).orderBy("key", "id")
+
+
 @query("o2_flag_then_number", "docs", "curr", sql="SELECT id FROM docs ORDER BY (id LIKE 'S%') DESC, array_to_string(list_transform(string_split(doc_no, '.'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(x, 10, '0') ELSE x END), '.'), id LIMIT 40")
 def _(v):
     return v.docs.orderBy(F.col("id").startswith("S").desc(), text.natural_key(F.col("doc_no")), "id").limit(40).select("id")
 
 
+@query("o2_whole_order", "docs", sql="SELECT id, id LIKE 'S%' AS flag, array_to_string(list_transform(string_split(doc_no, '.'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(x, 10, '0') ELSE x END), '.') AS key FROM docs ORDER BY flag DESC, key, id")
+def _(v):
+    return v.docs.select("id", F.col("id").startswith("S").alias("flag"), text.natural_key(F.col("doc_no")).alias("key")).orderBy(F.desc("flag"), "key", "id")
+
+
 @query("o5_entity_hits", "entities", sql="SELECT id, name FROM (SELECT *, CASE WHEN lower(name) = 'a' THEN 3 WHEN starts_with(lower(name), 'a') THEN 2 WHEN contains(lower(name), 'a') THEN 1 ELSE 0 END AS s FROM entities) WHERE s > 0 ORDER BY s DESC, len(name), id LIMIT 6")
 def _(v):
     scored = v.entities.withColumn("s", filters.name_score(F.col("name"), "a")).where("s > 0")
@@ -223,6 +233,11 @@ def _(v):
     return v.history.orderBy(F.desc("commit_seq"), F.desc("event_id")).limit(30).select("event_id", "date")
 
 
+@query("o7_whole_history", "history", sql="SELECT event_id, date, commit_seq FROM history ORDER BY commit_seq DESC, event_id DESC")
+def _(v):
+    return v.history.select("event_id", "date", "commit_seq").orderBy(F.desc("commit_seq"), F.desc("event_id"))
+
+
 @query("u1_bag_union", "edges", sql="SELECT edge_type, CAST(2 * count(*) AS BIGINT) AS n FROM edges GROUP BY edge_type")
 def _(v):
     return v.edges.unionByName(v.edges).groupBy("edge_type").agg(F.count("*").alias("n"))

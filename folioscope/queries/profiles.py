@@ -38,6 +38,13 @@ def _(v):
     return v.docs.where(F.col("doc_no").startswith("A.4.")).orderBy(text.natural_key(F.col("doc_no")), "id").limit(100).select("id", "depth")
 
 
+@query("g8_whole_tree", "docs", sql="SELECT id, CAST(CASE WHEN id LIKE 'S%' THEN 3 ELSE len(string_split(doc_no, '.')) - 1 END AS INT) AS depth, array_to_string(list_transform(string_split(doc_no, '.'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(x, 10, '0') ELSE x END), '.') AS key FROM docs ORDER BY key, id")
+def _(v):
+    parents = v.docs.select(F.col("id").alias("parent_id"), F.col("doc_no").alias("parent_no"))
+    rows = v.docs.join(parents, "parent_id", "left")
+    return rows.select("id", text.true_depth(F.col("doc_no"), F.col("parent_no")).alias("depth"), text.natural_key(F.col("doc_no")).alias("key")).orderBy("key", "id")
+
+
 @query("g13_cluster", "edges", sql="""SELECT DISTINCT id FROM (SELECT to_id AS id FROM edges WHERE edge_type = 'located_in' AND from_id = 'S1' UNION ALL
 SELECT e.from_id FROM edges e WHERE e.edge_type = 'located_in' AND e.from_id LIKE 'S%' AND e.to_id IN (SELECT to_id FROM edges WHERE edge_type = 'located_in' AND from_id = 'S1'))""")
 def _(v):

@@ -45,3 +45,10 @@ def test_registered_search_reaches_beginnings_and_numbers(spark, tmp_path):
     spark.createDataFrame([(1, "gam"), (2, "wiki")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r.query_id, r.doc_id) for r in catalog.queries()["r2_prefix"](spark, str(tmp_path)).collect()}
     assert got == {(1, "D8"), (2, "D7")}
+
+
+@pytest.mark.parametrize("name, table", [("o1_whole_order", "docs"), ("o2_whole_order", "docs"), ("g8_whole_tree", "docs"), ("o7_whole_history", "history")])
+def test_whole_sorts_keep_every_row(spark, sf_dir, name, table):
+    from folioscope.queries import Views
+
+    assert catalog.queries()[name](spark, sf_dir).count() == getattr(Views(spark, sf_dir), table).count()
