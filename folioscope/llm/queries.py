@@ -116,8 +116,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 3)), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM d),
-si AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 3)), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i),
+k AS (SELECT DISTINCT least(len(w), 5) AS k FROM i WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - k + 2)), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS s FROM d, k),
+si AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda j: array_to_string(w[j:j + least(len(w), 5) - 1], ' '))) AS s FROM i WHERE len(w) > 0),
 n AS (SELECT item_id, CAST(count(*) AS BIGINT) AS item_shingles FROM si GROUP BY item_id)
 SELECT doc_id, item_id, any_value(item_shingles) AS item_shingles, CAST(count(*) AS BIGINT) AS found, count(*) / any_value(item_shingles) AS containment
 FROM ds JOIN si USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) * 10 >= any_value(item_shingles) * 8
