@@ -1,11 +1,12 @@
 """Sharding by a hierarchical weighted hash tree: region, rack and shard.
 
-At each level every child draws -ln(u) / weight with u from a hash of the key and the
-child's path; the least draw wins. Draws of a child depend on nothing but the key, the
-path and the child's own weight, so a change of weights moves keys only into or out of
-the subtrees whose weights change, and each child holds keys in proportion to its
-weight. A shard that is added as a region of its own leaves all other draws as they
-are, so it only takes keys into itself.
+Every shard draws -ln(u) / weight with u from a hash of the key and the shard's path; a
+rack's draw is the least of its shards', a region's the least of its racks'. The least of
+such draws is itself a draw for the sum of the weights, so at each level a child wins in
+proportion to the weight below it, and the key descends region, rack and shard by the
+least draw. A shard's draw depends on nothing but the key, its path and its own weight,
+so a change of weights moves keys only into or out of the subtrees whose weights change,
+and a shard that is added anywhere, to a tree of any size, only takes keys into itself.
 """
 
 from __future__ import annotations
@@ -23,51 +24,47 @@ SLOT_PARTS = 256
 OFFSETS_BROADCAST = 200_000
 
 
-def topology(shards: int, base: int = 40, racks: int = 2, per_rack: int = 5) -> Topology:
-    """A tree for a number of shards: the first ``base`` in full regions, each further one as a region of its own."""
+def topology(shards: int, racks: int = 2, per_rack: int = 5) -> Topology:
+    """A tree for a number of shards, filled in order: regions of ``racks`` racks of ``per_rack`` shards of weight 1."""
     tree: Topology = []
-    for s in range(min(shards, base)):
+    for s in range(shards):
         if s % (racks * per_rack) == 0:
             tree.append([])
         if s % per_rack == 0:
             tree[-1].append([])
         tree[-1][-1].append(1.0)
-    return tree + [[[1.0]] for _ in range(shards - base)]
+    return tree
 
 
-def _draw(key: Column, weights: Column, path: list[Column], seed: int) -> Column:
-    """Index of the child that wins; children of weight 0 never do."""
-    def score(w: Column, i: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), *path, i), 11)
-        u = (bits.cast("double") + 0.5) * F.lit(2.0**-53)
-        return F.struct(F.when(w > 0, -F.ln(u) / w).otherwise(F.lit(float("inf"))).alias("draw"), i.alias("child"))
+def _draw(key: Column, path: tuple[int, int, int], weight: float, seed: int) -> Column:
+    """The draw of a shard; one of weight 0 never wins."""
+    if weight <= 0:
+        return F.lit(float("inf"))
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), *map(F.lit, path)), 11)
+    return -F.ln((bits.cast("double") + 0.5) * F.lit(2.0**-53)) / F.lit(float(weight))
 
-    return F.array_min(F.transform(weights, score))["child"]
 
-
-def _nested(values) -> Column:
-    return F.array(*[_nested(v) if isinstance(v, list) else F.lit(float(v)) for v in values])
+def _least(pairs: list[Column]) -> Column:
+    return F.array_min(F.array(*pairs)) if len(pairs) > 1 else pairs[0]
 
 
 def place(df: DataFrame, key: Column, tree: Topology, out: str = "shard", seed: int = 7) -> DataFrame:
     """Adds the number of the shard, counted through the tree, that the key descends to.
 
-    Null keys all descend the same way. The tree is part of the plan; nothing is shuffled.
+    Null keys all descend the same way. A column of df that has the name of the result is
+    replaced. The tree is part of the plan; nothing is shuffled.
     """
-    region_w = [sum(sum(rack) for rack in region) for region in tree]
-    rack_w = [[sum(rack) for rack in region] for region in tree]
-    first, n = [], 0
-    for region in tree:
-        first.append([])
-        for rack in region:
-            first[-1].append(n)
-            n += len(rack)
-    r, k, s = f"_{out}_region", f"_{out}_rack", f"_{out}_leaf"
-    df = df.withColumn(r, _draw(key, _nested(region_w), [F.lit("region")], seed))
-    df = df.withColumn(k, _draw(key, F.get(_nested(rack_w), F.col(r)), [F.lit("rack"), F.col(r)], seed))
-    df = df.withColumn(s, _draw(key, F.get(F.get(_nested(tree), F.col(r)), F.col(k)), [F.lit("shard"), F.col(r), F.col(k)], seed))
-    number = F.get(F.get(_nested(first), F.col(r)), F.col(k)).cast("int") + F.col(s)
-    return df.withColumn(out, number.cast("int")).drop(r, k, s)
+    number, regions = 0, []
+    for r, racks in enumerate(tree):
+        below = []
+        for k, weights in enumerate(racks):
+            leaves = []
+            for s, w in enumerate(weights):
+                leaves.append(F.struct(_draw(key, (r, k, s), w, seed).alias("draw"), F.lit(number).alias("shard")))
+                number += 1
+            below.append(_least(leaves))
+        regions.append(_least(below))
+    return df.withColumn(out, _least(regions)["shard"])
 
 
 def slots(df: DataFrame, key: str, order: list[str], shard: str = "shard", shards: int = 40) -> DataFrame:
@@ -95,9 +92,11 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     The law is ``key``: the id and the number of shards decide, and grown_shard is the
-    place with one more shard. Null texts have size 16 and the checksum of an empty text;
-    null ids share one shard; repeated rows share a shard and have slots of their own.
-    Other columns of the input are ignored.
+    place with one more shard, for any number of shards. Null texts have size 16 and the
+    checksum of an empty text; null ids share one shard; repeated rows share a shard and
+    have slots of their own. Texts do not decide: equal texts have equal text_crc32, and
+    stand in one shard only if their ids do. Other columns of the input are ignored; an
+    empty table gives an empty one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
