@@ -10,25 +10,75 @@ import numpy as np
 
 
 class BitVector:
+    """Packed bits with ranks. Words of 64 equal bits, which runs of the transform make many of, are told by their counts alone."""
+
     def __init__(self, bits: np.ndarray):
         padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words))]).astype(np.int32)
+        words = np.packbits(padded, bitorder="little").view(np.uint64)
+        ones = np.bitwise_count(words)
+        self.before = np.concatenate([[0], np.cumsum(ones)]).astype(np.int32)
+        mixed = (ones > 0) & (ones < 64)
+        self.place = np.where(mixed, np.cumsum(mixed) + 1, ones // 64).astype(np.int32)
+        self.kept = np.concatenate([np.array([0, (1 << 64) - 1], np.uint64), words[mixed]])
         self.zeros = len(bits) - int(self.before[-1])
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before position i."""
         word = i >> 6
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+        return self.before[word] + np.bitwise_count(self.kept[self.place[word]] & mask)
+
+
+#: Positions whose least owner is looked up as one.
+STRIDE = 32
+
+
+class RangeMinimum:
+    """Least values of ranges, in four times the space of the values: minima up to and from each place of a stride, and of 2^k strides."""
+
+    def __init__(self, values: np.ndarray):
+        strides = len(values) // STRIDE + 1
+        padded = np.full(strides * STRIDE, np.iinfo(np.int32).max, np.int32)
+        padded[: len(values)] = values
+        self.values, grid = padded, padded.reshape(strides, STRIDE)
+        self.upto = np.minimum.accumulate(grid, axis=1).ravel()
+        self.onward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+        self.levels = [grid.min(1)]
+        while 2 << (len(self.levels) - 1) <= strides:
+            step, last = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(np.minimum(last[:-step], last[step:]))
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of non-empty ranges [low, high)."""
+        out = np.empty(len(low), np.int32)
+        first, last = low // STRIDE, (high - 1) // STRIDE
+        inside = np.flatnonzero(first == last)
+        at, end = low[inside], high[inside]
+        least = self.values[at]
+        while len(inside):
+            at = at + 1
+            done = at >= end
+            out[inside[done]] = least[done]
+            inside, at, end, least = inside[~done], at[~done], end[~done], least[~done]
+            least = np.minimum(least, self.values[at])
+        across = np.flatnonzero(first < last)
+        out[across] = np.minimum(self.onward[low[across]], self.upto[high[across] - 1])
+        between = last - first - 1
+        wide = np.flatnonzero(between > 0)
+        level = np.bitwise_count(_fill(between[wide])).astype(np.int64) - 1
+        for k in np.unique(level):
+            pick = wide[level == k]
+            table = self.levels[k]
+            out[pick] = np.minimum(out[pick], np.minimum(table[first[pick] + 1], table[last[pick] - (1 << int(k))]))
+        return out
 
 
 class FMIndex:
     """Over sequences joined with an end mark after each; symbols are 1 to ``symbols``."""
 
     def __init__(self, text: np.ndarray, ends: np.ndarray, symbols: int, owner: np.ndarray):
-        """text: symbols with 0 at ``ends``; owner: a number for each position, asked for by ``least_owner``."""
+        """text: symbols with 0 at ``ends``; owner: a number for each position, whose least ``least_owner`` gives for suffix ranges."""
         order = self._suffixes(text, ends)
         transform = text[order - 1]
         self.levels = max(1, int(symbols).bit_length())
@@ -42,11 +92,7 @@ class FMIndex:
         every = np.arange(symbols + 1)
         self.base = self._descend(every, np.zeros(symbols + 1, np.int64))
         self.size = len(text)
-        tables = [owner[order].astype(np.int32)]
-        while 2 << (len(tables) - 1) <= self.size:
-            step, last = 1 << (len(tables) - 1), tables[-1]
-            tables.append(np.minimum(last[:-step], last[step:]))
-        self.least = tables
+        self.least_owner = RangeMinimum(owner[order].astype(np.int32))
 
     @staticmethod
     def _suffixes(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -82,15 +128,6 @@ class FMIndex:
         m = len(symbol)
         return both[:m] + start, both[m:] + start
 
-    def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Least owner in non-empty suffix ranges."""
-        span = np.bitwise_count(_fill(high - low)).astype(np.int64) - 1
-        out = np.empty(len(low), np.int32)
-        for k in np.unique(span):
-            pick = span == k
-            out[pick] = np.minimum(self.least[k][low[pick]], self.least[k][high[pick] - (1 << int(k))])
-        return out
-
 
 def _fill(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64)
@@ -105,7 +142,8 @@ def matched_windows(index: FMIndex, patterns: np.ndarray, starts: np.ndarray, le
     Backward search gives a pattern's matching statistics only where they decide a
     window. Of the window starts that are still open, the last one is searched from its
     end as far left as it matches, which settles all windows inside the match; then the
-    first one, whose failure settles all windows that hold the piece that failed.
+    first one, whose failure settles all windows that hold the piece that failed. Symbol 0
+    in a pattern is one that no sequence has.
     """
     first, last = np.zeros(len(starts), np.int64), lengths - window
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -124,7 +162,7 @@ def matched_windows(index: FMIndex, patterns: np.ndarray, starts: np.ndarray, le
     while len(alive):
         symbol = patterns[starts[alive] + left[alive] - 1]
         lo, hi = index.extend(symbol, low[alive], high[alive])
-        ok = lo < hi
+        ok = (lo < hi) & (symbol > 0)
         ok[ok] = index.least_owner(lo[ok], hi[ok]) < below[alive[ok]]
         go = alive[ok]
         low[go], high[go] = lo[ok], hi[ok]

@@ -6,10 +6,13 @@
 2. A surrounding is a segment: the words of the windows that the anchor is the least of.
    Equal segments are kept once, under their least document; so copies, however many,
    are one segment.
-3. Segments whose anchor has more than one are dealt into shards by anchor. Each shard builds a compressed FM-index over
-   its segments and streams them through it: backward search over the wavelet tree gives
-   the stretches in which every window occurs in a document with a smaller id. A segment
-   of a document other than the segment's least occurs there from end to end.
+3. Segments whose anchor has more than one are dealt into shards by anchor. Each shard
+   builds a compressed FM-index over its segments and streams them through it: backward
+   search over the wavelet tree gives the stretches in which every window occurs in a
+   document with a smaller id. An anchor with very many segments is cut in blocks, and
+   each pair of an indexed and a streamed block is a shard of its own, so that no task
+   holds a whole anchor. A segment of a document other than the segment's least occurs
+   there from end to end.
 4. Stretches return to their documents, whose covered words are removed.
 """
 
@@ -29,9 +32,13 @@ from .words import batches_of, hash_words, mix, runs, sequence_hashes, text_byte
 
 #: Words of a sequence whose hash can be an anchor.
 ANCHOR = 8
-#: Words of an index; an anchor with more segments has several, and all are searched.
+#: Words of an index over the segments of many anchors.
 SHARD_WORDS = 1_000_000
-SEGMENTS = "anchor long, h1 long, h2 long, doc_id long, start int, length int, words binary"
+#: Words of the segments of one anchor from which they are cut in blocks of about so many.
+BLOCK_WORDS = 100_000
+SEGMENTS = "anchor long, h1 long, h2 long, doc_id long, text_hash long, start int, length int, words binary"
+#: What names a row: places in one text mean nothing in another, though both have one doc_id.
+ROW = ("doc_id", "text_hash")
 STRETCHES = "anchor long, h1 long, h2 long, starts array<int>, ends array<int>"
 
 
@@ -83,8 +90,8 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         pos, grams = anchors_of(words, at, window)
         doc = np.searchsorted(at, pos, "right") - 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(grams[pos].view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array((pos - at[doc]).astype(np.int32))],
-            names=["anchor", "doc_id", "pos"],
+            [pa.array(grams[pos].view(np.int64)), *(batch.column(c).take(pa.array(doc)) for c in ROW), pa.array((pos - at[doc]).astype(np.int32))],
+            names=["anchor", *ROW, "pos"],
         )
 
 
@@ -113,63 +120,61 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
                 split, held = texts[k].split(), k
             parts.append(b" ".join(split[a:b]) if new else None)
         yield pa.RecordBatch.from_arrays([
-            pa.array(keys), pa.array(h1), pa.array(h2), batch.column("doc_id").take(pa.array(own)),
+            pa.array(keys), pa.array(h1), pa.array(h2), *(batch.column(c).take(pa.array(own)) for c in ROW),
             pa.array((first - base).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(parts, pa.binary()),
-        ], names=["anchor", "h1", "h2", "doc_id", "start", "length", "words"])
+        ], names=["anchor", "h1", "h2", *ROW, "start", "length", "words"])
+
+
+def _search(indexed: pa.Table, streamed: pa.Table, window: int) -> pa.RecordBatch:
+    """Stretches of the streamed segments whose windows all occur in an indexed one of a smaller owner."""
+    tables = (indexed,) if streamed is indexed else (indexed, streamed)
+    hashed = [hash_words(text_bytes(t.column("words").combine_chunks())) for t in tables]
+    owners = [indexed.column("owner").to_numpy(), streamed.column("owner").to_numpy()]
+    number = np.unique(np.concatenate(owners), return_inverse=True)[1]
+    distinct, symbols = np.unique(hashed[0][0], return_inverse=True)
+    ends = hashed[0][1][1:]
+    lengths = np.diff(hashed[0][1])
+    index = FMIndex(np.insert(symbols + 1, ends, 0), ends + np.arange(len(ends)), len(distinct), np.repeat(number[: len(ends)], lengths + 1))
+    words, at = hashed[-1]
+    place = np.minimum(np.searchsorted(distinct, words), len(distinct) - 1)
+    patterns = np.where(distinct[place] == words, place + 1, 0)  # 0: a word that the index lacks
+    seg, a, b = matched_windows(index, patterns, at[:-1], np.diff(at), number[len(ends) :], window)
+    order = np.argsort(seg, kind="stable")
+    seg, a, b = seg[order], a[order].astype(np.int32), b[order].astype(np.int32)
+    rows, counts = np.unique(seg, return_counts=True)
+    offsets, take = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(rows)
+    return pa.RecordBatch.from_arrays(
+        [*(streamed.column(c).combine_chunks().take(take) for c in ("anchor", "h1", "h2")), pa.ListArray.from_arrays(offsets, pa.array(a)), pa.ListArray.from_arrays(offsets, pa.array(b))],
+        names=["anchor", "h1", "h2", "starts", "ends"],
+    )
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard: anchor, indexed block, streamed block. Anchors of one block share indexes."""
     held: list[pa.Table] = []
     size = 0
-
-    def done(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        words, at = hash_words(text_bytes(t.column("words").combine_chunks()))
-        owners = t.column("owner").to_numpy()
-        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        distinct, symbols = np.unique(words, return_inverse=True)
-        symbols += 1
-        lengths, numbers = np.diff(at), np.unique(owners, return_inverse=True)[1]
-        first = 0
-        while first < len(lengths):  # an index for each SHARD_WORDS words, searched for all segments
-            to = max(first + 1, int(np.searchsorted(at, at[first] + 3 * SHARD_WORDS // 2, "right")) - 1)
-            a, b = at[first], at[to]
-            ends = at[first + 1 : to + 1] - a
-            index = FMIndex(np.insert(symbols[a:b], ends, 0), ends + np.arange(to - first), len(distinct), np.repeat(numbers[first:to], lengths[first:to] + 1))
-            hits.append(matched_windows(index, symbols, at[:-1], lengths, numbers, window))
-            first = to
-        seg, a, b = (np.concatenate([h[k] for h in hits]) for k in range(3))
-        order = np.argsort(seg, kind="stable")
-        seg, a, b = seg[order], a[order].astype(np.int32), b[order].astype(np.int32)
-        rows, counts = np.unique(seg, return_counts=True)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        take = pa.array(rows)
-        return pa.RecordBatch.from_arrays(
-            [*(t.column(c).combine_chunks().take(take) for c in ("anchor", "h1", "h2")), pa.ListArray.from_arrays(offsets, pa.array(a)), pa.ListArray.from_arrays(offsets, pa.array(b))],
-            names=["anchor", "h1", "h2", "starts", "ends"],
-        )
-
-    for t in runs(batches, ["anchor"]):
-        # an anchor with one segment has nothing else to find it in
-        anchors = t.column("anchor").to_numpy()
-        twin = np.concatenate([[False], anchors[1:] == anchors[:-1], [False]])
-        t = t.filter(pa.array(twin[1:] | twin[:-1])).combine_chunks()
-        if not t.num_rows:
-            continue
-        # a table may hold many anchors; shards are cut between anchors
-        anchors, lengths = t.column("anchor").to_numpy(), t.column("length").to_numpy()
-        border = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    for t in runs(batches, ["anchor", "indexed", "streamed"]):
+        anchors, indexed, streamed, block, lengths = (t.column(c).to_numpy() for c in ("anchor", "indexed", "streamed", "block", "length"))
+        key = np.stack([anchors, indexed, streamed])
+        border = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
         sizes = np.add.reduceat(lengths, border)
-        at = 0
-        for s, e, n in zip(border, [*border[1:], len(anchors)], sizes, strict=True):
-            size += int(n)
+        blocks = t.column("blocks").to_numpy()[border]
+        for s, e, n, cut in zip(border, [*border[1:], len(anchors)], sizes.tolist(), blocks.tolist(), strict=True):
+            part = t.slice(s, e - s)
+            if cut > 1:
+                index_rows, stream_rows = np.flatnonzero(block[s:e] == indexed[s]), np.flatnonzero(block[s:e] == streamed[s])
+                if len(index_rows) and len(stream_rows):
+                    yield _search(part.take(pa.array(index_rows)), part.take(pa.array(stream_rows)), window)
+                continue
+            held.append(part)
+            size += n
             if size >= SHARD_WORDS:
-                yield done(pa.concat_tables([*held, t.slice(at, e - at)]))
-                held, size, at = [], 0, e
-        if at < t.num_rows:
-            held.append(t.slice(at))
+                whole = pa.concat_tables(held).combine_chunks()
+                yield _search(whole, whole, window)
+                held, size = [], 0
     if held:
-        yield done(pa.concat_tables(held))
+        whole = pa.concat_tables(held).combine_chunks()
+        yield _search(whole, whole, window)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,22 +205,33 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id and spans (a, b) of words to remove, for the documents that have some."""
+    """doc_id, text_hash and spans (a, b) of words to remove, for the rows of doc_id, text_hash and text that have some."""
     docs = docs.where(F.col("doc_id").isNotNull())
-    anchors = store(docs.mapInArrow(lambda it: _anchors(it, window), "anchor long, doc_id long, pos int"), "anchors")
+    anchors = store(docs.mapInArrow(lambda it: _anchors(it, window), "anchor long, doc_id long, text_hash long, pos int"), "anchors")
     shared = store(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared-anchors")
-    places = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    segments = store(docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _segments(it, window), SEGMENTS), "segments")
+    places = anchors.join(shared, "anchor").groupBy(*ROW).agg(F.collect_set("pos").alias("places"))
+    segments = store(docs.join(places, list(ROW)).select(*ROW, "text", "places").mapInArrow(lambda it: _segments(it, window), SEGMENTS), "segments")
     distinct = segments.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("owner"), F.first("length").alias("length"), F.max("words").alias("words"))
     owners = store(distinct, "owners")
-    dealt = owners.repartition("anchor").sortWithinPartitions("anchor", "owner")
-    stretches = dealt.mapInArrow(lambda it: _stretches(it, window), STRETCHES)
-    own = owners.select("anchor", "h1", "h2", "owner").join(stretches, ["anchor", "h1", "h2"], "left")
-    placed = segments.select("anchor", "h1", "h2", "doc_id", "start", "length").join(own, ["anchor", "h1", "h2"])
+
+    # an anchor that one segment alone has is not searched: its owner has nothing to be found in
+    sizes = owners.groupBy("anchor").agg(F.count("*").alias("n"), F.ceil(F.sum("length") / BLOCK_WORDS).cast("int").alias("blocks")).where("n > 1").drop("n")
+    dealt = owners.join(sizes, "anchor").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    shards = F.transform(other, lambda o: F.struct(F.col("block").alias("indexed"), o.alias("streamed")))
+    shards = F.array_distinct(F.concat(shards, F.transform(other, lambda o: F.struct(o.alias("indexed"), F.col("block").alias("streamed")))))
+    dealt = dealt.select("anchor", "h1", "h2", "owner", "length", "words", "blocks", "block", F.explode(shards).alias("shard")).select("*", "shard.*").drop("shard")
+    keys = ["anchor", "indexed", "streamed"]
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys, "owner").mapInArrow(lambda it: _stretches(it, window), STRETCHES)
+    stretches = found.groupBy("anchor", "h1", "h2").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    own = store(owners.select("anchor", "h1", "h2", "owner").join(stretches, ["anchor", "h1", "h2"], "left"), "stretches")
+
+    # both sides of this join are read from tables, so that Spark can split a segment that very many documents have
+    placed = segments.select("anchor", "h1", "h2", *ROW, "start", "length").join(own, ["anchor", "h1", "h2"])
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b")))
     parts = F.transform(F.arrays_zip("starts", "ends"), lambda z: F.struct((F.col("start") + z["starts"]).alias("a"), (F.col("start") + z["ends"]).alias("b")))
-    spans = placed.select("doc_id", F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(parts).alias("spans")).where(F.size("spans") > 0)
-    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = placed.select(*ROW, F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(parts).alias("spans")).where(F.size("spans") > 0)
+    return spans.groupBy(*ROW).agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, digest: bool = False) -> DataFrame:
@@ -224,11 +240,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, digest: bool = False) -> D
     A word goes if one of the windows of ``window`` consecutive words that cover it also
     starts in a document with a smaller doc_id; windows are those of the input. Null
     texts have no words. A null doc_id is smaller than none and greater than none: such
-    rows keep all words. Rows of one doc_id must repeat its text, and are not each
-    other's smaller documents. Other columns are ignored.
+    rows keep all words. Rows of one doc_id, with one text or with several, are judged
+    each by its own text and are not each other's smaller documents; repeated rows come
+    back as often as they are there. Other columns are ignored; no rows give no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = rows.join(repeated_spans(rows, window), "doc_id", "left").select("doc_id", "text", "spans")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    joined = rows.join(repeated_spans(rows, window), list(ROW), "left").select("doc_id", "text", "spans")
     if digest:
         return joined.mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return joined.mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept string")
