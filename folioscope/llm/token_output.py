@@ -35,8 +35,11 @@ FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, token_id
 REMEMBERED = 500_000
 #: Rows and bytes of text that are encoded at once.
 ROWS, BYTES = 500, 1 << 19
-#: Texts with this, which special tokens begin with, are given to the tokenizer whole.
-SPECIAL = b"<|"
+#: Texts that tell whether a tokenizer's ids of a text are those of its pieces.
+PROBES = (
+    "It's an EXAMPLE, isn't it?  Two   spaces;\ttabs\nand lines.", "a1b22 3.14 don''t (x) [y] {z} <w> --- ... 'S", "Größe ÉTÉ Straße αβγ ΣΑΣ Привет, мир!",
+    "日本語のテキスト。 한국어 العربية ไทย 😀👍🏽", " leading and trailing ", "CamelCase snake_case kebab-case e-mail@example.org https://example.org/a?b=c#d", "", " ", "\x1c\x85\xa0 x\u200by", "Z\u0301 é e\u0301 ﬁ ½ Ⅷ",
+)
 
 # classes of bytes: white space, ASCII letters and digits, ASCII marks, and what may join either
 _CLASS = np.full(256, 3, np.uint8)
@@ -46,19 +49,30 @@ for _c in range(33, 127):
 
 
 class PieceEncoder:
-    """Encodes texts with the tokenizers library, each distinct piece once.
-
-    The vocabulary's pre-tokenizer drops white space, and splits letters and digits from
-    marks; it ignores the case of letters. So a lower-cased text can be cut at ASCII white
-    space and between ASCII letters or digits and ASCII marks (apostrophes aside, which
-    contractions begin with), and its ids are those of its pieces in order.
+    """Encodes texts with the tokenizers library, each distinct piece once where that gives the same ids.
+
+    Many pre-tokenizers drop white space, split letters and digits from marks, and ignore
+    the case of letters. Then a lower-cased text can be cut at ASCII white space and
+    between ASCII letters or digits and ASCII marks (apostrophes aside, which contractions
+    begin with), and its ids are those of its pieces in order. Whether a tokenizer is of
+    this kind is tried on probe texts when it is loaded; texts go to any other whole, as
+    do texts that hold the string of an added token.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end_id, self.by_pieces = Tokenizer.from_file(path), end_id, True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
+        probes = [p.encode() for p in PROBES]
+        (ids, at), (whole_ids, whole_at) = self.encode(probes), self._encode_whole(probes)
+        self.by_pieces = np.array_equal(ids, whole_ids) and np.array_equal(at, whole_at)
+
+    def _encode_whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        at = np.concatenate([[0], np.cumsum([len(f) + 1 for f in found], dtype=np.int64)])
+        return np.fromiter((i for f in found for i in (*f, self.end_id)), np.int32, int(at[-1])), at
 
     def forget(self) -> None:
         self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -81,10 +95,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and where each text's begin (one more than texts)."""
-        if any(SPECIAL in t for t in texts):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-            at = np.concatenate([[0], np.cumsum([len(f) + 1 for f in found])])
-            return np.fromiter((i for f in found for i in (*f, self.end_id)), np.int32, int(at[-1])), at
+        if not self.by_pieces or any(x in t for t in texts for x in self.special):
+            return self._encode_whole(texts)
         data = b" ".join(texts).lower()
         raw = np.frombuffer(data, np.uint8)
         kind = np.concatenate([[0], _CLASS[raw], [0]])
@@ -136,9 +148,11 @@ def _encode_part(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> I
         start += int(at[-1])
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 1) -> str:
+def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 1, options: dict[str, str] | None = None) -> str:
     """Writes the ids of all documents in ascending order of doc_id; returns the folder.
 
+    ``options`` change those of the writer: sizes of row groups, pages and dictionaries.
+
     Null and empty texts give the end id alone. Null ids come first; rows with one id
     stay together, in order of their texts. Other columns of docs are ignored. The
     tokenizer's file must be at the same path on every machine.
@@ -147,15 +161,24 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
     path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encoded = ordered.mapInArrow(lambda it: _encode_part(it, tokenizer_path, end_id), FILE_SCHEMA)
-    encoded.write.options(**WRITE_OPTIONS).parquet(path)
+    encoded.write.options(**(WRITE_OPTIONS | (options or {}))).parquet(path)
     return path
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with start, the number of ids of all documents before."""
+def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """The files' rows with start, the number of ids of all documents before.
+
+    With bounds only the rows with low <= doc_id <= high. They are pushed down to the
+    files, whose rows are in order of doc_id: row groups are left out by their statistics,
+    and within the others only the pages that the page index names are read. Null ids
+    are in no such range. Selecting doc_id, n_tokens or start alone reads no token ids; the
+    files' totals, which start needs, come from two columns of numbers.
+    """
     bound_batches(spark)
-    rows = spark.read.schema(FILE_SCHEMA).parquet(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
+    files = spark.read.schema(FILE_SCHEMA).parquet(path)
+    rows = files if low is None else files.where(F.col("doc_id") >= low)
+    rows = rows if high is None else rows.where(F.col("doc_id") <= high)
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_before"))
     joined = rows.join(F.broadcast(starts), F.col("part") == F.col("_part"))  # one row for each file
