@@ -93,29 +93,45 @@ def fold(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame, template: Template = Template(), learn: str = "assistant") -> DataFrame:
     """One row for each conversation: conv_id, formatted, loss_spans.
 
-    loss_spans are (start, length) in code points of the escaped texts of the role that
-    is learned; marks are outside. A conversation becomes one value, so it has to fit in
-    one row; conversations are dealt over all tasks.
+    A loss span is an escaped text of the role that is learned, marks left out: its start
+    and length in code points of ``formatted``, the turn it lies in, and its start there.
+    A conversation becomes one value, so it has to fit in one row; conversations are dealt
+    over all tasks. Messages of equal pos come in the order of role and text, repeated
+    ones as often as they are there; null roles and texts count as empty. Other columns
+    are ignored, whatever their names; no messages give no rows.
     """
+    turns = messages.select("conv_id", "pos", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(template.open), template.escape(F.col("role")), F.lit(template.middle))
-    turns = messages.withColumns({"head": head, "body": template.escape(F.col("text")), "learned": F.col("role") == learn})
+    turns = turns.withColumns({"head": head, "body": template.escape(F.col("text")), "learned": F.col("role") == learn})
     whole = F.length("head") + F.length("body") + len(template.close)
-    turns = turns.withColumn("end", F.sum(whole).over(Window.partitionBy("conv_id").orderBy("pos")))
-    span = F.when(F.col("learned"), F.struct((F.col("end") - len(template.close) - F.length("body")).cast("int").alias("start"), F.length("body").alias("length")))
+    order = Window.partitionBy("conv_id").orderBy("pos", "role", "text")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = turns.withColumns({"turn": F.row_number().over(order) - 1, "end": F.sum(whole).over(upto)})
+    start = (F.col("end") - len(template.close) - F.length("body")).cast("int").alias("start")
+    span = F.when(F.col("learned"), F.struct(start, F.length("body").alias("length"), "turn", F.length("head").alias("at")))
     return turns.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat("head", "body", F.lit(template.close)).alias("turn")))), lambda t: t["turn"]), "").alias("formatted"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.concat("head", "body", F.lit(template.close)).alias("whole")))), lambda t: t["whole"]), "").alias("formatted"),
         F.sort_array(F.collect_list(span)).alias("loss_spans"),
     )
 
 
 def parse(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """Reads conversations back: adds turns, an array of (role, text), and learned, the texts under the loss mask."""
+    """Reads conversations back: adds turns, an array of (role, text), and learned, the texts under the loss mask.
+
+    The text is cut into turns once, and a span is read from its turn, so the work grows
+    with the length of a conversation. Columns of the input that are named turns or
+    learned are replaced, all others kept; repeated rows come back as often as they are
+    there. A null text gives nulls, an empty one no turns.
+    """
     pieces = F.split(F.col("formatted"), re.escape(template.close))
     pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
     role = lambda p: F.substring_index(F.substring(p, len(template.open) + 1, 2**30), template.middle, 1)
-    turns = F.transform(pieces, lambda p: F.struct(
+    turns = lambda all_: F.transform(all_, lambda p: F.struct(
         template.unescape(role(p)).alias("role"),
         template.unescape(F.substring(p, F.length(role(p)) + len(template.open) + len(template.middle) + 1, F.lit(2**30))).alias("text"),
     ))
-    learned = F.transform("loss_spans", lambda s: template.unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
-    return formatted.withColumns({"turns": turns, "learned": learned})
+    learned = lambda all_: F.transform("loss_spans", lambda s: template.unescape(F.substring(F.get(all_, s["turn"]), s["at"] + 1, s["length"])))
+    # inside the outer transform the pieces are a value; a plain reference would be cut again for each span
+    read = F.transform(F.array(pieces), lambda all_: F.struct(turns(all_).alias("turns"), learned(all_).alias("learned")))
+    read = formatted.withColumn("_read", F.element_at(read, 1))
+    return read.withColumns({"turns": F.col("_read.turns"), "learned": F.col("_read.learned")}).drop("_read")
