@@ -36,13 +36,16 @@ def word_count(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    Only where the session names none and runs on one machine, as in tests, a temporary
+    one is made; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="folioscope-")
         spark.sparkContext.setCheckpointDir(own)
     return own

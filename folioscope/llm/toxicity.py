@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .words import batches_of
 
-#: Labelled rows of each class that the model is fitted on at most.
-SAMPLE = 2000
+#: Labelled rows of each class that the model is fitted on at most, and their bytes of text in all.
+SAMPLE, SAMPLE_BYTES = 2000, 256 << 20
 BUCKETS, DIM, N_GRAMS = 1 << 18, 10, (3, 4, 5, 6)
 #: Toxic words are few among all; the mean of a document is scaled up before the softmax.
 GAIN = 30.0
@@ -195,11 +195,14 @@ def _keep(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterato
         yield part.filter(pa.array(score < threshold))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from labelled rows whose crc32 of the id is not 1 modulo 3, at most ``sample`` of each class.
 
-    The sample is the same for the same rows. Labels that are null are left out, and a
-    document with several labels is toxic if one says so. Scores are scaled for the sample,
+    The sample is the same for the same rows; it ends early, in its seeded order, before a
+    text with which it would have more than ``sample_bytes``. Labels that are null are left
+    out, a document with several labels is toxic if one says so, and of several rows of one
+    doc_id the one with the least text counts. No labels, or those of one class alone, give
+    a model that says the same of all. Scores are scaled for the sample,
     in which the classes are about even, so that toxic documents are not missed for being rare.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -208,9 +211,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     for value in (0, 1):
         some = known.where(F.col("toxic") == value).orderBy("draw", "doc_id").limit(sample)
         taken = some if taken is None else taken.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "draw").agg(F.max("toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
     # the sample has a fixed bound, so one task fits the model and the driver gets its numbers alone
-    fitted = rows.repartition(1).mapInArrow(lambda it: _fit_sample(it, seed), MODEL).first()
+    ordered = rows.repartition(1).sortWithinPartitions("draw", "doc_id").select("toxic", "text")
+    fitted = ordered.mapInArrow(lambda it: _fit_sample(it, seed, sample_bytes), MODEL).first()
     if fitted is None:
         return fit([], np.zeros(0, np.int64), seed)
     return Model(np.frombuffer(fitted["numbers"], np.float32), fitted["bias"], fitted["scale"], fitted["shift"])
@@ -219,9 +223,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
 MODEL = "numbers binary, bias double, scale double, shift double"
 
 
-def _fit_sample(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for batch in batches for r in batch.to_pylist())
-    m = fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), seed)
+def _fit_sample(batches: Iterator[pa.RecordBatch], seed: int, most: int) -> Iterator[pa.RecordBatch]:
+    texts: list[str] = []
+    toxic: list[int] = []
+    size, full = 0, False
+    for batch in batches:
+        for text, value in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            size += len((text or "").encode())
+            full = full or size > most
+            if not full:
+                texts.append(text or "")
+                toxic.append(value)
+    m = fit(texts, np.array(toxic, np.int64), seed)
     yield pa.RecordBatch.from_arrays(
         [pa.array([m.numbers.astype(np.float32).tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (m.bias, m.scale, m.shift))], names=["numbers", "bias", "scale", "shift"]
     )
