@@ -66,6 +66,27 @@ def test_chat_fold_and_round_trip(spark):
     assert [t.text for t in read["d"].turns] == [r"<s> <\s> \<\\/s> [INST] x"] * 2 and read["d"].learned == []
     assert "[INST]" not in read["d"].formatted and [tuple(t) for t in read["e"].turns] == [("", "")]
     assert chat.render(chat.fold(log.limit(0))).count() == 0
+    again = chat.parse(chat.render(chat.fold(log)).withColumn("turns", F.lit(1)).unionByName(chat.render(chat.fold(log)).withColumn("turns", F.lit(2))))
+    assert again.count() == 6 and again.columns == ["conv_id", "formatted", "loss_spans", "turns", "learned"]
+    twice = spark.createDataFrame([(1, 5, "assistant", "b", 0), (1, 5, "assistant", "b", 0), (1, 5, "assistant", None, 0), (None, 1, None, "x", 0)], "conv_id long, pos long, role string, text string, turn int")
+    both = {r.conv_id: r for r in chat.parse(chat.render(twice)).collect()}
+    assert both[1].learned == ["", "b", "b"] and both[None].learned == []
+    for r in read.values():
+        assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == [chat_escape(t) for t in r.learned]
+
+
+def chat_escape(text):
+    import re
+
+    return re.sub(r"([<\[])(\\*)(s>|r>|/s>|unk>|INST\]|/INST\])", r"\1\\\2\3", text)
+
+
+def test_chat_long_conversation(spark):
+    n = 20_000
+    log = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"),
+                                F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é </s> "), F.col("id").cast("string")).alias("text"))
+    read = chat.parse(chat.render(chat.fold(log))).first()
+    assert [t.text for t in read.turns] == [f"é </s> {k}" for k in range(n)] and read.learned == [f"é </s> {k}" for k in range(1, n, 2)]
 
 
 def test_toxicity(spark, odd):
@@ -85,6 +106,33 @@ def test_toxicity(spark, odd):
     assert len(scored) == 12 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in scored)
     assert toxicity.score_toxicity(odd.limit(0), model).count() == 0 and toxicity.keep_clean(odd, model).columns == odd.columns
     assert toxicity.fit([], np.zeros(0, np.int64)).score(np.zeros(1))[0] < 0.5
+    docs = spark.createDataFrame([(k, text(b), "x") for k, b in enumerate(y)] * 2 + [(0, "zzz", "x"), (None, text(1), "x")], "doc_id long, text string, toxic string")
+    marks = spark.createDataFrame([(k, int(b), "x") for k, b in enumerate(y)] + [(0, 1, "x"), (1, None, "x"), (9999, 1, "x")], "doc_id long, toxic int, text string")
+    fitted = toxicity.train(docs, marks, sample=80)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs.dropDuplicates(["doc_id"]), fitted).collect() if r.doc_id}
+    unseen = [k for k in got if zlib.crc32(str(k).encode()) % 3 == 1]
+    assert np.mean([got[k] for k in unseen if y[k]]) > np.mean([got[k] for k in unseen if not y[k]]) + 0.3
+    small = toxicity.train(docs, marks, sample_bytes=10)
+    assert {r.predicted for r in toxicity.score_toxicity(docs, small).collect()} == {0}
+
+
+def test_scores_are_the_model_s(spark):
+    """Scores of tasks against the model worked out word by word and n-gram by n-gram."""
+    texts = ["ab, Cde ab! xyz", "", None, "---", "Ünïcødé wörds", "same " * 500]
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32), 0.25, 1.5, -0.5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    for k, t in enumerate(texts):
+        numbers = []
+        for w in (t or "").split():
+            w = toxicity.plain(w)
+            own = toxicity.word_features([w])[0]
+            marked = f"<{w}>"
+            assert len(own) == 1 + sum(max(0, len(marked) - n + 1) for n in toxicity.N_GRAMS)
+            numbers.append(np.mean(model.numbers[own].astype(np.float64)))
+        z = np.mean(numbers) if numbers else 0.0
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(1.5 * (z + 0.25) - 0.5))), abs=1e-6)
 
 
 def brute_groups(rows, n, a, b):
@@ -176,6 +224,34 @@ def test_pieces_are_the_tokenizer_s():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer(name):
+    encoder = token_output.PieceEncoder(queries.tokenizer_path(name), 1)
+    assert encoder.by_pieces == (name == "word_bpe_49k.json")
+    texts = ["Hello  World's end", "tabs\tand\nlines ", "MiXeD 123abc <|endoftext|> x", "", "日本語 é"]
+    ids, at = encoder.encode([t.encode() for t in texts])
+    want = [[*e.ids, 1] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_a_range_reads_its_pages_alone(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(12)]).alias("text"), F.lit(1).alias("token_ids"))
+    folder = token_output.write_tokens(docs.repartition(1), queries.tokenizer_path(), options={"parquet.page.size": "2048", "parquet.page.row.count.limit": "50"})
+    whole = {r.doc_id: (r.start, r.token_ids) for r in token_output.read_tokens(spark, folder).collect()}
+    some = token_output.read_tokens(spark, folder, 1000, 1019)
+    assert {r.doc_id: (r.start, r.token_ids) for r in some.collect()} == {k: whole[k] for k in range(1000, 1020)}
+    wanted = spark.read.schema(token_output.FILE_SCHEMA).parquet(folder).where("doc_id between 1000 and 1019").select("doc_id", "token_ids")
+    wanted.collect()
+    plan = wanted._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().apply(0)
+    if "QueryStage" in leaf.getClass().getSimpleName():
+        leaf = leaf.plan().collectLeaves().apply(0)
+    assert "GreaterThanOrEqual(doc_id,1000)" in plan.toString()
+    assert 20 <= leaf.metrics().apply("numOutputRows").value() < 500
+    numbers = token_output.read_tokens(spark, folder).select("doc_id", "start")
+    assert "token_ids" not in numbers._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pii(spark, odd):
     rows = [(1, "Mr. John Smith and Mrs. Jane Smith met Mr. John Smith. Call (212) 555-1234 or 212-555-1234, card 4111 1111 1111 1111 or 4111111111111111; A.B@X.org a.b@x.org 192.168.0.1"),
             (2, "192.168.0.1 and 192.168.0.2, a.b@x.org"), (3, None), (4, ""), (5, "v1.2.3.4.5 and 12345 stay"), (5, "v1.2.3.4.5 and 12345 stay")]
@@ -220,13 +296,60 @@ def test_near_vectors(spark, block, monkeypatch):
 
 
 def test_decontaminate(spark, odd):
-    items = spark.createDataFrame([(1, "The quick, brown fox jumps over the lazy dog today again", "x"), (2, "a b", "x"), (3, None, "x"), (None, "one two three four five six", "x")], "item_id long, text string, hash string")
+    items = spark.createDataFrame([(1, "The quick, brown fox jumps over the lazy dog today again", "x"), (2, "a b", "x"), (5, "", "x"), (6, "-- !", "x"), (3, None, "x"), (None, "one two three four five six", "x")], "item_id long, text string, hash string")
     rows = [(1, "intro the QUICK brown fox jumps over the lazy dog today again outro " * 3, ""), (2, "the quick brown fox jumps over the lazy cat", ""), (3, None, ""), (1, "nothing", ""), (None, "the quick brown fox jumps over the lazy dog today again", "")]
     got = decontaminate.contaminated(table(spark, rows), items).collect()
     assert [(r.doc_id, r.item_id, r.found, r.item_shingles) for r in got] == [(1, 1, 7, 7)]
+    short = spark.createDataFrame([(7, "what is the capital", "x"), (8, "Fox!", "x"), (9, "capital the is what", "x")], "item_id long, text string, hash string")
+    asked = table(spark, [(1, "so, What is: the capital of it? capital", ""), (2, "is the capital what", ""), (3, "capital", ""), (4, "the fox", "")])
+    assert {(r.doc_id, r.item_id, r.found, r.item_shingles) for r in decontaminate.contaminated(asked, short).collect()} == {(1, 7, 1, 1), (4, 8, 1, 1)}
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0 and decontaminate.contaminated(odd.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontaminate_brute_force(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
+    rng = np.random.default_rng(7)
+    items = [(k, [int(x) for x in rng.integers(0, 40, rng.integers(1, 120))]) for k in range(60)]
+    docs = []
+    for k in range(120):
+        w = [int(x) for x in rng.integers(0, 40, rng.integers(0, 60))]
+        for _ in range(rng.integers(0, 3)):
+            part = [x if rng.random() > 0.03 else 99 for x in items[rng.integers(0, 60)][1]]
+            w = w + part + [int(x) for x in rng.integers(0, 40, 30)]
+        docs.append((k, w))
+    def runs(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = set()
+    for i, iw in items:
+        n = min(5, len(iw))
+        q = runs(iw, n)
+        want |= {(d, i, len(q), len(q & runs(dw, n))) for d, dw in docs if 10 * len(q & runs(dw, n)) >= 8 * len(q)}
+    made = lambda rows, c: spark.createDataFrame([(k, " ".join(map(str, w))) for k, w in rows], f"{c} long, text string")
+    got = {(r.doc_id, r.item_id, r.item_shingles, r.found) for r in decontaminate.contaminated(made(docs, "doc_id"), made(items, "item_id")).collect()}
+    assert got == want and len(want) > 50
+
+
+@pytest.mark.parametrize("shards", [1, 9, 10, 31, 38, 41, 57])
+def test_sharding_law_at_any_count(spark, shards):
+    rows = sharding.shard_documents(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), shards).collect()
+    assert all(r.grown_shard in (r.shard, shards) for r in rows) and {r.shard for r in rows} == set(range(shards))
+    assert {r.doc_id: r.shard for r in sharding.shard_documents(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("y").alias("text")), shards + 1).collect()} == {r.doc_id: r.grown_shard for r in rows}
+
+
+def test_sharding_draws_brute_force(spark):
+    """Places against the draws of all shards, told apart level by level."""
+    tree = [[[1.0, 2.0], [0.0, 1.0]], [[3.0]], [[0.5, 0.5, 0.5]]]
+    leaves = [((r, k, s), w) for r, region in enumerate(tree) for k, rack in enumerate(region) for s, w in enumerate(rack)]
+    keys = spark.range(500)
+    hashes = keys.select("id", *[F.xxhash64("id", F.lit(7), *map(F.lit, path)).alias(f"h{i}") for i, (path, _) in enumerate(leaves)])
+    got = {r.id: r.shard for r in sharding.place(keys, F.col("id"), tree).collect()}
+    for row in hashes.collect():
+        draw = [np.inf if w == 0 else -np.log((((row[f"h{i}"] % 2**64) >> 11) + 0.5) * 2.0**-53) / w for i, (_, w) in enumerate(leaves)]
+        region = min(range(3), key=lambda r: min(d for d, (p, _) in zip(draw, leaves, strict=True) if p[0] == r))
+        assert got[row.id] == int(np.argmin([d if p[0] == region else np.inf for d, (p, _) in zip(draw, leaves, strict=True)]))
+
+
 def test_sharding(spark, odd):
     got = sharding.shard_documents(odd).collect()
     assert len(got) == 12 and {r["size"] for r in got if r.doc_id == 3} == {16}
@@ -250,7 +373,7 @@ def test_sharding_moves_stay_in_changed_subtrees(spark):
     assert all(abs(r["count"] / 8000 - (2 if r.a in (3, 6) else 1) / 9) < 0.02 for r in share)
 
 
-def brute_kept(rows, window):
+def brute_kept(rows, window, by_text=False):
     first, out = {}, {}
     for d, t in sorted(rows):
         w = (t or "").encode().split()
@@ -258,7 +381,7 @@ def brute_kept(rows, window):
         for i in range(len(w) - window + 1):
             if first.setdefault(tuple(w[i : i + window]), d) < d:
                 gone[i : i + window] = [True] * window
-        out[d] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
+        out[(d, t) if by_text else d] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
     return out
 
 
@@ -281,6 +404,29 @@ def test_substring(spark, odd, monkeypatch):
         assert {r.doc_id: tuple(r)[1:] for r in substring.remove_repeats(df, window, digest=True).collect()} == brute_kept(rows, window)
 
 
+@pytest.mark.parametrize("block", [100_000, 300])
+def test_substring_of_hot_anchors_and_repeated_ids(spark, block, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK_WORDS", block)
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{k}" for k in range(55))
+    rows = [(k % 70, " ".join(f"a{x}" for x in rng.integers(0, 300, 30)) + f" {passage} " + " ".join(f"b{x}" for x in rng.integers(0, 300, 30))) for k in range(100)]
+    rows += [(3, "short text"), (3, None), (99, rows[0][1]), (99, rows[0][1])]
+    got = substring.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, places int"), digest=True).collect()
+    want = brute_kept({(d, t or "") for d, t in rows}, 50, by_text=True)
+    assert sorted(tuple(r) for r in got) == sorted((d, *want[d, t or ""]) for d, t in rows)
+
+
+def test_range_minimum():
+    rng = np.random.default_rng(3)
+    for n in (1, 31, 32, 33, 5000):
+        values = rng.integers(0, 1000, n).astype(np.int32)
+        low = rng.integers(0, n, 300)
+        high = np.minimum(n, low + 1 + rng.integers(0, n, 300))
+        assert fm_index.RangeMinimum(values)(low, high).tolist() == [values[a:b].min() for a, b in zip(low, high, strict=True)]
+    for bits in (np.zeros(300, np.uint8), np.ones(300, np.uint8), rng.integers(0, 2, 300).astype(np.uint8), np.repeat([0, 1, 0], 100).astype(np.uint8)):
+        assert fm_index.BitVector(bits).rank(np.arange(301)).tolist() == [0, *np.cumsum(bits)]
+
+
 def test_fm_index():
     rng = np.random.default_rng(5)
     for _ in range(30):
