@@ -268,6 +268,68 @@ def test_pii(spark, odd):
     assert pii.replace_entities(odd.limit(0), "key").count() == 0 and pii.replace_entities(odd, "key").count() == 12
 
 
+def test_pii_leaves_no_name_of_these(spark):
+    lines = ["Frau Müller Mr. Łukasz Żak", "Mrs. Anna-Maria O'Neil", "John Smith left, Dr. Ada Kerr and Mr. John Smith and Mr. Smith's", "Κύριος Παπαδόπουλος", "我见到王小明先生", "김철수 씨", "田中さん",
+             "2001:db8::1 and 2001:0db8:0:0:0:0:0:1 abc::def", "DE89 3704 0044 0532 0130 00 DE89370400440532013000", "12 Long Hill Street, Hauptstraße 12", "+1 212-555-1234, 212-555-1234, (212) 555-1234",
+             "+49 (0)30 1234567, +49 30 1234567", "Господин Иванов, Госпожа Анна Иванова", "Prof. Dr. Ada Kerr, Mr. J. Smith, Mary J. Watson", "a\x01b\x02 10.0.0.1 \x02\x03 \x01"]
+    rows = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "key").collect()}
+    for k, gone in enumerate(["Müller Łukasz Żak", "Anna Maria Neil", "John Smith Ada Kerr", "Παπαδόπουλος", "王小明", "김철수", "田中", "2001 db8", "8937 3704 0532", "Long Hill Haupt", "212 555 1234", "123 4567", "Иванов Анна Иванова", "Ada Kerr Smith Mary Watson", "10.0.0.1"]):
+        assert not [g for g in gone.split() if g in rows[k]], rows[k]
+    assert [rows[k].split()[0] for k in (0, 1, 3, 12)] == ["Frau", "Mrs.", "Κύριος", "Господин"] and rows[0].split()[2] == "Mr." and rows[4].startswith("我见到") and rows[4].endswith("先生")
+    john, kerr = rows[2].split(" left, Dr. ")[0], rows[2].split(" left, Dr. ")[1].split(" and ")[0]
+    assert f"Mr. {john} and Mr. {john.split()[1]}'s" in rows[2] and rows[13].startswith(f"Prof. Dr. {kerr}, Mr. ") and rows[13].split(", ")[1].endswith(john.split()[1])
+    one, two, three = rows[10].split(", ")
+    assert one == f"+1 {two}" and three == f"({two[:3]}) {two[4:]}" and rows[11].replace("(0)", "").split(", ")[0] == rows[11].split(", ")[1]
+    assert rows[7].split(" and ")[0] == rows[7].split(" and ")[1].split()[0] and rows[7].startswith("fd") and rows[7].endswith(" abc::def")
+    account = rows[8].split(" DE")[0].replace(" ", "")
+    assert rows[8].endswith(account) and account.startswith("DE") and int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+    assert rows[14].startswith("a\x01b\x02 10.") and rows[14].endswith(" \x02\x03 \x01")
+
+
+def test_pii_brute_force(spark):
+    """Mentions found by another engine of patterns; what stands between them stays, and what they mean decides what stands for them."""
+    import regex
+
+    rng = np.random.default_rng(12)
+    say = lambda choices: choices[rng.integers(len(choices))]
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    kinds = [lambda: f"Mr. {say(['Tom', 'Ben', 'Karl'])} {say(['Reed', 'Wood', 'Stone', 'Hall'])}", lambda: f"Mrs. {say(['Reed', 'Wood', 'Stone', 'Hall'])}", lambda: f"u{digits(2)}@{say(['a.org', 'b.com'])}", lambda: f"192.168.{digits(1)}.{digits(1)}",
+             lambda: f"+1 20{digits(1)}-555-010{digits(1)}", lambda: f"20{digits(1)}-555-010{digits(1)}", lambda: f"4{digits(3)} {digits(4)} {digits(4)} {digits(4)}", lambda: f"078-05-{digits(4)}", lambda: "plain words, 12 of them.", lambda: "\n"]
+    texts = [" ; ".join(say(kinds)() for _ in range(rng.integers(0, 40))) for _ in range(200)]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    pattern, entity, back = regex.compile(pii.PATTERN), {}, {}
+    for k, text in enumerate(texts):
+        found, new = list(pattern.finditer(text)), got[k].text
+        assert got[k].n_entities == len(found)
+        at, put = 0, 0
+        for m, after in zip(found, [*[m.start() for m in found[1:]], len(text)][: len(found)], strict=True):
+            assert new[put : put + m.start() - at] == text[at : m.start()]
+            put += m.start() - at
+            between = text[m.end() : after]
+            end = new.index(between, put) if between else len(new)
+            mention, drawn = m.group(), new[put:end]
+            if mention.startswith("M"):
+                assert drawn.split()[0] == mention.split()[0] and len(drawn.split()) == len(mention.split())
+                words = list(zip(mention.split()[1:], drawn.split()[1:], strict=True))
+                pairs = [("given", *w) for w in words[:-1]] + [("surname", *words[-1])]
+            elif "@" in mention or mention.count(".") == 3:
+                pairs = [("e", mention, drawn)]
+            else:
+                assert regex.sub("[0-9]", "0", drawn) == regex.sub("[0-9]", "0", mention)
+                bare = lambda t: regex.sub("[^0-9]", "", t)[-10:] if t.startswith(("+", "2")) else regex.sub("[^0-9]", "", t)
+                pairs = [(len(mention.removeprefix("+1 ")), bare(mention), bare(drawn))]
+            for kind, a, b in pairs:
+                assert entity.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a and a != b
+            at, put = m.end(), end
+    assert len(entity) > 300
+
+
+def test_many_surnames_of_one_script(spark):
+    forms = spark.range(20_000).select(F.lit("surname").alias("kind"), F.concat(F.lit("ж"), F.translate(F.col("id").cast("string"), "0123456789", "абвгдежзий")).alias("form"))
+    got = pii.surrogates(forms, "key").select("surrogate").distinct()
+    assert got.count() == 20_000 and got.join(forms, got.surrogate == forms.form).isEmpty() and got.where(~F.col("surrogate").rlike(r"^\p{IsCyrillic}+$")).isEmpty()
+
+
 def test_surrogates_collide_never(spark):
     forms = spark.createDataFrame([("card", f"{1000 + k * 7}") for k in range(20)] + [("ip", f"1.2.3.{k}") for k in range(50)], "kind string, form string")
     got = pii.surrogates(forms, "key").collect()
