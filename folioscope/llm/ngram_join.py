@@ -9,13 +9,15 @@
    leave few postings; these are dealt again with a bitmap of a bit for each shingle of the
    set, whose differences bound the sets' difference so closely that hardly more than
    similar documents become candidates. These only say what has to be looked at together.
+   A shingle that very many prefixes have is dealt in cells of two blocks of documents.
 3. Each cluster of candidates has its whole sets stored in a trie in global order.
    Sets walk down the trie and share the overlap of common paths; a subtree is left when
    what remains of both sides cannot reach the overlap that its lengths need, or when all
    of it is already joined to the walker. Every link is decided on whole sets.
-4. A cluster over ``BLOCK`` documents is dealt in blocks, each with the cluster's first
-   document. What is joined to that document is done; what is not is then compared with
-   every block of its cluster, so that no link between components is missed.
+4. A cluster over ``BLOCK`` documents or ``BLOCK_SHINGLES`` shingles is dealt in blocks,
+   each with the cluster's first document. What is joined to that document is done; what
+   is not is then compared with every block of its cluster, so that no link between
+   components is missed. As blocks are large, a text is sent to few of them.
 """
 
 from __future__ import annotations
@@ -32,8 +34,12 @@ from .common import store
 from .components import connected_components
 from .words import batches_of, mix, runs, shingle_sets, text_bytes
 
-#: Documents of a cluster that one task compares at once.
-BLOCK = 256
+#: Documents, and shingles of documents, of a cluster that one task compares at once.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
+#: Documents with one prefix shingle that are looked at together.
+RUN_BLOCK = 256
+#: Documents whose links a task remembers, so as not to repeat them.
+REMEMBERED = 1_000_000
 #: Frequent shingles that the order puts last: the most frequent ones of those that a
 #: batch of documents holds at least so often. The list is broadcast (8 bytes each).
 FREQUENT, FREQUENT_IN_BATCH = 100_000, 4
@@ -133,6 +139,12 @@ class _Postings:
         self.token, self.doc, self.place = (t.column(c).to_numpy() for c in ("token", "doc_id", "place"))
         self.n, self.pos = self.place >> 32, self.place & 0xFFFFFFFF
         edge = np.concatenate([[True], self.token[1:] != self.token[:-1]])
+        self.block = t.column("block").to_numpy() if "block" in t.column_names else None
+        if self.block is not None:
+            cell = [t.column(c).to_numpy() for c in ("cell_a", "cell_b")]
+            self.across = cell[0] != cell[1]
+            for c in cell:
+                edge[1:] |= c[1:] != c[:-1]
         self.starts = np.flatnonzero(edge)
         self.lengths = np.diff(np.concatenate([self.starts, [len(self.token)]]))
         self.end = np.repeat(self.starts + self.lengths, self.lengths)
@@ -143,7 +155,10 @@ class _Postings:
     def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         x, y = self.n[i], self.n[j]
         left = np.minimum(x - self.pos[i], y - self.pos[j]) + np.minimum(self.pos[i], self.pos[j])
-        return (self.b * np.minimum(x, y) >= self.a * np.maximum(x, y)) & (left >= self.need(i, j)) & (self.doc[i] != self.doc[j])
+        ok = (self.b * np.minimum(x, y) >= self.a * np.maximum(x, y)) & (left >= self.need(i, j)) & (self.doc[i] != self.doc[j])
+        if self.block is not None:  # of two blocks: pairs inside one are another cell's
+            ok &= ~self.across[i] | (self.block[i] != self.block[j])
+        return ok
 
     def short_runs(self):
         """Pairs of rows of runs of two to SMALL_RUN postings."""
@@ -160,25 +175,56 @@ class _Postings:
         yield from zip(self.starts[long].tolist(), self.lengths[long].tolist(), strict=True)
 
 
+def _bounded_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """Sorted postings in tables that cut no run of up to SMALL_RUN; what is longer comes in pieces, marked as such."""
+    held: pa.Table | None = None
+    passing = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if passing is not None:
+            token = t.column("token").to_numpy()
+            own = len(token) if (token == passing).all() else int(np.argmax(token != passing))
+            if own:
+                yield t.slice(0, own), True
+            t = t.slice(own)
+            passing = passing if not t.num_rows else None
+        if held is not None:
+            t, held = pa.concat_tables([held, t]).combine_chunks(), None
+        if not t.num_rows:
+            continue
+        token = t.column("token").to_numpy()
+        last = int(np.flatnonzero(token != token[-1])[-1]) + 1 if (token != token[-1]).any() else 0
+        if last:
+            yield t.slice(0, last).combine_chunks(), False
+        t = t.slice(last)
+        if t.num_rows > SMALL_RUN:
+            passing = token[-1]
+            yield t, True
+        else:
+            held = t
+    if held is not None:
+        yield held.combine_chunks(), False
+
+
 def _shared(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
     """Postings that may have a partner; rows come sorted by shingle."""
-    for t in runs(batches, ["token"]):
+    for t, long in _bounded_runs(batches):
         p = _Postings(t, a, b)
-        b1, b2 = (t.column(c).to_numpy().view(np.uint64) for c in ("b1", "b2"))
-        keep = np.zeros(len(p.token), bool)
-        for i, j in p.short_runs():
-            apart = np.bitwise_count(b1[i] ^ b1[j]).astype(np.int64) + np.bitwise_count(b2[i] ^ b2[j])
-            ok = apart <= p.n[i] + p.n[j] - 2 * p.need(i, j)
-            keep[i[ok]] = keep[j[ok]] = True
-        for s, length in p.long_runs():
-            keep[s : s + length] = True
+        keep = np.full(len(p.token), long)
+        if not long:
+            b1, b2 = (t.column(c).to_numpy().view(np.uint64) for c in ("b1", "b2"))
+            for i, j in p.short_runs():
+                apart = np.bitwise_count(b1[i] ^ b1[j]).astype(np.int64) + np.bitwise_count(b2[i] ^ b2[j])
+                ok = apart <= p.n[i] + p.n[j] - 2 * p.need(i, j)
+                keep[i[ok]] = keep[j[ok]] = True
+            for s, length in p.long_runs():
+                keep[s : s + length] = True
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (p.token, p.doc, p.place)], names=["token", "doc_id", "place"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
-    """Links that join all documents that share a prefix shingle and may be alike; rows come sorted by shingle."""
+    """Links that join all documents that share a prefix shingle and may be alike; rows come sorted by shingle and cell."""
     parent: dict[int, int] = {}
-    maps: dict[int, tuple[int, int]] = {}
 
     def find(x: int) -> int:
         root = x
@@ -188,14 +234,17 @@ def _candidates(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[p
             parent[x], x = root, parent.get(x, x)
         return root
 
-    for t in runs(batches, ["token"]):
+    for t in runs(batches, ["token", "cell_a", "cell_b"]):
         p = _Postings(t, a, b)
+        if len(parent) > REMEMBERED:  # some links may come again
+            parent.clear()
+        maps: dict[int, tuple[int, int]] = {}
         for doc, raw in zip(p.doc.tolist(), t.column("bitmap").to_pylist(), strict=True):
             if doc not in maps:
                 maps[doc] = (int.from_bytes(raw, "little"), 8 * len(raw))
         new: list[tuple[int, int]] = []
 
-        def look(i: np.ndarray, j: np.ndarray, p=p, new=new) -> None:
+        def look(i: np.ndarray, j: np.ndarray, p=p, new=new, maps=maps) -> None:
             most = p.n[i] + p.n[j] - 2 * p.need(i, j)
             for x, y, m in zip(p.doc[i].tolist(), p.doc[j].tolist(), most.tolist(), strict=True):
                 u, w = find(x), find(y)
@@ -347,12 +396,20 @@ def jaccard_groups(docs: DataFrame, n: int = 3, a: int = 90, b: int = 100) -> Da
         .select("token", "doc_id", (F.shiftleft(F.col("n_shingles").cast("long"), 32) + F.col("pos")).alias("place"), "b1", "b2")
     )
     shared = store(postings.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _shared(it, a, b), POSTINGS), "shared-postings")
-    mapped = shared.join(features.where(usable).select("doc_id", "bitmap").dropDuplicates(["doc_id"]), "doc_id").select("token", "doc_id", "place", "bitmap")
-    pairs = mapped.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _candidates(it, a, b), LINKS)
+    hot = shared.groupBy("token").agg(F.ceil(F.count("*") / RUN_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = shared.join(store(hot, "hot-shingles"), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("across", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("block", "across").alias("cell_a"), F.greatest("block", "across").alias("cell_b"), "block", "doc_id", "place")
+    sized = features.where(usable).groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"))
+    keys = ["token", "cell_a", "cell_b"]
+    mapped = dealt.join(sized.select("doc_id", "bitmap"), "doc_id").repartition(*keys).sortWithinPartitions(*keys)
+    pairs = mapped.mapInArrow(lambda it: _candidates(it, a, b), LINKS)
     clusters = store(connected_components(pairs).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
 
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    counted = clusters.join(sized.select("doc_id", "n_shingles"), "doc_id")
+    many = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = counted.groupBy("cluster").agg(many.alias("blocks"))
+    placed = counted.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     texts = store(docs.join(placed, "doc_id").withColumn("head", F.col("doc_id") == F.col("cluster")), "cluster-texts")
     everywhere = F.when(F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first_pass = texts.withColumn("block", F.explode(everywhere)).withColumns({"other": F.lit(-1), "component": F.col("doc_id")})
@@ -362,7 +419,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, a: int = 90, b: int = 100) -> Da
     large = texts.where(F.col("blocks") > 1).join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
     away = large.where(F.col("component") != F.col("cluster"))
     if not away.isEmpty():
-        tally = away.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others"))
+        tally = away.groupBy("cluster").agg(many.alias("others"))
         numbered = large.join(tally, "cluster")
         visitors = numbered.where(F.col("component") != F.col("cluster")).withColumn("other", F.pmod(F.xxhash64("doc_id"), F.col("others")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         hosts = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
