@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscope.llm import decontaminate, mixing, ngram_join, token_output, toxicity
 from folioscope.llm.common import store, table, word_count
@@ -21,10 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group that is alike in 0.8 of its five-word shingles."""
-    groups = ngram_join.jaccard_groups(docs, n=5, a=80, b=100)
-    copies = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of documents that are alike in 0.8 of their five-word shingles: of the least doc_id, the least text.
+
+    Rows of one doc_id are one document, of which one row stays. Rows without a doc_id
+    take part under an id below all others that their text gives, so equal texts are one
+    document, and are left with their null. Documents without words are alike with none.
+    """
+    id_of = F.coalesce(F.col("doc_id").cast("long"), -2 - F.shiftrightunsigned(F.xxhash64("text"), 2))
+    groups = ngram_join.jaccard_groups(docs.select(id_of.alias("doc_id"), "text"), n=5, a=80, b=100)
+    # a document without an id gives way to one of its group that has one
+    group = groups.groupBy("component_id").agg(F.coalesce(F.min(F.when(F.col("doc_id") >= -1, F.col("doc_id"))), F.min("doc_id")).alias("_kept_id"))
+    kept = store(group.select("_kept_id"), "kept")
+    rows = docs.withColumn("_kept_id", id_of).join(kept, "_kept_id")
+    first = Window.partitionBy("_kept_id").orderBy(F.xxhash64("text"), *[c for c, kind in docs.dtypes if "map" not in kind and c != "text"])
+    return rows.withColumn("_kept_row", F.row_number().over(first)).where("_kept_row = 1").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
