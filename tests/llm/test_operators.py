@@ -164,9 +164,10 @@ def test_jaccard_edges(spark, odd):
     assert ngram_join.jaccard_groups(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize("block", [1024, 3])
 def test_jaccard_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "RUN_BLOCK", block)
     rng = np.random.default_rng(4)
     base = [rng.integers(0, 50, 60) for _ in range(6)]
     rows = []
@@ -466,7 +467,7 @@ def test_substring(spark, odd, monkeypatch):
         assert {r.doc_id: tuple(r)[1:] for r in substring.remove_repeats(df, window, digest=True).collect()} == brute_kept(rows, window)
 
 
-@pytest.mark.parametrize("block", [100_000, 300])
+@pytest.mark.parametrize("block", [100_000, 1500])
 def test_substring_of_hot_anchors_and_repeated_ids(spark, block, monkeypatch):
     monkeypatch.setattr(substring, "BLOCK_WORDS", block)
     rng = np.random.default_rng(9)

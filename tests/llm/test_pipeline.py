@@ -19,6 +19,74 @@ def test_near_copies(spark, docs, sf_dir):
     assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in groups.items() if c == d}
 
 
+def test_near_copies_of_repeated_and_nameless_rows(spark, docs, sf_dir):
+    text = "a b c d e f g h"
+    rows = [(1, text), (1, text), (1, "other words stand here now and then"), (2, text), (None, text), (None, "only here are these words of mine"), (None, "only here are these words of mine"), (3, None), (4, None), (None, None), (5, "")]
+    odd = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], docs.schema)
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_near_copies(spark, odd, sf_dir).collect())
+    assert [k[1] for k in kept if not k[0]] == [1, 3, 4, 5] and [k[2] for k in kept if k[0]] == ["", "only here are these words of mine"]
+    assert corpus_pipeline.drop_near_copies(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_toxic_ones_go(spark, docs, sf_dir):
+    """The stage against the scores of the model that it learns."""
+    from folioscope.llm import toxicity
+
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    kept = corpus_pipeline.drop_toxic(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, s in score.items() if s < 0.7}
+
+
+def brute_mixture(rows):
+    """Words that each source gives: filled level by level, clamped at three times its size."""
+    size = {}
+    for source, n in rows:
+        size[source] = size.get(source, 0) + n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, left, still = dict.fromkeys(names, 0.0), float(sum(size.values())), set(names)
+    while still:
+        share = {s: left * weight[s] / sum(weight[x] for x in still) for s in still}
+        over = {s for s in still if share[s] > 3 * size[s]}
+        for s in over or still:
+            target[s] = 3.0 * size[s] if over else share[s]
+        left -= sum(target[s] for s in over)
+        still = still - over if over else set()
+    return target
+
+
+def test_mixture_brute_force(spark, docs, sf_dir):
+    count = lambda t: len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if w])
+    rows = [(r.doc_id, r.source, count(r.text)) for r in docs.collect()]
+    target = brute_mixture([r[1:] for r in rows])
+    size = {r[0]: r for r in rows}
+    taken, often = dict.fromkeys(target, 0), {}
+    for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect():
+        taken[r.source] += size[r.doc_id][2]
+        often[r.doc_id] = often.get(r.doc_id, 0) + 1
+    for s, want in target.items():
+        own = [r for r in rows if r[1] == s]
+        assert abs(taken[s] - want) <= max(r[2] for r in own)
+        whole = int(want // sum(r[2] for r in own)) if any(r[2] for r in own) else 0
+        assert all(whole <= often.get(r[0], 0) <= whole + 1 for r in own if r[2])
+
+
+def test_tokens_brute_force(spark, docs, sf_dir):
+    import zlib
+
+    import numpy as np
+    from folioscope.llm.queries import tokenizer_path
+    from tokenizers import Tokenizer
+
+    tokenizer, at, want = Tokenizer.from_file(tokenizer_path()), 0, []
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((r.doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in corpus_pipeline.write_tokens(spark, docs, sf_dir).collect()) == want
+
+
 def test_benchmark(spark, docs, sf_dir):
     from folioscope.llm.decontaminate import contaminated
 
