@@ -17,60 +17,55 @@ class BitVector:
         padded[: len(bits)] = bits
         words = np.packbits(padded, bitorder="little").view(np.uint64)
         ones = np.bitwise_count(words)
-        self.before = np.concatenate([[0], np.cumsum(ones)]).astype(np.int32)
+        before = np.concatenate([[0], np.cumsum(ones, dtype=np.int64)])
         mixed = (ones > 0) & (ones < 64)
-        self.place = np.where(mixed, np.cumsum(mixed) + 1, ones // 64).astype(np.int32)
+        place = np.where(mixed, np.cumsum(mixed) + 1, ones // 64)
+        self.at = before[:-1] << 32 | place  # ones before a word, and where its bits are kept
         self.kept = np.concatenate([np.array([0, (1 << 64) - 1], np.uint64), words[mixed]])
-        self.zeros = len(bits) - int(self.before[-1])
+        self.zeros = len(bits) - int(before[-1])
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before position i."""
-        word = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.kept[self.place[word]] & mask)
-
-
-#: Positions whose least owner is looked up as one.
-STRIDE = 32
+        at = self.at[i >> 6]
+        mask = (np.uint64(1) << (i & 63).view(np.uint64)) - np.uint64(1)
+        return (at >> 32) + np.bitwise_count(self.kept[at & 0xFFFFFFFF] & mask)
 
 
 class RangeMinimum:
-    """Least values of ranges, in four times the space of the values: minima up to and from each place of a stride, and of 2^k strides."""
+    """Least values of ranges: tables of 1, 2, 4 and 8 values from each place, and of 2^k groups of eight.
+
+    Six times the space of the values, where tables of all lengths from each place take twenty.
+    """
 
     def __init__(self, values: np.ndarray):
-        strides = len(values) // STRIDE + 1
-        padded = np.full(strides * STRIDE, np.iinfo(np.int32).max, np.int32)
-        padded[: len(values)] = values
-        self.values, grid = padded, padded.reshape(strides, STRIDE)
-        self.upto = np.minimum.accumulate(grid, axis=1).ravel()
-        self.onward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        self.levels = [grid.min(1)]
-        while 2 << (len(self.levels) - 1) <= strides:
-            step, last = 1 << (len(self.levels) - 1), self.levels[-1]
-            self.levels.append(np.minimum(last[:-step], last[step:]))
+        self.fine = self._doubled([values], 4)
+        groups = np.full(len(values) // 8 + 1, np.iinfo(np.int32).max, np.int32)
+        whole = len(values) // 8
+        groups[:whole] = values[: whole * 8].reshape(whole, 8).min(1)
+        self.coarse = self._doubled([groups], 64)
+
+    @staticmethod
+    def _doubled(tables: list[np.ndarray], most: int) -> list[np.ndarray]:
+        while len(tables) < most and len(tables[-1]) > 1 << (len(tables) - 1):
+            step, last = 1 << (len(tables) - 1), tables[-1]
+            tables.append(np.minimum(last[:-step], last[step:]))
+        return tables
 
     def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Of non-empty ranges [low, high)."""
+        span = np.bitwise_count(_fill(high - low)).astype(np.int64) - 1
+        fine = np.minimum(span, 3)
         out = np.empty(len(low), np.int32)
-        first, last = low // STRIDE, (high - 1) // STRIDE
-        inside = np.flatnonzero(first == last)
-        at, end = low[inside], high[inside]
-        least = self.values[at]
-        while len(inside):
-            at = at + 1
-            done = at >= end
-            out[inside[done]] = least[done]
-            inside, at, end, least = inside[~done], at[~done], end[~done], least[~done]
-            least = np.minimum(least, self.values[at])
-        across = np.flatnonzero(first < last)
-        out[across] = np.minimum(self.onward[low[across]], self.upto[high[across] - 1])
-        between = last - first - 1
-        wide = np.flatnonzero(between > 0)
-        level = np.bitwise_count(_fill(between[wide])).astype(np.int64) - 1
-        for k in np.unique(level):
-            pick = wide[level == k]
-            table = self.levels[k]
-            out[pick] = np.minimum(out[pick], np.minimum(table[first[pick] + 1], table[last[pick] - (1 << int(k))]))
+        for k in range(int(fine.max()) + 1 if len(fine) else 0):
+            pick = np.flatnonzero(fine == k)
+            out[pick] = np.minimum(self.fine[k][low[pick]], self.fine[k][high[pick] - (1 << k)])
+        long = np.flatnonzero(span > 3)
+        first, last = (low[long] + 7) >> 3, high[long] >> 3
+        level = np.bitwise_count(_fill(last - first)).astype(np.int64) - 1
+        for k in np.unique(level[level >= 0]):
+            some = level == k
+            table, pick = self.coarse[k], long[some]
+            out[pick] = np.minimum(out[pick], np.minimum(table[first[some]], table[last[some] - (1 << int(k))]))
         return out
 
 

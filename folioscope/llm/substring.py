@@ -34,8 +34,8 @@ from .words import batches_of, hash_words, mix, runs, sequence_hashes, text_byte
 ANCHOR = 8
 #: Words of an index over the segments of many anchors.
 SHARD_WORDS = 1_000_000
-#: Words of the segments of one anchor from which they are cut in blocks of about so many.
-BLOCK_WORDS = 100_000
+#: Words of the segments of one anchor above which they are cut in blocks of about so many.
+BLOCK_WORDS = 1_000_000
 SEGMENTS = "anchor long, h1 long, h2 long, doc_id long, text_hash long, start int, length int, words binary"
 #: What names a row: places in one text mean nothing in another, though both have one doc_id.
 ROW = ("doc_id", "text_hash")
@@ -160,6 +160,8 @@ def _stretches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
         sizes = np.add.reduceat(lengths, border)
         blocks = t.column("blocks").to_numpy()[border]
         for s, e, n, cut in zip(border, [*border[1:], len(anchors)], sizes.tolist(), blocks.tolist(), strict=True):
+            if e - s < 2:  # an anchor that one segment alone has: its owner has nothing to be found in
+                continue
             part = t.slice(s, e - s)
             if cut > 1:
                 index_rows, stream_rows = np.flatnonzero(block[s:e] == indexed[s]), np.flatnonzero(block[s:e] == streamed[s])
@@ -214,9 +216,9 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     distinct = segments.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("owner"), F.first("length").alias("length"), F.max("words").alias("words"))
     owners = store(distinct, "owners")
 
-    # an anchor that one segment alone has is not searched: its owner has nothing to be found in
-    sizes = owners.groupBy("anchor").agg(F.count("*").alias("n"), F.ceil(F.sum("length") / BLOCK_WORDS).cast("int").alias("blocks")).where("n > 1").drop("n")
-    dealt = owners.join(sizes, "anchor").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
+    hot = owners.groupBy("anchor").agg(F.ceil(F.sum("length") / BLOCK_WORDS).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = owners.join(store(hot, "hot-anchors"), "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     shards = F.transform(other, lambda o: F.struct(F.col("block").alias("indexed"), o.alias("streamed")))
     shards = F.array_distinct(F.concat(shards, F.transform(other, lambda o: F.struct(o.alias("indexed"), F.col("block").alias("streamed")))))
