@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import ORACLE, QUERIES, corpora, functions, graphs, profiles, searches  # noqa: F401  (modules register as they load)
+from .queries import ORACLE, QUERIES, chains, corpora, functions, graphs, profiles, relations, searches  # noqa: F401  (modules register as they load)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

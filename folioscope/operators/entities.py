@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import assignment, bullet_items, slugify
 from .extraction import first_entities
+from .parameters import directory, expanded
 
 
 def title_names(prefix: str = "") -> Callable[[], Column]:
@@ -85,8 +86,9 @@ def instance_params(docs: DataFrame, instances: DataFrame) -> DataFrame:
     """id, key, value and src_id of the leaves below an instance's section titled Parameters.
 
     instances: id, doc_no. Subtrees titled Custom Instance Parameters are left out, as are
-    empty leaves. A leaf of items '- `key`: value' gives one row for each; of rows with
-    one key the later ones are named by their parent's title as well.
+    empty leaves and those that only point below. Values are formatted by title; a leaf of
+    addresses by chain or of items '- `key`: value' gives one row for each; of rows with one
+    key the later ones are named by their parent's title as well.
     """
     parts = F.split("doc_no", r"\.")
     homes = docs.where("title = 'Parameters'").select(F.regexp_replace("doc_no", r"\.[^.]*$", "").alias("doc_no"), F.col("doc_no").alias("home")).join(instances, "doc_no").select("id", "home")
@@ -97,10 +99,8 @@ def instance_params(docs: DataFrame, instances: DataFrame) -> DataFrame:
     inner = under.select(F.regexp_replace("doc_no", r"\.[^.]*$", "").alias("doc_no")).distinct()
     leaves = under.join(homes, F.col("a") == F.col("home")).drop("a").join(inner, "doc_no", "left_anti")
     hidden = under.join(custom, "a", "left_semi").select("doc_no").distinct()
-    leaves = leaves.join(hidden, "doc_no", "left_anti").where(F.trim(F.coalesce("content", F.lit(""))) != "")
-    item = r"(?m)^\s*-\s*`([^`]+)`\s*:\s*(.*?)\s*$"
-    pairs = F.arrays_zip(F.regexp_extract_all("content", F.lit(item), F.lit(1)).alias("k"), F.regexp_extract_all("content", F.lit(item), F.lit(2)).alias("v"))
-    keyed = F.when(F.size(pairs) > 0, F.transform(pairs, lambda p: F.struct(F.concat("title", F.lit(" / "), p["k"]).alias("key"), p["v"].alias("value")))).otherwise(F.array(F.struct(F.col("title").alias("key"), F.trim("content").alias("value"))))
+    leaves = leaves.join(hidden, "doc_no", "left_anti").where((F.trim(F.coalesce("content", F.lit(""))) != "") & ~directory(F.col("content")))
+    keyed = expanded(F.col("title"), F.trim("content"))
     titles = docs.select(F.col("doc_no").alias("up"), F.col("title").alias("up_title"))
     rows = leaves.withColumn("up", F.element_at("above", -1)).join(titles, "up", "left").select("id", "src_id", "ord", "up_title", F.size("above").alias("depth"), F.posexplode(keyed).alias("n", "p")).select("*", "p.*")
     nth = F.row_number().over(Window.partitionBy("id", "key").orderBy("depth", "ord", "n"))

@@ -1,7 +1,8 @@
 """Sections as a tree, by their dotted numbers and by their parents.
 
 Dotted numbers name all ancestors, so a chain is an explode and one equi join at any
-depth; parents are followed by a join for each level, up to ``LEVELS``.
+depth. Parents are followed by jumps that double: chains of up to 2^k hops are joined to
+those of the ancestors at 2^k hops, so a tree of any depth takes its logarithm of rounds.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEVELS = 6
+from ..session import stored
+
+#: Rounds of doubled jumps; a chain beyond 2^24 hops is a cycle of parents.
+MOST_ROUNDS = 24
 
 
 def number_ancestors(docs: DataFrame, shortest: int = 2) -> DataFrame:
@@ -23,16 +27,21 @@ def number_ancestors(docs: DataFrame, shortest: int = 2) -> DataFrame:
     return own.join(by_no, "ancestor_no").select("id", "ancestor_id", "ancestor_no")
 
 
-def parent_chain(docs: DataFrame, ids: DataFrame | None = None, levels: int = LEVELS) -> DataFrame:
-    """id, hop (1 for the parent) and ancestor_id, by parents."""
-    up = docs.where("parent_id IS NOT NULL").select(F.col("id").alias("at"), F.col("parent_id").alias("above"))
-    start = docs if ids is None else docs.join(ids, "id", "left_semi")
-    level = start.where("parent_id IS NOT NULL").select("id", F.lit(1).alias("hop"), F.col("parent_id").alias("ancestor_id"))
-    found = level
-    for hop in range(2, levels + 1):
-        level = level.join(up, F.col("ancestor_id") == F.col("at")).select("id", F.lit(hop).alias("hop"), F.col("above").alias("ancestor_id"))
-        found = found.unionByName(level)
-    return found
+def parent_chain(docs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """id, hop (1 for the parent) and ancestor_id, by parents, up to the root at any depth; for some ids or all."""
+    up = docs.where("parent_id IS NOT NULL").select("id", F.lit(1).cast("long").alias("hop"), F.col("parent_id").alias("ancestor_id"))
+    chain = stored(up, "chain")
+    for k in range(MOST_ROUNDS):
+        far = chain.where(F.col("hop") == 1 << k)
+        if far.isEmpty():
+            break
+        on = chain.select(F.col("id").alias("at"), F.col("hop").alias("more"), F.col("ancestor_id").alias("above"))
+        further = far.join(on, F.col("ancestor_id") == F.col("at")).select("id", (F.col("hop") + F.col("more")).alias("hop"), F.col("above").alias("ancestor_id"))
+        chain = stored(chain.unionByName(further), "chain")
+    else:
+        raise ValueError("parents form a cycle")
+    chain = chain.withColumn("hop", F.col("hop").cast("int"))
+    return chain if ids is None else chain.join(ids, "id", "left_semi")
 
 
 def subtree(docs: DataFrame, root: str) -> DataFrame:
@@ -41,9 +50,9 @@ def subtree(docs: DataFrame, root: str) -> DataFrame:
     return docs.where(F.col("id") == root).select("id").unionByName(below)
 
 
-def closest_flagged(docs: DataFrame, flagged: DataFrame, levels: int = LEVELS) -> DataFrame:
+def closest_flagged(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     """id, hop and ancestor_id of the nearest ancestor among flagged (id)."""
-    chain = parent_chain(docs, levels=levels).join(flagged.select(F.col("id").alias("ancestor_id")), "ancestor_id", "left_semi")
+    chain = parent_chain(docs).join(flagged.select(F.col("id").alias("ancestor_id")), "ancestor_id", "left_semi")
     return chain.groupBy("id").agg(F.min("hop").alias("hop"), F.min_by("ancestor_id", "hop").alias("ancestor_id"))
 
 

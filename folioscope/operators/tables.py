@@ -50,9 +50,13 @@ def longest_first(labels: Column) -> Column:
     return F.transform(F.array_sort(F.transform(F.array_distinct(labels), order)), lambda s: s["x"])
 
 
-def at_fraction(values: Column, fraction: float) -> Column:
-    """The element of sorted values at floor(n * fraction), the last at most."""
-    return F.get(F.array_sort(values), F.least(F.floor(F.size(values) * F.lit(fraction)), F.size(values) - 1).cast("int"))
+def at_fractions(df: DataFrame, key: str, value: str, fractions: dict[str, float]) -> DataFrame:
+    """key with the values at floor(n * fraction) of its sorted values, the last at most; equal values are counted, not gathered."""
+    counts = df.groupBy(key, value).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(key).orderBy(value)
+    counts = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(key))})
+    at = lambda f: F.least(F.floor(F.col("_all") * F.lit(f)), F.col("_all") - 1)
+    return counts.groupBy(key).agg(*[F.min(F.when(F.col("_upto") > at(f), F.col(value))).alias(name) for name, f in fractions.items()])
 
 
 def fingerprint(df: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import stored
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: name -> (views it needs, text); {t} is a given table, other views are used by name
@@ -61,6 +63,10 @@ SELECT id, title, CASE WHEN ord % 7 = 0 THEN concat(content, ' edited') ELSE con
 }
 
 
+#: Views that are written once for a query and read again, as its operators use them many times.
+STORED = {"sections", "edges"}
+
+
 class Views:
     """The given tables of a folder and the stand-ins derived from them, as DataFrames."""
 
@@ -79,7 +85,8 @@ class Views:
                     text = text.replace(f" {view} ", f" {{{view}}} ").replace(f" {view}\n", f" {{{view}}}\n")
                     text = text + " " if not text.endswith(view) else text[: -len(view)] + f"{{{view}}}"
                 used = [n for n in (*TABLES, *VIEWS) if f"{{{n}}}" in text]
-                self._made[name] = self.spark.sql(text, **{n: getattr(self, n) for n in used})
+                made = self.spark.sql(text, **{n: getattr(self, n) for n in used})
+                self._made[name] = stored(made, name) if name in STORED else made
         return self._made[name]
 
 

@@ -131,6 +131,13 @@ def _(v):
     return names.select("subtype", F.get("l", F.lit(0)).alias("label"), F.array_join(F.slice("l", 2, 3), "|").alias("aliases"))
 
 
+@query("a7_labels_and_aliases", "entities", sql="SELECT subtype, name, row_number() OVER (PARTITION BY subtype ORDER BY -len(name), name) = 1 AS is_label FROM (SELECT DISTINCT subtype, name FROM entities WHERE entity_type = 'part') x")
+def _(v):
+    names = v.entities.where("entity_type = 'part'").select("subtype", "name").distinct()
+    first = F.row_number().over(Window.partitionBy("subtype").orderBy(-F.length("name"), "name")) == 1
+    return names.withColumn("is_label", first)
+
+
 @query("a8_degrees", "edges", sql="SELECT t AS node_type, i AS node_id, CAST(count(*) AS BIGINT) AS degree FROM (SELECT from_type AS t, from_id AS i FROM edges UNION ALL SELECT to_type, to_id FROM edges) GROUP BY ALL")
 def _(v):
     return graph.degrees(v.edges)
@@ -138,8 +145,7 @@ def _(v):
 
 @query("a10_length_percentiles", "corpus", sql="SELECT type, CAST(l[1 + least(CAST(floor(len(l) * 0.5) AS INT), len(l) - 1)] AS INT) AS p50, CAST(l[1 + least(CAST(floor(len(l) * 0.9) AS INT), len(l) - 1)] AS INT) AS p90 FROM (SELECT type, list(len(content) ORDER BY len(content)) AS l FROM corpus GROUP BY type)")
 def _(v):
-    lengths = v.corpus.groupBy("type").agg(F.collect_list(F.length("content")).alias("l"))
-    return lengths.select("type", tables.at_fraction(F.col("l"), 0.5).alias("p50"), tables.at_fraction(F.col("l"), 0.9).alias("p90"))
+    return tables.at_fractions(v.corpus.select("type", F.length("content").alias("n")), "type", "n", {"p50": 0.5, "p90": 0.9})
 
 
 @query("a13_by_commit", "history", sql="SELECT commit_hash, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs, array_to_string(list_sort(list(DISTINCT concat(doc_id, ':', change_type))), ' ') AS changes FROM history GROUP BY commit_hash")

@@ -34,3 +34,54 @@ def test_status(spark):
     docs = corpus(spark)
     got = {r.id: r.status for r in entities.primitive_status(docs, docs.where("id IN ('i4', 'i6')").select("id", "doc_no")).collect()}
     assert got == {"i4": "Active", "i6": None}
+
+
+def test_values_by_title(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.operators import parameters
+
+    a = "0x" + "ab" * 20
+    rows = [
+        ("Name", "The name of the token is Moon Coin.", [("Name", "Moon Coin")]), ("Agent Type", "Moon is a Prime Agent.", [("Agent Type", "Prime Agent")]), ("Reward Code", "`1234`.", [("Reward Code", "1234")]),
+        ("Integration Partner Chain", "The partner is on the Base blockchain.", [("Integration Partner Chain", "Base")]), ("Pool Address", f"It is `{a}` here.", [("Pool Address", a)]), ("Network", "Base.", [("Network", "Base")]),
+        ("Token Address", f"The address of T on the Base blockchain is `{a}`. The address of T on Ethereum is `x`.", [("Token Address (Base)", a), ("Token Address (Ethereum)", "x")]),
+        ("Genesis Account", "It will be specified later.", [("Genesis Account", "TBD")]), ("SubProxy Account", f"The address of the account on Ethereum is `{a}`.", [("SubProxy Account / Ethereum", a)]),
+        ("Inflow Rate Limit ID", f"It is `0x{'1' * 64}`.", [("Inflow Rate Limit ID", "0x" + "1" * 64)]), ("Swap RateLimitID", "The id: N/A for now.", [("Swap RateLimitID", "N/A for now")]), ("Caps", "Are:\n- `low`: 1\n* `high`: 2", [("Caps / low", "1"), ("Caps / high", "2")]),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "title string, content string")
+    got = {r.title: [tuple(p) for p in r.p] for r in df.select("title", parameters.expanded(F.col("title"), F.trim("content")).alias("p")).collect()}
+    assert got == {t: p for t, _, p in rows}
+    one = spark.createDataFrame([("The documents herein define it.", "- Cat\n  - One Primitive\n    - Two Primitive", "on Avalanche C-Chain")], "a string, b string, c string")
+    row = one.select(parameters.directory(F.col("a")).alias("a"), parameters.listed_members(F.col("b")).alias("b"), parameters.chain_name(F.col("c")).alias("c"), parameters.explorer_url(F.lit("x"), F.lit("odd")).alias("d")).first()
+    assert tuple(row) == (True, ["One Primitive", "Two Primitive"], "avalanche", "https://etherscan.io/address/x")
+
+
+def test_steps_by_their_source(spark):
+    from folioscope.plans import chains
+
+    texts = {"a": "", "b": "# Step 1\n## stage 2\n# Step 1", "c": "1. x\n2. y\n3. z", "d": "(1) and (2), (3) but (5)", "e": "- a\n* b\n- c", "f": "- a\n- b", "g": "(2) (1)"}
+    processes = spark.createDataFrame([(k, k.upper(), t, 9 if k == "f" else None) for k, t in texts.items()], "id string, doc_no string, content string, override int")
+    docs = spark.createDataFrame([("A.1",), ("A.2",), ("A.0.6.1",), ("B.1.1",)], "doc_no string")
+    got = {r.id: (r.steps, r.source) for r in chains.step_audit(processes, docs).collect()}
+    assert got == {"a": (2, "children"), "b": (2, "step-headings"), "c": (3, "numbered-list"), "d": (3, "parenthesized"), "e": (3, "bullets"), "f": (9, "override"), "g": (None, "none")}
+
+
+def test_chains_deeper_than_any_bound(spark):
+    from folioscope.operators import hierarchy
+
+    docs = spark.createDataFrame([(f"n{k}", f"n{k - 1}" if k else None) for k in range(13)], "id string, parent_id string")
+    got = {(r.id, r.hop, r.ancestor_id) for r in hierarchy.parent_chain(docs).collect()}
+    assert got == {(f"n{k}", k - j, f"n{j}") for k in range(13) for j in range(k)}
+    assert {r.id for r in hierarchy.subtree(docs, "n0").collect()} == {f"n{k}" for k in range(13)}
+    assert {r.id: r.hop for r in hierarchy.closest_flagged(docs, spark.createDataFrame([("n1",), ("n7",)], "id string")).collect()} == {f"n{k}": k - (7 if k > 7 else 1) for k in range(2, 13)}
+
+
+def test_long_numbers_compare_as_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.functions import text
+
+    numbers = ["A.2", "A.010", "A.99", "A.9999999999", "A.12345678901", "A.12345678902", "A.100000000000", "A.var2"]
+    df = spark.createDataFrame([(n,) for n in reversed(numbers)], "n string").orderBy(text.natural_key(F.col("n")))
+    assert [r.n for r in df.collect()] == numbers

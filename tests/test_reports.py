@@ -21,6 +21,16 @@ def test_labels(spark):
     assert [tuple(r)[:3] for r in extraction.unlabelled(got).collect()] == [("0x3", "base", 2)]
 
 
+def test_names_before_addresses(spark):
+    said = ["The address of the Moon Treasury is ", "the Star Vault's address on ", "The reward address for the Big Lab is ", "see Acme Pool at address ", "Recipient: Good Corp", "**Bold Name**: ", "the address of it is ", "nothing"]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, t string").select("k", extraction.label_of(F.col("t")).alias("l")).collect()
+    assert {r.k: r.l for r in got} == {0: "Moon Treasury", 1: "Star Vault", 2: "Big Lab", 3: "Acme Pool", 4: "Good Corp", 5: "Bold Name", 6: None, 7: None}
+    rows = spark.createDataFrame([("0x1", "base", ["Long Name", "N"]), ("0x1", "ethereum", ["N"])], "address string, chain string, labels array<string>")
+    registry, contracts = spark.createDataFrame([("0x9", "r")], "address string, name string"), spark.createDataFrame([("0x1", "base", "C"), ("0x1", "base", "B")], "address string, chain string, name string")
+    best = {(r.chain): (r.label, r.aliases) for r in extraction.best_labels(rows, registry, contracts).collect()}
+    assert best == {"base": ("Long Name", ["B", "N"]), "ethereum": ("N", [])}
+
+
 def test_duties(spark):
     text = "Intro. See [Acme](x). **Acme** must report. Others will rest."
     snippet = spark.createDataFrame([(text,), ("No subject here.",), ("",)], "c string").select(reports.duty_snippet(F.col("c"), "Acme")).collect()
