@@ -12,12 +12,12 @@ from ..operators import filters, graph
 MODAL = r"(?i)(?<![A-Za-z])(?:must|shall|should|will|may not|is responsible)(?![A-Za-z])"
 
 
-def responsibility(edges: DataFrame) -> DataFrame:
-    """customer, nation and the first supplier there, by edges that locate them."""
-    located = edges.where("edge_type = 'located_in'")
-    party = graph.picked(located.where(F.col("from_id").startswith("S")), "to_id", "from_id", F.col("from_id"), last=False)
-    of = located.where(F.col("from_id").startswith("C")).select(F.col("from_id").alias("customer"), F.col("to_id").alias("nation"))
-    return of.join(party.select(F.col("to_id").alias("nation"), F.col("from_id").alias("party")), "nation").select("customer", "nation", "party")
+def responsibility(edges: DataFrame, edge_type: str, holder: Column, member: Column) -> DataFrame:
+    """member, place and party of members that edges of a type put in one place with holders, the first of whom is the party."""
+    located = edges.where(F.col("edge_type") == edge_type)
+    party = graph.picked(located.where(holder), "to_id", "from_id", F.col("from_id"), last=False)
+    of = located.where(member).select(F.col("from_id").alias("member"), F.col("to_id").alias("place"))
+    return of.join(party.select(F.col("to_id").alias("place"), F.col("from_id").alias("party")), "place").select("member", "place", "party")
 
 
 def active_data(docs: DataFrame, edges: DataFrame) -> DataFrame:

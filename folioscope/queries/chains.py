@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import entities as entity_rules
-from ..operators import extraction, parameters, relations
+from ..operators import attribution, extraction, parameters, relations
 from ..plans import chains
 from ..session import stored
 from . import query
@@ -37,7 +37,8 @@ CASE WHEN s_suppkey % 5 = 0 AND r.r_regionkey < 4 THEN 'Gov ' || r.r_name WHEN s
 CASE s_suppkey % 5 WHEN 2 THEN 'direct' WHEN 3 THEN 'role' WHEN 4 THEN 'chain' ELSE CASE WHEN r.r_regionkey < 4 THEN 'chain' END END AS resolution, 'Fac ' || r.r_name AS facilitator,
 concat_ws(' → ', {ADC}, CASE WHEN s_suppkey % 5 = 4 OR (s_suppkey % 5 < 2 AND r.r_regionkey < 4) THEN executor_source END,
   CASE WHEN s_suppkey % 5 = 1 AND r.r_regionkey < 4 THEN 'A.6.1.2.' || (r.r_regionkey + 1) || '.1' WHEN (s_suppkey % 5 = 0 AND r.r_regionkey < 4) OR (s_suppkey % 5 = 4 AND r.r_regionkey = 4) THEN 'A.6.1.2.' || (r.r_regionkey + 1) || '.2' END) AS evidence
-FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey JOIN region o ON o.r_regionkey = s_suppkey % 4 JOIN c ON c.n_nationkey = n.n_nationkey""")
+FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey JOIN region o ON o.r_regionkey = s_suppkey % 4 JOIN c ON c.n_nationkey = n.n_nationkey
+UNION ALL SELECT {uid("'E'")}, 'A.1.8.1.2.2.0.6.1', NULL, 'Governance', NULL, NULL, NULL, 'A.1.8.1.2.2' UNION ALL SELECT {uid("'O'")}, 'A.1.5.1.5.0.6.1', NULL, 'Governance', NULL, NULL, NULL, 'A.1.5.1.5'""")
 def _(v):
     entities, edges, every = graph(v)
     return chains.active_data_index(v.sections, entities, every, stored(chains.responsibility_chains(entities, edges), "chains"))
@@ -112,3 +113,43 @@ def _(v):
 def _(v):
     given = F.array(F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).otherwise("contract"), F.lit("12.5"))
     return v.region.select(F.col("r_regionkey").alias("k"), F.array_join(parameters.plausible_labels(given), "|").alias("labels"))
+
+
+#: Regions are change sets: nations and customers changed, and nations are bullets, of which even ones name their section's number and odd ones their first customer; odd nations share a word with the first of them.
+MATCHED = """m AS (SELECT n_regionkey AS set_id, concat('N', n_nationkey) AS id, n_nationkey AS bullet, 100 AS score, 'ref' AS via FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT n_regionkey, concat('C', min(c_custkey)), n_nationkey, 100, 'fuzzy' FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 1 GROUP BY n_regionkey, n_nationkey
+UNION ALL SELECT n_regionkey, concat('N', n_nationkey), min(n_nationkey) OVER (PARTITION BY n_regionkey), 100, 'fuzzy' FROM nation WHERE n_nationkey % 2 = 1)"""
+
+
+def change_sets(v):
+    first = v.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min_by("c_name", "c_custkey").alias("first"))
+    number = F.concat(F.lit("see A."), (F.col("n_regionkey") + 1).cast("string"), F.lit("."), (F.col("n_nationkey") + 1).cast("string"))
+    said = v.nation.join(first, "n_nationkey", "left").withColumn("description", F.when(F.col("n_nationkey") % 2 == 0, number).otherwise(F.col("first")))
+    bullets = said.select(F.col("n_regionkey").alias("set_id"), F.col("n_nationkey").alias("bullet"), F.concat(F.lit("About "), "n_name").alias("title"), "description")
+    docs = v.docs.select("id", "doc_no", "title", "depth", "type")
+    nodes = docs.where("depth = 2 OR (depth = 3 AND type <> 'Active Data')").select((F.element_at(F.split("doc_no", r"\."), 2).cast("int") - 1).alias("set_id"), "id", "doc_no", "title")
+    return bullets, nodes, attribution.attributed(bullets, nodes, docs)
+
+
+@query("h9_attribution", sql=f"WITH {MATCHED} SELECT * FROM m")
+def _(v):
+    return change_sets(v)[2]
+
+
+@query("a11_match_rates", sql=f"WITH {MATCHED} SELECT r_regionkey AS set_id, CAST(n.k + coalesce(c.k, 0) AS BIGINT) AS changed, CAST(coalesce(h.k, 0) AS BIGINT) AS matched, coalesce(h.k, 0) / (n.k + coalesce(c.k, 0)) AS rate FROM region JOIN (SELECT n_regionkey, count(*) AS k FROM nation GROUP BY 1) n ON n.n_regionkey = r_regionkey LEFT JOIN (SELECT n_regionkey, count(*) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) c ON c.n_regionkey = r_regionkey LEFT JOIN (SELECT set_id, count(*) AS k FROM m GROUP BY 1) h ON h.set_id = r_regionkey")
+def _(v):
+    _, nodes, matches = change_sets(v)
+    return attribution.match_rates(nodes, matches)
+
+
+@query("h3_relabelled", "history", sql="SELECT event_id, CASE WHEN commit_seq % 5 = 0 AND change_type = 'added' THEN 'moved' ELSE change_type END AS change_type FROM history")
+def _(v):
+    commits = v.history.select("commit_hash", F.when(F.col("commit_seq") % 5 == 0, "Migrate it to Markdown File").otherwise("Migrate").alias("message")).distinct()
+    return attribution.relabelled(v.history, commits).select("event_id", "change_type")
+
+
+@query("h12_summaries", sql=f"WITH {MATCHED} SELECT set_id, id, concat('About ', n_name) AS summary FROM m JOIN nation ON n_nationkey = bullet")
+def _(v):
+    bullets, nodes, matches = change_sets(v)
+    sets = v.region.select(F.col("r_regionkey").alias("set_id"), F.col("r_name").alias("title"), F.lit("A body of some length").alias("body"))
+    return attribution.summaries(nodes, matches, bullets, sets).where("summary IS NOT NULL").select("set_id", "id", "summary")

@@ -96,7 +96,8 @@ def _(v):
 
 @query("t1_responsibility", "edges", sql="""SELECT l.from_id AS customer, l.to_id AS nation, p.party FROM edges l JOIN (SELECT to_id, min(from_id) AS party FROM edges WHERE edge_type = 'located_in' AND from_id LIKE 'S%' GROUP BY to_id) x ON x.to_id = l.to_id, LATERAL (SELECT x.party AS party) p WHERE l.edge_type = 'located_in' AND l.from_id LIKE 'C%'""")
 def _(v):
-    return reports.responsibility(v.edges)
+    found = reports.responsibility(v.edges, "located_in", F.col("from_id").startswith("S"), F.col("from_id").startswith("C"))
+    return found.withColumnsRenamed({"member": "customer", "place": "nation"})
 
 
 @query("t2_active_data", "docs", "edges", sql="""SELECT d.id, p.title AS controller, coalesce(e.n, 0) AS duties FROM docs d LEFT JOIN docs p ON p.id = d.parent_id LEFT JOIN (SELECT from_id, CAST(count(*) AS BIGINT) AS n FROM edges WHERE edge_type = 'responsible_party_for' GROUP BY 1) e ON e.from_id = d.id WHERE d.type = 'Active Data'""")

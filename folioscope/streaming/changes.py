@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,10 +28,13 @@ def usage(changes: DataFrame, limit: float, minutes: int = 120, late: str = "1 d
 def append_new(stream: DataFrame, target: str, keys: list[str], checkpoint: str) -> StreamingQuery:
     """Appends rows whose key the target folder lacks, batch by batch; a batch that comes again adds nothing."""
     def batch(rows: DataFrame, _: int) -> None:
-        spark = rows.sparkSession
         fresh = rows.dropDuplicates(keys)
-        if spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(target)):
-            fresh = fresh.join(spark.read.schema(rows.schema).parquet(target).select(*keys), keys, "left_anti")
+        try:
+            had = rows.sparkSession.read.schema(rows.schema).parquet(target).select(*keys)
+            fresh = fresh.join(had, keys, "left_anti")
+        except AnalysisException as e:  # the first batch finds no folder
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
         fresh.write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
