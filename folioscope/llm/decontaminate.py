@@ -98,11 +98,11 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, share: tuple[int
     found = store(candidates(docs, items, n, share), "candidates")
     wanted = store(item_shingles(items, n), "items")
     if (wanted.agg(F.sum(F.octet_length(F.array_join("wanted", " ")))).first()[0] or 0) <= BROADCAST_BYTES:
-        asked = found.join(F.broadcast(wanted), "item_id")
+        paired = docs.join(found, "doc_id").join(F.broadcast(wanted), "item_id")
     else:  # an item that most documents hold is dealt over several tasks
         copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         asked = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(copies, ["item_id", "salt"]).drop("salt")
-    paired = docs.join(asked, "doc_id")
+        paired = docs.join(asked, "doc_id")
     inside = F.size(F.array_intersect("wanted", shingles(words_of(F.col("text")), F.col("width")))).cast("long")
     held = paired.select("doc_id", "item_id", F.size("wanted").cast("long").alias("item_shingles"), inside.alias("found"))
     held = held.where(F.col("found") * b >= F.col("item_shingles") * a)
