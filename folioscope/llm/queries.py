@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near_vectors, ngram_join, pii, sharding, substring, token_output, toxicity
+from . import chat, decontaminate, mixing, near_vectors, ngram_join, pii, prefix_trie, quality, sharding, substring, token_output, toxicity, whitening
 from .common import table, word_count
 
 
@@ -133,6 +133,44 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model, threshold=0.7)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, ids = prefix_trie.rebranched(prefix_trie.numbered(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, ids)
+
+
+OP13_SQL = r"""
+WITH o AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS d, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+f AS (SELECT list(v ORDER BY i) AS f FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) g(i))),
+h AS (SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, f.f[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT c FROM o), f),
+r AS (
+  SELECT h.c, o.d, o.role, o.text FROM h JOIN o ON o.c = h.c - h.c % 5 AND o.d <= h.h
+  UNION ALL SELECT h.c, o.d, o.role, o.text FROM h JOIN o ON o.c = h.c AND o.d > h.h),
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY d) AS d, md5(concat(len(role), ':', role, text)) AS m, strlen(text) AS b FROM r),
+p AS (SELECT c, d, b, string_agg(m, '') OVER (PARTITION BY c ORDER BY d) AS k, CASE WHEN d > 1 THEN string_agg(m, '') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE '' END AS q FROM t
+  UNION ALL SELECT c, 0, 0, '', NULL FROM h),
+n AS (SELECT k, any_value(q) AS q, any_value(d) AS depth, any_value(b) AS b, min(c) AS conv_id, count(*) AS n_convs FROM p GROUP BY k),
+w AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.q = n.k) AS n_children, CASE WHEN n.q IS NOT NULL THEN (SELECT conv_id FROM n x WHERE x.k = n.q) END AS parent_conv_id FROM n),
+s AS (SELECT p.k, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.b) AS saved_tokens FROM p JOIN w ON w.conv_id = p.c AND w.depth >= p.d GROUP BY p.k),
+e AS (SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM (SELECT c, arg_max(k, d) AS k FROM p GROUP BY c) GROUP BY k)
+SELECT w.conv_id, w.depth, w.parent_conv_id, w.n_convs, w.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM w JOIN s ON s.k = w.k LEFT JOIN e ON e.k = w.k
+"""
+
+
 #: Components of links (a, b) among nodes (id) by closure.
 CLOSURE = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT a AS id, b AS other FROM both_ways UNION SELECT r.id, w.b FROM reach r JOIN both_ways w ON w.a = r.other),
@@ -170,5 +208,6 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op6_pii": op6_pii, "op7_near_vectors": op7_near_vectors, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding, "op10_substring": op10_substring}
-ORACLE = {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op4_ngram_join": OP4_SQL, "op7_near_vectors": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_substring": OP10_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_chat": op2_chat, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join, "op5_token_output": op5_token_output, "op6_pii": op6_pii, "op7_near_vectors": op7_near_vectors, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding, "op10_substring": op10_substring,
+           "op11_quality": op11_quality, "op12_whitening": op12_whitening, "op13_prefix_trie": op13_prefix_trie}
+ORACLE = {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op4_ngram_join": OP4_SQL, "op7_near_vectors": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_substring": OP10_SQL, "op13_prefix_trie": OP13_SQL}
