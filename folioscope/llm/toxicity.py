@@ -25,8 +25,12 @@ from .words import batches_of
 SAMPLE, SAMPLE_BYTES = 2000, 256 << 20
 BUCKETS, DIM, N_GRAMS = 1 << 18, 10, (3, 4, 5, 6)
 #: Toxic words are few among all; the mean of a document is scaled up before the softmax.
-GAIN = 30.0
+GAIN = 100.0
 EPOCHS, BATCH, RATE = 8, 64, 0.1
+#: A small sample is gone through more often, until so many batches were seen.
+LEAST_BATCHES = 100
+#: Parts of the sample; each part's logits come from a model that has not seen it, and set the scale of the scores.
+FOLDS = 5
 #: Words whose numbers a task remembers; beyond, it starts anew.
 REMEMBERED = 300_000
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -90,7 +94,7 @@ class Model:
 
 
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Model:
-    """Fits embeddings and softmax; a fifth of the rows sets the scale of the scores instead."""
+    """Fits embeddings and softmax, classes weighing the same; the scores' scale is 1 and its shift 0."""
     if len(set(toxic.tolist())) < 2:
         only = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 3.0 if only > 0.5 else -3.0)
@@ -104,14 +108,12 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Model:
     soft, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     soft[:, 1] = rng.normal(0, 0.1, DIM)
     sum_t, sum_s, sum_b = np.full(BUCKETS, 1e-6, np.float32), np.full_like(soft, 1e-6), np.full(2, 1e-6, np.float32)
-    order = rng.permutation(len(docs))
-    held, train = order[: len(docs) // 5], order[len(docs) // 5 :]
-    train = np.array([d for d in train if len(docs[d])], np.int64)
+    train = np.array([d for d in range(len(docs)) if len(docs[d])], np.int64)
 
     labels = toxic.astype(np.int64)
     ones = max(1, int(labels[train].sum()))
     weight = np.where(labels == 1, len(train) / (2 * ones), len(train) / (2 * max(1, len(train) - ones)))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_BATCHES * BATCH // max(1, len(train))))):
         mixed = rng.permutation(train)
         for s in range(0, len(mixed), BATCH):
             some = mixed[s : s + BATCH]
@@ -148,28 +150,30 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Model:
             table[touched] -= RATE * grad / np.sqrt(sum_t[touched])[:, None]
 
     numbers = (GAIN * (table @ (soft[:, 1] - soft[:, 0]))).astype(np.float32)
-    own_bias = float(bias[1] - bias[0])
-    word = np.add.reduceat(numbers[rows], at[:-1]) / count if len(count) else np.zeros(0)
-    logit = np.array([word[docs[d]].mean() if len(docs[d]) else 0.0 for d in held]) + own_bias if len(held) else np.zeros(0)
-    scale, shift = _calibrate(logit, labels[held])
-    return Model(numbers, own_bias, scale, shift)
+    return Model(numbers, float(bias[1] - bias[0]), 1.0, 0.0)
 
 
-def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of logits by logistic regression on rows that the model was not fitted on."""
+def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of logits of rows that their models were not fitted on, by logistic regression in which classes weigh the same.
+
+    So 0.5 is where a row is as likely among toxic as among clean ones, however rare the toxic
+    are. Where the logits don't rise with the label the scale is 1, and the middle between
+    the classes' means is at 0.5.
+    """
     if len(set(y.tolist())) < 2:
         return 1.0, 0.0
+    even = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     a, b = 1.0, 0.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * z).sum() + 0.01 * a, (p - y).sum()])
+        w = even * p * (1 - p) + 1e-9
+        g = np.array([(even * (p - y) * z).sum() + 0.01 * a, (even * (p - y)).sum()])
         h = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum()]])
         step = np.linalg.solve(h + 1e-6 * np.eye(2), g)
         a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
         if np.abs(step).max() < 1e-9:
             break
-    return max(a, 1e-3), b
+    return (a, b) if a > 0 else (1.0, -float(z[y == 1].mean() + z[y == 0].mean()) / 2)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -198,12 +202,13 @@ def _keep(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterato
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from labelled rows whose crc32 of the id is not 1 modulo 3, at most ``sample`` of each class.
 
-    The sample is the same for the same rows; it ends early, in its seeded order, before a
-    text with which it would have more than ``sample_bytes``. Labels that are null are left
+    The sample is the same for the same rows; a text with which it would have more than
+    ``sample_bytes`` is left out of it. Labels that are null are left
     out, a document with several labels is toxic if one says so, and of several rows of one
     doc_id the one with the least text counts. No labels, or those of one class alone, give
-    a model that says the same of all. Scores are scaled for the sample,
-    in which the classes are about even, so that toxic documents are not missed for being rare.
+    a model that says the same of all. Scores are scaled on logits of models that have not
+    seen the row, one for each of ``FOLDS`` parts of the sample, with both classes weighing
+    the same, so that toxic documents are not missed for being rare.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
@@ -212,32 +217,57 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
         some = known.where(F.col("toxic") == value).orderBy("draw", "doc_id").limit(sample)
         taken = some if taken is None else taken.unionByName(some)
     rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "draw").agg(F.max("toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
-    # the sample has a fixed bound, so one task fits the model and the driver gets its numbers alone
-    ordered = rows.repartition(1).sortWithinPartitions("draw", "doc_id").select("toxic", "text")
-    fitted = ordered.mapInArrow(lambda it: _fit_sample(it, seed, sample_bytes), MODEL).first()
-    if fitted is None:
+    # the sample has a fixed bound; a task fits one model, of all rows or of all but one part's, and the driver gets its numbers alone
+    rows = rows.select("draw", "doc_id", "toxic", "text", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("part"))
+    ordered = rows.repartitionByRange(FOLDS + 1, "part").sortWithinPartitions("part", "draw", "doc_id").select("part", "toxic", "text")
+    fitted = {r["part"]: r for r in ordered.mapInArrow(lambda it: _fit_sample(it, seed, sample_bytes), FITTED).collect()}
+    if not fitted:
         return fit([], np.zeros(0, np.int64), seed)
-    return Model(np.frombuffer(fitted["numbers"], np.float32), fitted["bias"], fitted["scale"], fitted["shift"])
+    whole = fitted[FOLDS]
+    model = Model(np.frombuffer(whole["numbers"], np.float32), whole["bias"], whole["scale"], whole["shift"])
+    if model.scale:
+        parts = [fitted[k] for k in range(FOLDS)]
+        model.scale, model.shift = calibrate(np.concatenate([p["logits"] for p in parts]), np.concatenate([p["toxic"] for p in parts]).astype(np.int64))
+    return model
+
+
+FITTED = "part int, numbers binary, bias double, scale double, shift double, logits array<double>, toxic array<int>"
 
 
-MODEL = "numbers binary, bias double, scale double, shift double"
+def logits(model: Model, texts: list[str]) -> list[float]:
+    split = [t.split() for t in texts]
+    known = list({w for r in split for w in r})
+    number = dict(zip(known, model.words([plain(w) for w in known]).tolist(), strict=True))
+    return [model.bias + (float(np.mean([number[w] for w in r])) if r else 0.0) for r in split]
 
 
 def _fit_sample(batches: Iterator[pa.RecordBatch], seed: int, most: int) -> Iterator[pa.RecordBatch]:
-    texts: list[str] = []
-    toxic: list[int] = []
-    size, full = 0, False
+    """For each part the sample's rows come for, one after another, a row with its model and the logits of the part."""
+    part, texts, toxic, size = None, [], [], 0
     for batch in batches:
-        for text, value in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            size += len((text or "").encode())
-            full = full or size > most
-            if not full:
+        for own, text, value in zip(*(batch.column(c).to_pylist() for c in ("part", "text", "toxic")), strict=True):
+            if own != part and part is not None:
+                yield _fitted(part, texts, toxic, seed)
+                texts, toxic, size = [], [], 0
+            part, length = own, len((text or "").encode())
+            if size + length <= most:
+                size += length
                 texts.append(text or "")
                 toxic.append(value)
-    m = fit(texts, np.array(toxic, np.int64), seed)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([m.numbers.astype(np.float32).tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (m.bias, m.scale, m.shift))], names=["numbers", "bias", "scale", "shift"]
-    )
+    if part is not None:
+        yield _fitted(part, texts, toxic, seed)
+
+
+def _fitted(part: int, texts: list[str], toxic: list[int], seed: int) -> pa.RecordBatch:
+    y, seen = np.array(toxic, np.int64), np.ones(len(toxic), bool)
+    for value in (0, 1):  # parts have as much of each class
+        own = np.flatnonzero(y == value)
+        seen[own] = np.arange(len(own)) % FOLDS != part
+    m = fit([t for t, s in zip(texts, seen, strict=True) if s], y[seen], seed)
+    z = logits(m, [t for t, s in zip(texts, seen, strict=True) if not s])
+    cells = [part, m.numbers.astype(np.float32).tobytes() if part == FOLDS else b"", m.bias, m.scale, m.shift, z, y[~seen].tolist()]
+    kinds = [pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=[f.split()[0] for f in FITTED.split(", ")])
 
 
 def held_out(id_col: str):
