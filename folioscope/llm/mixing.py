@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 #: Hex digits of a document's hash that name its slice of the seeded order.
 SLICE_DIGITS = 3
 
+#: Columns that ``mix`` adds.
+RESULTS = ("size", "source_size", "weight", "target", "copies", "taken")
 WORK = ("_mix_source", "_mix_size", "_mix_draw", "_mix_slice", "_mix_before", "_mix_prior", "_mix_whole", "_mix_gap")
 
 
@@ -69,7 +71,7 @@ def mix(docs: DataFrame, size: Column, weigh, id_col: str = "doc_id", source_col
     in if more than half of it fits, so a source misses its target by half a document at
     most. The same rows and seed give the same result in any order and partitioning.
     """
-    clash = [c for c in ("size", "source_size", "weight", "target", "copies", "taken") if c in docs.columns]
+    clash = [c for c in RESULTS if c in docs.columns]
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.withColumns({"_mix_source": F.col(source_col), "_mix_size": F.coalesce(size.cast("long"), F.lit(0)), "_mix_draw": draw}).drop(*clash)
     rows = rows.withColumn("_mix_slice", F.substring("_mix_draw", 1, SLICE_DIGITS))
@@ -98,6 +100,6 @@ def mix(docs: DataFrame, size: Column, weigh, id_col: str = "doc_id", source_col
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
-    """The mixture itself: each row as often as it is taken, without the mixture's columns."""
+    """The mixture itself: each row as often as ``copies`` says (null or 0: not at all), without the mixture's columns; an empty table gives an empty one."""
     often = mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return often.drop("_copy", "size", "source_size", "weight", "target", "copies", "taken")
+    return often.drop("_copy", *RESULTS)
