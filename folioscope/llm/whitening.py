@@ -284,7 +284,7 @@ def fit(vectors: DataFrame, components: int = 4) -> Whitening | None:
     if steep.any():
         whitened = _covariance(fit_list, dim, len(values), n, Centre(n, total, (rows * scales[:, None]).T))
         error = float(np.abs(whitened - np.eye(len(values)))[np.ix_(steep, steep)].max())
-    return Whitening(dim, n, total, values, rows, np.where(steep, values / trace if trace else 0, 0), error)
+    return Whitening(dim, n, total, values, rows, np.where(steep, values / trace if trace else 0, 0.0), error)
 
 
 def _project(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -309,7 +309,7 @@ def _project(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("vec_id").take(pa.array(np.repeat(np.arange(len(x)), k))), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(x))),
-                pa.array(np.repeat([str(d) for d in deviation], k)), pa.array(z.ravel(), from_pandas=True), pa.array(np.tile(m.explained, len(x))),
+                pa.array(np.repeat([str(d) for d in deviation], k)), pa.array(z.ravel(), pa.float64(), from_pandas=True), pa.array(np.tile(m.explained, len(x)), pa.float64()),
             ],
             names=["vec_id", "component", "deviation", "whitened", "explained"],
         )

@@ -100,3 +100,34 @@ def test_mixture_and_run(spark, docs, sf_dir):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "decontaminate", "mixing", "token_output"]
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+
+
+def test_benchmark_takes_rows_without_an_id(spark, docs, sf_dir):
+    item = table(spark, sf_dir, "benchmark").first().text
+    rows = [(1, f"before {item} after"), (None, f"before {item} after"), (None, f"{item} and some more"), (2, "clean words of nobody's benchmark at all"), (None, "other clean words of nobody at all"), (None, None), (3, "")]
+    odd = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 9) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _found_id int")
+    odd = odd.drop("_found_id").withColumn("found", odd["n_chars"]).withColumn("item_id", odd["n_chars"])
+    kept = corpus_pipeline.drop_benchmark(spark, odd, sf_dir)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((d or 0, t or "") for d, t in rows[3:])
+    assert corpus_pipeline.drop_benchmark(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_mixture_keeps_columns_with_its_own_names(spark, docs, sf_dir):
+    clash = ["size", "source_size", "weight", "target", "copies", "taken"]
+    some = docs.limit(40)
+    for name in clash:
+        some = some.withColumn(name, some["n_chars"] + len(name))
+    got = corpus_pipeline.mix_sources(spark, some, sf_dir)
+    rows = got.collect()
+    assert got.columns == some.columns and rows and all(r[n] == r.n_chars + len(n) for r in rows for n in clash)
+    plain = corpus_pipeline.mix_sources(spark, some.drop(*clash), sf_dir)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect())
+
+
+def test_toxic_rows_go_with_or_without_an_id(spark, docs, sf_dir):
+    rejected = {r.doc_id for r in docs.collect()} - {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).collect()}
+    toxic = docs.where(docs.doc_id.isin(list(rejected))) if rejected else docs.limit(0)
+    odd = docs.unionByName(toxic.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars")).unionByName(docs.limit(1).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text", "lang", "source", "n_chars"))
+    kept = corpus_pipeline.drop_toxic(spark, odd, sf_dir)
+    assert kept.where("doc_id IS NULL").count() == 1
