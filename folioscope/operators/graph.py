@@ -48,12 +48,17 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both"
     """
     if not 0 <= hops <= MOST_HOPS:
         raise ValueError(f"hops must be from 0 to {MOST_HOPS}")
-    step = stored(steps(edges, direction), "steps") if hops else None
+    ends = edges.select("from_type", "from_id", "to_type", "to_id")
     found = seeds.select("node_type", "node_id", F.lit(0).alias("depth")).distinct()
     frontier = found
     for hop in range(1, hops + 1):
-        there = frontier.join(step, (F.col("node_type") == F.col("a_type")) & (F.col("node_id") == F.col("a_id"))).select(F.col("b_type").alias("node_type"), F.col("b_id").alias("node_id"), F.lit(hop).alias("depth"))
-        frontier = stored(there.distinct().join(found.select("node_type", "node_id"), ["node_type", "node_id"], "left_anti"), "frontier")
+        legs = []
+        for a, b, taken in (("from", "to", direction != "in"), ("to", "from", direction != "out")):
+            if taken:  # edges at the frontier alone are kept before anything is made distinct
+                at = frontier.select(F.col("node_type").alias(f"{a}_type"), F.col("node_id").alias(f"{a}_id"))
+                legs.append(ends.join(at, [f"{a}_type", f"{a}_id"], "left_semi").select(F.col(f"{b}_type").alias("node_type"), F.col(f"{b}_id").alias("node_id")))
+        there = legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1])
+        frontier = stored(there.distinct().join(found.select("node_type", "node_id"), ["node_type", "node_id"], "left_anti").withColumn("depth", F.lit(hop)), "frontier")
         found = found.unionByName(frontier)
     return found
 

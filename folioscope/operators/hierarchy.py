@@ -15,6 +15,8 @@ from ..session import stored
 
 #: Rounds of doubled jumps; a chain beyond 2^24 hops is a cycle of parents.
 MOST_ROUNDS = 24
+#: Levels that are climbed one by one.
+MOST_LEVELS = 1000
 
 
 def number_ancestors(docs: DataFrame, shortest: int = 2) -> DataFrame:
@@ -45,15 +47,47 @@ def parent_chain(docs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 
 def subtree(docs: DataFrame, root: str) -> DataFrame:
-    """Ids of a section and all below it, by parents."""
-    below = parent_chain(docs).where(F.col("ancestor_id") == root).select("id")
-    return docs.where(F.col("id") == root).select("id").unionByName(below)
+    """Ids of a section and all below it, by parents: each level joins the one above it, so nothing outside is touched."""
+    kids = docs.where("parent_id IS NOT NULL").select("id", "parent_id")
+    found = level = docs.where(F.col("id") == root).select("id").distinct()
+    while True:
+        # a section that is its own ancestor is met again at the root alone
+        level = stored(kids.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").where(F.col("id") != root).select("id").distinct(), "level")
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level)
+
+
+def climb(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, hop (0 for itself) and ancestor_id of some ids alone, one join for each level above them."""
+    up = docs.where("parent_id IS NOT NULL").select(F.col("id").alias("ancestor_id"), F.col("parent_id").alias("above"))
+    found = level = stored(ids.select("id").distinct().withColumns({"hop": F.lit(0), "ancestor_id": F.col("id")}), "climbed")
+    for _ in range(MOST_LEVELS):
+        level = stored(level.join(up, "ancestor_id").where(F.col("above") != F.col("id")).select("id", (F.col("hop") + 1).alias("hop"), F.col("above").alias("ancestor_id")), "climbed")
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level)
+    raise ValueError("parents form a cycle")
 
 
 def closest_flagged(docs: DataFrame, flagged: DataFrame) -> DataFrame:
-    """id, hop and ancestor_id of the nearest ancestor among flagged (id)."""
-    chain = parent_chain(docs).join(flagged.select(F.col("id").alias("ancestor_id")), "ancestor_id", "left_semi")
-    return chain.groupBy("id").agg(F.min("hop").alias("hop"), F.min_by("ancestor_id", "hop").alias("ancestor_id"))
+    """id, hop and ancestor_id of the nearest ancestor among flagged (id).
+
+    Each section knows how far it has looked and what it found; what is still open takes over
+    what the section at the end of its reach knows, so the reach doubles and there is one row for each section.
+    """
+    flag = flagged.select(F.col("id").alias("parent_id"), F.lit(True).alias("is_flagged")).distinct()
+    state = docs.where("parent_id IS NOT NULL").select("id", "parent_id").join(flag, "parent_id", "left")
+    state = stored(state.select("id", F.lit(1).cast("long").alias("hop"), F.col("parent_id").alias("to"), F.coalesce("is_flagged", F.lit(False)).alias("found")), "reach")
+    done = state.where("found")
+    for _ in range(MOST_ROUNDS):
+        further = state.select(F.col("id").alias("to"), F.col("hop").alias("more"), F.col("to").alias("next"), F.col("found").alias("there"))
+        open_ = state.where("NOT found").join(further, "to").select("id", (F.col("hop") + F.col("more")).alias("hop"), F.col("next").alias("to"), F.col("there").alias("found"))
+        state = stored(open_.unionByName(done), "reach")
+        if state.where("NOT found").isEmpty():
+            return state.select("id", F.col("hop").cast("int").alias("hop"), F.col("to").alias("ancestor_id"))
+        done = state.where("found")
+    raise ValueError("parents form a cycle")
 
 
 def children(docs: DataFrame) -> DataFrame:

@@ -24,15 +24,15 @@ from ..session import stored
 BOOSTS = {"title": 10.0, "doc_no": 5.0, "type": 2.0, "content": 1.0}
 FUSE = 60
 K1, B = 1.2, 0.75
-#: Up to so many pairs of a query and a term are sent to every task; beyond, they are joined by shuffles.
+#: Up to so many rows of what a term gives in a field are sent to every task; beyond, they are joined by shuffles.
 SENT = 1_000_000
 
 
 def postings(docs: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
-    """term, field, doc_id and tf."""
+    """term, field, doc_id, tf and len, the number of terms in the field."""
     one = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), index_terms(F.col(f)).alias("terms")) for f in fields]))
-    rows = docs.select(F.col(id_col).alias("doc_id"), one.alias("f")).select("doc_id", "f.field", F.explode("f.terms").alias("term"))
-    return rows.groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), one.alias("f")).select("doc_id", "f.field", F.size("f.terms").cast("long").alias("len"), F.explode("f.terms").alias("term"))
+    return rows.groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"), F.sum("len").alias("_len")).select("term", "field", "doc_id", "tf", (F.col("_len") / F.col("tf")).cast("long").alias("len"))
 
 
 def field_lengths(index: DataFrame) -> DataFrame:
@@ -50,33 +50,43 @@ def query_terms(queries: DataFrame, text: str = "q") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(index_terms(F.col(text)))).alias("q_term"))
 
 
+def prefix_free(terms: DataFrame) -> DataFrame:
+    """query_id and q_term without terms that begin with another of their query: what begins with those begins with the other."""
+    own = terms.groupBy("query_id").agg(F.collect_set("q_term").alias("_own"))  # the terms of one query
+    rows = own.select("query_id", F.explode(F.filter("_own", lambda t: ~F.exists("_own", lambda o: (o != t) & F.startswith(t, o)))).alias("q_term"))
+    return rows
+
+
 def lexical(index: DataFrame, terms: DataFrame, boosts: dict[str, float] = BOOSTS, prefix: bool = False) -> DataFrame:
     """query_id, doc_id, score and fields hit: BM25 of each field by its weight, terms joined by or.
 
-    With ``prefix`` a query's term also stands for the terms that begin with it. An index made of
-    documents that are partitioned by id is scored where it lies.
+    With ``prefix`` a query's term also stands for the terms that begin with it. The index is
+    written once; what a term gives a document is summed once for each distinct term that is
+    asked for, in as many queries as there may be, and only then are queries joined.
     """
+    index = stored(index, "postings")
     stats = F.broadcast(field_stats(field_lengths(index)))  # a row for each field
     df = index.groupBy("term", "field").agg(F.count("*").alias("df"))
+    terms = stored(prefix_free(terms) if prefix else terms.select("query_id", "q_term").distinct(), "query-terms")
+    wanted = terms.select("q_term").distinct()
     if prefix:
         # the lengths of queries' terms are a handful, whereas a term can have thousands of beginnings
-        sizes = terms.select(F.length("q_term").alias("size")).distinct()
+        sizes = wanted.select(F.length("q_term").alias("size")).distinct()
         words = df.select("term").distinct().join(F.broadcast(sizes), F.length("term") >= F.col("size"))
-        beginnings = words.select("term", F.expr("substring(term, 1, size)").alias("q_term"))
-        terms = terms.join(beginnings, "q_term").select("query_id", "term").distinct()
+        pairs = words.select("term", F.expr("substring(term, 1, size)").alias("q_term")).join(wanted, "q_term")
     else:
-        terms = terms.withColumnRenamed("q_term", "term")
+        pairs = wanted.withColumn("term", F.col("q_term"))
     names = sorted(boosts)
     weight = F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair])[F.col("field")]
     bit = F.create_map(*[F.lit(x) for n, name in enumerate(names) for x in (name, 1 << n)])[F.col("field")]
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gains = df.join(terms, "term").join(stats, "field").select("query_id", "term", "field", (weight * idf).alias("gain"), bit.alias("bit"))
+    gains = df.join(pairs, "term").join(stats, "field").select("q_term", "term", "field", (weight * idf).alias("gain"), bit.alias("bit"), "avg_len")
     gains = stored(gains, "gains")
     if gains.count() <= SENT:
         gains = F.broadcast(gains)
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    rows = index.withColumn("len", F.sum("tf").over(Window.partitionBy("doc_id", "field"))).join(stats, "field").select("doc_id", "term", "field", tf.alias("part"))
-    found = rows.join(gains, ["term", "field"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("gain") * F.col("part")).alias("score"), F.bit_or("bit").alias("bits"))
+    hits = index.join(gains, ["term", "field"]).groupBy("q_term", "doc_id").agg(F.sum(F.col("gain") * tf).alias("part"), F.bit_or("bit").alias("bits"))
+    found = hits.join(terms, "q_term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.bit_or("bits").alias("bits"))
     fields = F.concat_ws(" + ", *[F.when(F.col("bits").bitwiseAND(1 << n) != 0, name) for n, name in enumerate(names)])
     return found.select("query_id", "doc_id", "score", fields.alias("fields"))
 
@@ -111,63 +121,55 @@ def similar_terms(index: DataFrame, terms: DataFrame, edits: int) -> DataFrame:
     return near.select("query_id", F.col("term").alias("q_term")).distinct()
 
 
-#: Vectors of a chunk, which is scored at once against SLICE queries of a block.
-CHUNK, SLICE = 4096, 512
+#: Queries of a block that a chunk of vectors is scored against at once.
+SLICE = 512
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of vectors of one length, as their ids, ascending, and a matrix of their bytes."""
+def _best(batches: Iterator[pa.RecordBatch], k: int, sent) -> Iterator[pa.RecordBatch]:
+    """The k best of a batch of vectors for each query sent, by the cosine at nine places, then by id."""
     for batch in batches:
         batch = batch.take(pc.sort_indices(batch.column("doc_id"), null_placement="at_start"))
         sizes = pc.list_value_length(batch.column("v"))
         for dim in pc.unique(sizes).to_pylist():
-            rows = batch.filter(pc.equal(sizes, dim))
-            for at in range(0, rows.num_rows, CHUNK):
-                part = rows.slice(at, CHUNK)
-                matrix = pc.list_flatten(part.column("v")).to_numpy(zero_copy_only=False).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.string())), pa.array([matrix], pa.binary()), pa.array([dim], pa.int32())], ["ids", "matrix", "dim"])
-
-
-def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of a chunk for each query of a block, by the cosine at nine places, then by id."""
-    for batch in batches:
-        for n in range(batch.num_rows):
-            ids, asked, dim = batch.column("ids")[n].values, batch.column("asked")[n].values, batch.column("dim")[n].as_py()
-            asked = asked.filter(pc.equal(pc.list_value_length(asked.field("q")), dim))
-            if not len(asked):
+            names, wanted = sent.value.get(dim, (None, None))
+            if wanted is None:
                 continue
-            vectors = np.frombuffer(batch.column("matrix")[n].as_py()).reshape(len(ids), dim)
-            wanted = asked.field("q").flatten().to_numpy(zero_copy_only=False).reshape(len(asked), dim)
+            rows = batch.filter(pc.equal(sizes, dim))
+            vectors = pc.list_flatten(rows.column("v")).to_numpy(zero_copy_only=False).reshape(-1, dim)
             query, found, scores = [], [], []
-            for at in range(0, len(asked), SLICE):
+            for at in range(0, len(wanted), SLICE):
                 near = np.round(wanted[at : at + SLICE] @ vectors.T, 9)
-                least = np.partition(near, -k, 1)[:, -k] if k < len(ids) else near.min(1)
+                least = np.partition(near, -k, 1)[:, -k] if k < near.shape[1] else near.min(1)
                 for i, row in enumerate(near):
                     held = np.flatnonzero(row >= least[i])
                     held = held[np.argsort(-row[held], kind="stable")][:k]
                     query.append(np.full(len(held), at + i))
                     found.append(held)
                     scores.append(row[held])
-            yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(np.concatenate(query))), ids.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], ["query_id", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(query))), rows.column("doc_id").take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], ["query_id", "doc_id", "score"])
 
 
 def semantic(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", block: int = 10_000) -> DataFrame:
     """query_id, doc_id, score and rank from 0: the k vectors of greatest cosine with each query's vector, of all that have its length.
 
     queries: query_id, q_vector, any number of them. They are dealt by hash into blocks of about
-    ``block``, and one block after another is sent to every task; a task keeps the k best of each
-    chunk of vectors. Scores are cosines at nine places, ties go by id.
+    ``block``, and one block after another is broadcast; a task scores its vectors as they
+    come and keeps the k best of each batch. Scores are cosines at nine places, ties go by id.
     """
+    spark = vectors.sparkSession
     asked = queries.select("query_id", unit_vector(F.col("q_vector")).alias("q")).where("q IS NOT NULL AND NOT exists(q, x -> x IS NULL)")
     blocks = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)))
     v = vectors.select(F.col(id_col).alias("doc_id"), unit_vector(F.col("embedding")).alias("v")).where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
-    chunks = v.mapInArrow(_packed, "ids array<string>, matrix binary, dim int")
     kind = queries.schema["query_id"].dataType.simpleString()
     rows = None
     for b in range(blocks):
-        q = asked.where(F.col("block") == b).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-        leg = chunks.join(F.broadcast(q)).mapInArrow(partial(_best, k=k), f"query_id {kind}, doc_id string, score double")
+        own = asked.where(F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)) == b).toArrow().combine_chunks()  # about ``block`` rows
+        by_length = {}
+        for dim in pc.unique(pc.list_value_length(own.column("q"))).to_pylist():
+            some = own.filter(pc.equal(pc.list_value_length(own.column("q")), dim))
+            by_length[dim] = some.column("query_id").combine_chunks(), pc.list_flatten(some.column("q")).to_numpy().reshape(-1, dim)
+        sent = spark.sparkContext.broadcast(by_length)
+        leg = v.mapInArrow(partial(_best, k=k, sent=sent), f"query_id {kind}, doc_id string, score double")
         rows = leg if rows is None else rows.unionByName(leg)
     return top(rows.withColumn("score", F.round("score", 9)), k)
 

@@ -64,7 +64,7 @@ SELECT id, title, CASE WHEN ord % 7 = 0 THEN concat(content, ' edited') ELSE con
 
 
 #: Views that are written once for a query and read again, as its operators use them many times.
-STORED = {"sections", "edges"}
+STORED = {"sections"}
 
 
 class Views:

@@ -224,7 +224,7 @@ def _(v):
 def _(v):
     d = history.diff(v.prev, v.curr).where("change_type <> 'moved'").select(F.col("id").alias("doc_id")).distinct()
     fresh = search.postings(v.curr.join(d.select(F.col("doc_id").alias("id")), "id", "left_semi"), ["content"])
-    return history.patched_index(search.postings(v.prev, ["content"]), d, fresh)
+    return history.patched_index(search.postings(v.prev, ["content"]), d, fresh).drop("len")
 
 
 @query("h24_short_ids", "entities", sql="SELECT prefix, CAST(count(e.slug) AS BIGINT) AS matches, CASE WHEN count(e.slug) = 1 THEN min(e.slug) END AS id FROM (SELECT unnest(['supplier', 'asia-r2x', 'africa-r', 'zzzzzzzz']) AS prefix) a LEFT JOIN entities e ON substr(e.slug, 1, 8) = prefix GROUP BY prefix")
