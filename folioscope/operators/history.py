@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 from pyspark.sql.window import Window
 
 from .tables import version_pairs
@@ -70,6 +74,108 @@ def token_changes(prev: DataFrame, curr: DataFrame) -> DataFrame:
     return both.where("n > 0").select("id", "token", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("id", "token")
 
 
+# fixed values: unchanged lines shown around a change, and the most lines of either side that are shown
+CONTEXT, MOST_LINES = 2, 20
+
+
+def _longest_rise(values: list[int]) -> list[bool]:
+    """Which values belong to a longest rising run."""
+    ends, at, before = [], [], []
+    for n, v in enumerate(values):
+        k = bisect_left(ends, v)
+        before.append(at[k - 1] if k else -1)
+        ends[k : k + 1], at[k : k + 1] = [v], [n]
+    kept, n = [False] * len(values), at[-1] if at else -1
+    while n >= 0:
+        kept[n], n = True, before[n]
+    return kept
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def _rising(places: pd.Series) -> pd.Series:
+    return places.map(lambda p: _longest_rise(list(p)))
+
+
+def _alike(a: Column, b: Column, backwards: bool = False) -> Column:
+    """How many elements two arrays have alike at their beginnings, or ends."""
+    n = F.least(F.size(a), F.size(b))
+    differs = lambda k: ~F.get(a, F.size(a) - k if backwards else k - 1).eqNullSafe(F.get(b, F.size(b) - k if backwards else k - 1))
+    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.coalesce(F.get(F.filter(steps, differs), F.lit(0)) - 1, n)
+
+
+def placed_hunks(prev: DataFrame, curr: DataFrame) -> DataFrame:
+    """id, hunk, old_at, new_at, before, removed, added and after: where and how texts of one id differ between two versions.
+
+    Lines that both versions have exactly once, in the longest run in which both have them
+    in one order, are held fast; between two of them, what is alike at the beginning and the
+    end is left out, and the rest is a hunk: lines removed and added (all of them), the
+    number of lines before it in either version, and up to two lines around it in the old
+    one. A line that is moved past such lines is removed and added. Ids must be given once
+    in each version; null texts are empty, and only changed texts are looked at.
+    """
+    lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n")
+    pairs = prev.select("id", lines(F.col("content")).alias("a")).join(curr.select("id", lines(F.col("content")).alias("b")), "id").where("a <> b")
+    sides = [pairs.select("id", F.posexplode(c).alias("at", "line"), F.lit(c).alias("side")) for c in ("a", "b")]
+    where = lambda c: F.max(F.when(F.col("side") == c, F.col("at")))
+    once = sides[0].unionByName(sides[1]).groupBy("id", "line").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"), where("a").alias("i"), where("b").alias("j"))
+    fast = once.where("na = 1 AND nb = 1").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("fast"))  # at most the lines of one text
+    fast = fast.withColumn("rising", _rising(F.transform("fast", lambda f: f["j"]))).select("id", F.filter("fast", lambda f, k: F.get("rising", k)).alias("fast"))
+    end = F.struct(F.size("a").alias("i"), F.size("b").alias("j"))
+    start = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    rows = pairs.join(fast, "id", "left").withColumn("fast", F.concat(F.array(start), F.coalesce("fast", F.filter(F.array(end), lambda f: F.lit(False))), F.array(end)))
+
+    def gap(k: Column) -> Column:
+        one, other = F.get("fast", k), F.get("fast", k + 1)
+        part = lambda side, x: F.slice(side, one[x] + 2, other[x] - one[x] - 1)
+        around = lambda at, n: F.slice("a", at + 1, n)
+        first = F.greatest(one["i"] + 1 - CONTEXT, F.lit(0))
+        return F.struct((one["i"] + 1).alias("old_at"), (one["j"] + 1).alias("new_at"), part("a", "i").alias("a"), part("b", "j").alias("b"), around(first, one["i"] + 1 - first).alias("pre"), around(other["i"], F.lit(CONTEXT)).alias("post"))
+
+    gaps = F.filter(F.transform(F.sequence(F.lit(0), F.size("fast") - 2), gap), lambda g: (F.size(g["a"]) > 0) | (F.size(g["b"]) > 0))
+    rows = rows.select("id", F.explode(gaps).alias("g")).select("id", "g.*").withColumn("head", _alike(F.col("a"), F.col("b")))
+    rest = lambda c: F.slice(c, F.col("head") + 1, F.size(c) - F.col("head"))
+    rows = rows.withColumns({"rest_a": rest("a"), "rest_b": rest("b")}).withColumn("tail", _alike(F.col("rest_a"), F.col("rest_b"), backwards=True))
+    shown = F.concat("pre", F.slice("a", F.lit(1), F.col("head")))
+    rows = rows.select(
+        "id", (F.col("old_at") + F.col("head")).alias("old_at"), (F.col("new_at") + F.col("head")).alias("new_at"),
+        F.slice(shown, F.greatest(F.size(shown) - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT)).alias("before"),
+        F.slice("rest_a", F.lit(1), F.size("rest_a") - F.col("tail")).alias("removed"), F.slice("rest_b", F.lit(1), F.size("rest_b") - F.col("tail")).alias("added"),
+        F.slice(F.concat(F.slice("rest_a", F.size("rest_a") - F.col("tail") + 1, F.col("tail")), F.col("post")), F.lit(1), F.lit(CONTEXT)).alias("after"),
+    ).where("size(removed) > 0 OR size(added) > 0")
+    number = F.row_number().over(Window.partitionBy("id").orderBy("old_at", "new_at")) - 1
+    return rows.withColumn("hunk", number).select("id", "hunk", "old_at", "new_at", "before", "removed", "added", "after")
+
+
+def shown_hunks(hunks: DataFrame, most: int = MOST_LINES) -> DataFrame:
+    """Hunks with at most so many lines of each side, and how many more there are (more_removed, more_added)."""
+    cut = {c: F.slice(c, 1, most) for c in ("removed", "added")}
+    more = {f"more_{c}": F.greatest(F.size(c) - most, F.lit(0)) for c in ("removed", "added")}
+    return hunks.withColumns(more).withColumns(cut)
+
+
+def changed_pieces(hunks: DataFrame) -> DataFrame:
+    """id and token, each piece of text that hunks take away or bring.
+
+    Removed and added lines of a hunk are paired in order; of a pair only the words and gaps
+    between the common beginning and end count. Lines without a partner count whole.
+    """
+    tokens = lambda line: F.split(line, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")
+    pairs = hunks.select("id", F.explode(F.arrays_zip("removed", "added")).alias("p")).select("id", F.col("p.removed").alias("a"), F.col("p.added").alias("b"))
+    alone = pairs.where("a IS NULL OR b IS NULL").select("id", F.coalesce("a", "b").alias("token"))
+    both = pairs.where("a IS NOT NULL AND b IS NOT NULL").select("id", tokens(F.col("a")).alias("a"), tokens(F.col("b")).alias("b")).withColumn("head", _alike(F.col("a"), F.col("b")))
+    rest = lambda c: F.slice(c, F.col("head") + 1, F.size(c) - F.col("head"))
+    both = both.withColumns({"a": rest("a"), "b": rest("b")}).withColumn("tail", _alike(F.col("a"), F.col("b"), backwards=True))
+    middle = lambda c: F.slice(c, F.lit(1), F.size(c) - F.col("tail"))
+    return alone.unionByName(both.select("id", F.explode(F.concat(middle("a"), middle("b"))).alias("token")))
+
+
+def change_kinds(prev: DataFrame, curr: DataFrame) -> DataFrame:
+    """id and kind of all sections of which title or text differ: lint, typo or semantic by what their texts' hunks change, null for a changed title alone."""
+    both = version_pairs(prev.select("id", "title", "content"), curr.select("id", "title", "content")).where("p IS NOT NULL AND c IS NOT NULL AND NOT p <=> c").select("id")
+    return both.join(change_size(changed_pieces(placed_hunks(prev, curr))), "id", "left")
+
+
 # fixed values: words of titles of changes that touch no content, and of those that mend letters
 LINT_WORDS = ("whitespace", "nonbreaking", "non breaking", "formatting", "formating", "lint", "linter", "linting")
 MENDING, MENDED = ("fix", "fixes", "fixed", "fixing", "correct"), ("typo", "typos", "spelling")

@@ -155,7 +155,7 @@ def _(v):
 @query("st2_refresh", "curr", sql="SELECT term, field, doc_id, CAST(count(*) AS BIGINT) AS tf FROM (SELECT 'title' AS field, id AS doc_id, unnest(list_filter(string_split_regex(lower(title), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda t: len(t) >= 2)) AS term FROM curr) GROUP BY ALL")
 def _(v):
     once = changes.refreshed(search.postings(v.prev, ["title"]), v.prev, v.curr, ["title"])
-    return changes.refreshed(once, v.curr, v.curr, ["title"])
+    return changes.refreshed(once, v.curr, v.curr, ["title"]).drop("len")
 
 
 @query("st3_usage", sql="SELECT user_id, time_bucket(INTERVAL '120 minutes', ts, TIMESTAMP '1970-01-01') AS start, round(sum(value), 4) AS used, round(sum(value), 4) > 100 AS over FROM events GROUP BY 1, 2")
