@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 from pyspark.sql.window import Window
 
+from ..session import stored
 from .tables import version_pairs
+from .versioned import Versioned
 
 
 def diff(prev: DataFrame, curr: DataFrame) -> DataFrame:
@@ -230,6 +232,26 @@ def between(history: DataFrame, one: int, other: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("changes"), F.max("commit_seq").alias("last_seq"), F.array_join(F.array_sort(F.collect_set("change_type")), ",").alias("kinds"))
 
 
+def resume(store: Versioned, events: DataFrame, source: str = "history") -> int:
+    """Adds the events (doc_id, commit_hash, commit_seq, change_type, ...) of commits after the last one that a store has, and gives that commit's number.
+
+    The store's table ``entries`` has each event once for its section, commit and type, and
+    ``counts`` how many there are of each type (change_type, n), over all runs. Events,
+    counts and the number of the last commit change together, so a run that is lost or comes
+    again leaves nothing half done or counted twice. Events of commits up to the last one are passed over.
+    """
+    last = store.taken(source)
+    fresh = events.where(F.col("commit_seq").isNotNull() if last is None else F.col("commit_seq") > last).dropDuplicates(["doc_id", "commit_hash", "change_type"])
+    fresh = stored(fresh, "fresh-events")
+    newest = fresh.agg(F.max("commit_seq")).first()[0]
+    if newest is None:
+        return -1 if last is None else last
+    added = fresh.groupBy("change_type").agg(F.count("*").alias("n"))
+    merged = store.read("counts", added.schema).unionByName(added).groupBy("change_type").agg(F.sum("n").alias("n"))
+    store.replace({"counts": (merged, merged.select(F.col("change_type").alias("k0")), ["change_type"])}, source, newest, appended={"entries": fresh})
+    return newest
+
+
 def resolve_prefixes(asked: DataFrame, ids: DataFrame, length: int = 8) -> DataFrame:
     """prefix, matches and id (null unless there is one) for the first characters of ids."""
     short = ids.select(F.substring("id", 1, length).alias("prefix"), "id").groupBy("prefix").agg(F.count("*").alias("matches"), F.min("id").alias("id"))

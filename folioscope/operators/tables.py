@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,3 +63,39 @@ def fingerprint(df: DataFrame, name: str) -> DataFrame:
     """name, rows and an order-free checksum of a table."""
     row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
     return df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(row).cast("string").alias("checksum"))
+
+
+def file_manifest(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """name, file, bytes and sha256 of every file of each folder or file (name -> path); a file is read by one task and never leaves it. Spark's reader passes over files without bytes."""
+    rows = None
+    for name, path in folders.items():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        own = files.select(F.lit(name).alias("name"), F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+def merkle_roots(manifest: DataFrame) -> DataFrame:
+    """name, files, bytes and root of a manifest: its files' hashes in the order of their names (then hashes), hashed two by two until one is left.
+
+    A hash without a partner moves up as it is. Pairs of a level are hashed by many tasks;
+    the number of rounds grows with the logarithm of the files.
+    """
+    place = F.row_number().over(Window.partitionBy("name").orderBy("file", "sha256")) - 1
+    level = manifest.select("name", place.alias("at"), F.col("sha256").alias("hash"))
+    most = manifest.groupBy("name").count().agg(F.max("count")).first()[0] or 0
+    while most > 1:
+        two = F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda h: h["hash"])
+        level = level.groupBy("name", F.floor(F.col("at") / 2).alias("at")).agg(two.alias("two"))
+        level = level.select("name", "at", F.when(F.size("two") == 2, F.sha2(F.array_join("two", ""), 256)).otherwise(F.get("two", F.lit(0))).alias("hash"))
+        most = -(-most // 2)
+    sums = manifest.groupBy("name").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    return sums.join(level.select("name", F.col("hash").alias("root")), "name")
+
+
+def changed_files(manifest: DataFrame, pinned: DataFrame) -> DataFrame:
+    """name, file and fault (missing, new, changed) of files that differ from a pinned manifest."""
+    old = pinned.select("name", "file", F.struct("bytes", "sha256").alias("old"))
+    both = manifest.select("name", "file", F.struct("bytes", "sha256").alias("now")).join(old, ["name", "file"], "full")
+    fault = F.when(F.col("now").isNull(), "missing").when(F.col("old").isNull(), "new").when(F.col("now") != F.col("old"), "changed")
+    return both.select("name", "file", fault.alias("fault")).where("fault IS NOT NULL")

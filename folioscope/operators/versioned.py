@@ -59,13 +59,15 @@ class Versioned:
     def bucket(self, keys: list[Column]) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
 
-    def replace(self, changes: dict[str, tuple[DataFrame, DataFrame, list[str]]], source: str | None = None, batch: int | None = None) -> int:
+    def replace(self, changes: dict[str, tuple[DataFrame, DataFrame, list[str]]], source: str | None = None, batch: int | None = None, appended: dict[str, DataFrame] | None = None) -> int:
         """Commits a version in which rows of some keys are others, and gives its number.
 
         changes: name -> (rows, keys that lose all rows they had, SQL of the key); rows have
         the table's columns, keys the columns k0, k1, ... A key's rows are in one bucket; a
-        bucket that has neither a lost key nor a new row is not touched. A batch of a source
-        that a version has already is passed over.
+        bucket that has neither a lost key nor a new row is not touched. Tables in
+        ``appended`` get rows beside all they have; such a table is never one of changes too.
+        A batch of a source that a version has already is passed over. The expressions of a
+        table's key are the same in each call.
         """
         if source is not None and batch is not None and (last := self.taken(source)) is not None and last >= batch:
             return self.version()
@@ -93,6 +95,10 @@ class Versioned:
                 listed.pop(("bucket", name, b), None)
                 if b in written:
                     listed["bucket", name, b] = ("bucket", name, b, f"{folder}/_bucket={b}", None)
+        for name, rows in (appended or {}).items():
+            folder = f"data/{name}/{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.root}/{folder}")
+            listed["bucket", name, -before - 1] = ("bucket", name, -before - 1, folder, None)
         if source is not None and batch is not None:
             listed["batch", source, -1] = ("batch", source, -1, None, batch)
         self._publish(before + 1, [tuple(r) for r in listed.values()])

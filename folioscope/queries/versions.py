@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history
+from ..operators import history, tables
 from ..operators.versioned import Versioned
 from ..session import shared_folder
 from ..streaming import refresh
-from . import VIEWS, query
+from . import TABLES, VIEWS, query
 from .searches import terms_sql
 
 CHANGED = "NOT (p.title = c.title AND p.content = c.content AND p.path = c.path)"
@@ -86,3 +86,27 @@ def _(v):
 @query("h5_kinds", "corpus", sql="SELECT id, CASE ord % 6 WHEN 0 THEN NULL WHEN 1 THEN 'lint' WHEN 2 THEN 'typo' WHEN 4 THEN 'typo' ELSE 'semantic' END AS kind FROM corpus WHERE content IS NOT NULL")
 def _(v):
     return history.change_kinds(v.corpus.where("content IS NOT NULL").select("id", "title", "content"), v.edited)
+
+
+def resumed(v):
+    """The history in three runs, the second twice and with what the first had already."""
+    store = Versioned(v.spark, shared_folder(v.spark, "history"), buckets=4)
+    last = v.history.agg(F.max("commit_seq")).first()[0]
+    for upto in (last // 3, last // 2, last // 2, last):
+        history.resume(store, v.history.where(F.col("commit_seq") <= upto).select("doc_id", "commit_hash", "commit_seq", "change_type"))
+    return store
+
+
+@query("h13_resumed", "history", sql="SELECT DISTINCT doc_id, commit_hash, commit_seq, change_type FROM history")
+def _(v):
+    return resumed(v).read("entries", v.history.select("doc_id", "commit_hash", "commit_seq", "change_type").schema)
+
+
+@query("h13_counts", "history", sql="SELECT change_type, CAST(count(DISTINCT (doc_id, commit_hash)) AS BIGINT) AS n FROM history GROUP BY change_type")
+def _(v):
+    return resumed(v).read("counts", v.history.groupBy("change_type").agg(F.count("*").alias("n")).schema)
+
+
+@query("s14_files")
+def _(v):
+    return tables.merkle_roots(tables.file_manifest(v.spark, {t: f"{v._dir}/{t}.parquet" for t in TABLES}))
