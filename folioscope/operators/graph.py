@@ -98,3 +98,30 @@ def picked(edges: DataFrame, key: str, value: str, order: Column, last: bool = T
     """One value for each key: that of the last (or first) edge in an order."""
     pick = F.max_by(value, order) if last else F.min_by(value, order)
     return edges.groupBy(key).agg(pick.alias(value))
+
+
+# fixed values: types of entities that have a page of their own, and those that share the page of the party that comprises them
+OWN_PAGES, SHARING = ("agent", "facilitator_org", "govops_org"), ("composite_party", "foundation", "development_company")
+
+
+def participant_links(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, kind (actor or doc), target and resolved_by of each entity (id, slug, entity_type, defining_doc_id) that can be linked to.
+
+    First the edges ``comprises`` lead composite parties to the page of their agent, then they
+    lead foundations and companies to the page that their party got in the first pass; an
+    entity of a type with pages has its own, and what is left is linked to the section that
+    defines it, if there is one. Of several agents or parties the one with the least slug counts. Repeated edges
+    count once, edges with an end that is no entity here not at all.
+    """
+    ends = edges.where("edge_type = 'comprises' AND from_type = 'entity' AND to_type = 'entity'").select("from_id", "to_id").distinct()
+    parties = entities.where("entity_type = 'composite_party'").select(F.col("id").alias("from_id"), F.col("slug").alias("party"))
+    held = ends.join(parties, "from_id")
+    agents = entities.where("entity_type = 'agent'").select(F.col("id").alias("to_id"), F.col("slug").alias("agent"))
+    first = held.join(agents, "to_id").groupBy("from_id").agg(F.min("agent").alias("target"))
+    sharing = entities.where(F.col("entity_type").isin(*SHARING)).select(F.col("id").alias("to_id"))
+    second = held.join(first, "from_id").join(sharing, "to_id", "left_semi").groupBy(F.col("to_id").alias("id")).agg(F.min_by("target", F.struct("party", "target")).alias("by_party"))
+    rows = entities.select("id", "slug", "entity_type", "defining_doc_id").join(first.select(F.col("from_id").alias("id"), F.col("target").alias("by_agent")), "id", "left").join(second, "id", "left")
+    own = F.when(F.col("entity_type").isin(*OWN_PAGES), F.col("slug"))
+    target = F.coalesce("by_party", "by_agent", own, "defining_doc_id")
+    by = F.when(F.col("by_party").isNotNull(), "party").when(F.col("by_agent").isNotNull(), "agent").when(own.isNotNull(), "own").otherwise("document")
+    return rows.select("id", F.when(by == "document", "doc").otherwise("actor").alias("kind"), target.alias("target"), by.alias("resolved_by")).where("target IS NOT NULL")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import bounded, natural_key
 from ..operators import filters, graph
@@ -52,6 +53,45 @@ def seeded_counts(agents: DataFrame, facts: DataFrame, kind: str) -> DataFrame:
     return agents.join(kinds).join(counts, ["agent_id", kind], "left").select("agent", kind, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+# fixed values: statuses of instances that are counted, and what invocations are counted as
+STATUSES, INVOKED = ("Active", "Suspended", "Completed"), "invocation"
+
+
+def status_statistics(agents: DataFrame, primitives: DataFrame, facts: DataFrame, categories: list[str], most_names: int = 100) -> DataFrame:
+    """agent_id, category, primitive, status, n, names and level: counts at every level of a report, zeros included.
+
+    facts: agent_id, category, primitive, status, name of instances (``STATUSES``) and
+    invocations (status ``invocation``); others count nowhere, and facts of agents that are
+    not among agents (agent_id) neither. Every agent has every category given, every one of its
+    primitives (agent_id, category, primitive) and all statuses, with 0 where there is no
+    fact; categories beyond those given come in with their facts. level is ``primitive``,
+    ``category``, ``agent``, ``all categories`` (by category over all agents) or ``all``;
+    what a level sums over is null. Null categories are Unknown. names are the first ``most_names``
+    of a primitive's status in their order; the other levels have none.
+    """
+    states = F.explode(F.array(*[F.lit(s) for s in (*STATUSES, INVOKED)])).alias("status")
+    category = F.coalesce("category", F.lit("Unknown")).alias("category")
+    facts = facts.where(F.col("status").isin(*STATUSES, INVOKED) & F.col("primitive").isNotNull()).select("agent_id", category, "primitive", "status", "name").join(agents.select("agent_id").distinct(), "agent_id", "left_semi")
+    # seeds are rows that count nothing, so that each level has its zeros
+    seeds = primitives.join(agents.select("agent_id").distinct(), "agent_id", "left_semi").select("agent_id", category, "primitive", states)
+    empty = agents.select("agent_id", F.explode(F.array(*[F.lit(c) for c in categories])).alias("category"), F.lit(None).cast("string").alias("primitive")).select("*", states)
+    rows = facts.select("agent_id", "category", "primitive", "status", F.lit(1).alias("one")).unionByName(seeds.unionByName(empty).withColumn("one", F.lit(0)))
+    keys = [F.col(c) for c in ("agent_id", "category", "primitive", "status")]
+    agent, kind, primitive, status = keys
+    sums = rows.groupingSets([keys, [agent, kind, status], [agent, status], [kind, status], [status]], *keys).agg(F.sum("one").alias("n"), F.grouping_id().alias("gid"))
+    # the bits of a grouping id are the columns summed over, agent first
+    level = F.when(F.col("gid") == 0, "primitive").when(F.col("gid") == 2, "category").when(F.col("gid") == 6, "agent").when(F.col("gid") == 10, "all categories").otherwise("all")
+    sums = sums.withColumn("level", level).where("level <> 'primitive' OR primitive IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("agent_id", "category", "primitive", "status").orderBy("name"))
+    named = facts.where("name IS NOT NULL").withColumn("place", place).where(F.col("place") <= most_names)
+    named = named.groupBy("agent_id", "category", "primitive", "status").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda p: p["name"]).alias("names")).withColumn("level", F.lit("primitive"))
+    on = F.lit(True)
+    for c in ("agent_id", "category", "primitive", "status", "level"):
+        on &= F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}"))
+    both = sums.alias("s").join(named.alias("n"), on, "left")
+    return both.select("s.agent_id", "s.category", "s.primitive", "s.status", F.col("s.n").alias("n"), F.coalesce("n.names", F.array().cast("array<string>")).alias("names"), "s.level")
+
+
 def enriched(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """id, parent_title and the number of children of hits."""
     kids = docs.join(hits.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n_params"))

@@ -1,11 +1,11 @@
-"""A table of requests in all modes, and what they must give."""
+"""Requests in all modes, links of participants in two passes, and statistics at all levels."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import search
-from ..plans import requests
+from ..operators import graph, search
+from ..plans import reports, requests
 from . import VIEWS, query
 from .searches import PREFIX_INDEX, terms_sql
 
@@ -84,3 +84,40 @@ def _(v):
     rows = requests.enriched(answered(v), v.requests.withColumn("include_params", F.lit(True)), v.docs)
     path = F.array_join(F.transform("ancestors", lambda a: a["doc_no"]), ">")
     return rows.select("request_id", "rank", "id", "doc_no", "title", "parent_id", F.md5("content").alias("content"), path.alias("ancestors"), F.length("snippet").cast("long").alias("snippet_chars"), F.size("params").cast("long").alias("n_params"))
+
+
+VIEWS["parties"] = (("entities",), """SELECT id, slug, defining_doc_id, CASE entity_type WHEN 'region' THEN 'agent' WHEN 'nation' THEN 'composite_party'
+WHEN 'customer' THEN CASE subtype WHEN 'BUILDING' THEN 'foundation' WHEN 'MACHINERY' THEN 'development_company' ELSE 'person' END WHEN 'supplier' THEN 'facilitator_org' ELSE entity_type END AS entity_type FROM entities """)
+#: Nations comprise their region (two of three) and their customers.
+VIEWS["comprised"] = ((), """SELECT concat('N', n_nationkey) AS from_id, concat('R', n_regionkey) AS to_id, 'entity' AS from_type, 'entity' AS to_type, 'comprises' AS edge_type FROM {nation} WHERE n_nationkey % 3 <> 0
+UNION ALL SELECT concat('N', c_nationkey), concat('C', c_custkey), 'entity', 'entity', 'comprises' FROM {customer}""")
+
+
+@query("g14_links", "parties", sql="""SELECT p.id, CASE WHEN p.entity_type IN ('agent', 'facilitator_org') OR r.id IS NOT NULL THEN 'actor' ELSE 'doc' END AS kind,
+CASE WHEN p.entity_type IN ('agent', 'facilitator_org') THEN p.slug ELSE coalesce(r.slug, p.defining_doc_id) END AS target,
+CASE WHEN p.entity_type IN ('agent', 'facilitator_org') THEN 'own' WHEN r.id IS NULL THEN 'document' WHEN p.entity_type = 'composite_party' THEN 'agent' ELSE 'party' END AS resolved_by
+FROM parties p LEFT JOIN customer ON p.id = concat('C', c_custkey) LEFT JOIN nation ON p.id = concat('N', n_nationkey) OR (n_nationkey = c_nationkey AND p.entity_type IN ('foundation', 'development_company'))
+LEFT JOIN parties r ON r.id = concat('R', n_regionkey) AND n_nationkey % 3 <> 0 WHERE p.entity_type IN ('agent', 'facilitator_org') OR r.id IS NOT NULL OR p.defining_doc_id IS NOT NULL""")
+def _(v):
+    return graph.participant_links(v.parties, v.comprised)
+
+
+#: Orders are instances of their priority (an urgent one an invocation) in their customer's segment and nation; two segments and one that nobody has are given.
+VIEWS["instances"] = ((), """SELECT c_nationkey AS agent_id, CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN c_mktsegment END AS category, o_orderpriority AS primitive, concat('Order ', o_orderkey) AS name,
+CASE WHEN o_orderpriority = '1-URGENT' THEN 'invocation' WHEN o_orderstatus = 'O' THEN 'Active' WHEN o_orderstatus = 'P' THEN 'Suspended' WHEN o_orderkey % 50 = 1 THEN 'Lost' ELSE 'Completed' END AS status
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey""")
+
+
+@query("a9_statistics", "instances", sql="""
+, f AS (SELECT agent_id, coalesce(category, 'Unknown') AS category, primitive, status, name FROM instances WHERE status <> 'Lost' AND agent_id <> 3),
+st AS (SELECT unnest(['Active', 'Suspended', 'Completed', 'invocation']) AS status), ag AS (SELECT n_nationkey AS agent_id FROM nation WHERE n_nationkey <> 3),
+r AS (SELECT agent_id, category, primitive, status, 1 AS one FROM f UNION ALL SELECT agent_id, 'BUILDING', 'Seeded', status, 0 FROM ag, st UNION ALL SELECT agent_id, c, NULL, status, 0 FROM ag, st, (SELECT unnest(['BUILDING', 'MACHINERY', 'EMPTY']) AS c) x),
+n AS (SELECT agent_id, category, primitive, status, list(name ORDER BY name)[1:3] AS names FROM f GROUP BY ALL),
+g AS (SELECT agent_id, category, primitive, status, CAST(sum(one) AS BIGINT) AS n, CASE grouping(agent_id, category, primitive) WHEN 0 THEN 'primitive' WHEN 1 THEN 'category' WHEN 3 THEN 'agent' WHEN 5 THEN 'all categories' ELSE 'all' END AS level
+  FROM r GROUP BY GROUPING SETS ((agent_id, category, primitive, status), (agent_id, category, status), (agent_id, status), (category, status), (status)))
+SELECT g.*, CASE WHEN level = 'primitive' THEN coalesce(array_to_string(names, ','), '') ELSE '' END AS names FROM g LEFT JOIN n ON n.agent_id = g.agent_id AND n.category = g.category AND n.primitive = g.primitive AND n.status = g.status WHERE level <> 'primitive' OR g.primitive IS NOT NULL""")
+def _(v):
+    agents = v.nation.where("n_nationkey <> 3").select(F.col("n_nationkey").alias("agent_id"))
+    seeds = agents.select("agent_id", F.lit("BUILDING").alias("category"), F.lit("Seeded").alias("primitive"))
+    rows = reports.status_statistics(agents, seeds, v.instances, ["BUILDING", "MACHINERY", "EMPTY"], most_names=3)
+    return rows.withColumn("names", F.array_join("names", ","))
