@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import ORACLE, QUERIES, asked, chains, corpora, functions, graphs, posts, profiles, relations, searches, versions  # noqa: F401  (modules register as they load)
+from .queries import ORACLE, QUERIES, asked, chains, corpora, functions, graphs, posts, profiles, relations, rosters, searches, versions  # noqa: F401  (modules register as they load)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
