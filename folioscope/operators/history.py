@@ -118,9 +118,11 @@ def placed_hunks(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """
     lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n")
     pairs = prev.select("id", lines(F.col("content")).alias("a")).join(curr.select("id", lines(F.col("content")).alias("b")), "id").where("a <> b")
-    sides = [pairs.select("id", F.posexplode(c).alias("at", "line"), F.lit(c).alias("side")) for c in ("a", "b")]
+    # both versions' lines come from one row, so they stay where the join has put their id
+    tagged = lambda c: F.transform(c, lambda x, i: F.struct(F.lit(c).alias("side"), i.alias("at"), x.alias("line")))
+    sides = pairs.select("id", F.explode(F.concat(tagged("a"), tagged("b"))).alias("l")).select("id", "l.*")
     where = lambda c: F.max(F.when(F.col("side") == c, F.col("at")))
-    once = sides[0].unionByName(sides[1]).groupBy("id", "line").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"), where("a").alias("i"), where("b").alias("j"))
+    once = sides.groupBy("id", "line").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"), where("a").alias("i"), where("b").alias("j"))
     fast = once.where("na = 1 AND nb = 1").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("fast"))  # at most the lines of one text
     fast = fast.withColumn("rising", _rising(F.transform("fast", lambda f: f["j"]))).select("id", F.filter("fast", lambda f, k: F.get("rising", k)).alias("fast"))
     end = F.struct(F.size("a").alias("i"), F.size("b").alias("j"))

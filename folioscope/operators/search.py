@@ -25,7 +25,7 @@ BOOSTS = {"title": 10.0, "doc_no": 5.0, "type": 2.0, "content": 1.0}
 FUSE = 60
 K1, B = 1.2, 0.75
 #: Up to so many rows of what a term gives in a field are sent to every task; beyond, they are joined by shuffles.
-SENT = 1_000_000
+SENT = 200_000
 
 
 def postings(docs: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
@@ -35,14 +35,13 @@ def postings(docs: DataFrame, fields: list[str], id_col: str = "id") -> DataFram
     return rows.groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"), F.sum("len").alias("_len")).select("term", "field", "doc_id", "tf", (F.col("_len") / F.col("tf")).cast("long").alias("len"))
 
 
-def field_lengths(index: DataFrame) -> DataFrame:
-    """doc_id, field and the number of terms in it."""
-    return index.groupBy("doc_id", "field").agg(F.sum("tf").alias("len"))
+def field_stats(index: DataFrame) -> DataFrame:
+    """field, documents that have terms in it and their mean length, in one pass without dealing the index anew.
 
-
-def field_stats(lengths: DataFrame) -> DataFrame:
-    """field, documents that have terms in it and their mean length."""
-    return lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    The shares tf / len of a document's terms add up to one for each field; their sum over
+    all is the number of documents but for roundings far below a half.
+    """
+    return index.groupBy("field").agg(F.round(F.sum(F.col("tf") / F.col("len"))).cast("long").alias("n_docs"), F.sum("tf").alias("_all")).select("field", "n_docs", (F.col("_all") / F.col("n_docs")).alias("avg_len"))
 
 
 def query_terms(queries: DataFrame, text: str = "q") -> DataFrame:
@@ -65,7 +64,7 @@ def lexical(index: DataFrame, terms: DataFrame, boosts: dict[str, float] = BOOST
     asked for, in as many queries as there may be, and only then are queries joined.
     """
     index = stored(index, "postings")
-    stats = F.broadcast(field_stats(field_lengths(index)))  # a row for each field
+    stats = F.broadcast(field_stats(index))  # a row for each field
     df = index.groupBy("term", "field").agg(F.count("*").alias("df"))
     terms = stored(prefix_free(terms) if prefix else terms.select("query_id", "q_term").distinct(), "query-terms")
     wanted = terms.select("q_term").distinct()
@@ -85,7 +84,11 @@ def lexical(index: DataFrame, terms: DataFrame, boosts: dict[str, float] = BOOST
     if gains.count() <= SENT:
         gains = F.broadcast(gains)
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    hits = index.join(gains, ["term", "field"]).groupBy("q_term", "doc_id").agg(F.sum(F.col("gain") * tf).alias("part"), F.bit_or("bit").alias("bits"))
+    if terms.count() <= SENT:
+        terms = F.broadcast(terms)
+    # one document's hits meet in one task, where they are summed by term and then by query
+    hits = index.join(gains, ["term", "field"]).select("q_term", "doc_id", (F.col("gain") * tf).alias("part"), "bit").repartition("doc_id")
+    hits = hits.groupBy("q_term", "doc_id").agg(F.sum("part").alias("part"), F.bit_or("bit").alias("bits"))
     found = hits.join(terms, "q_term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.bit_or("bits").alias("bits"))
     fields = F.concat_ws(" + ", *[F.when(F.col("bits").bitwiseAND(1 << n) != 0, name) for n, name in enumerate(names)])
     return found.select("query_id", "doc_id", "score", fields.alias("fields"))

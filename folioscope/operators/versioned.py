@@ -63,8 +63,8 @@ class Versioned:
         """Commits a version in which rows of some keys are others, and gives its number.
 
         changes: name -> (rows, keys that lose all rows they had, SQL of the key); rows have
-        the table's columns, keys the columns k0, k1, ... A key's rows are in one bucket; a
-        bucket that has neither a lost key nor a new row is not touched. Tables in
+        the table's columns, keys the columns k0, k1, ..., and every row's key is among the
+        keys. A key's rows are in one bucket; a bucket of none of the keys is not touched. Tables in
         ``appended`` get rows beside all they have; such a table is never one of changes too.
         A batch of a source that a version has already is passed over. The expressions of a
         table's key are the same in each call.
@@ -78,7 +78,7 @@ class Versioned:
             own = [F.col(f"k{n}") for n in range(len(keys))]
             gone = gone.select(*own).distinct().withColumn("_bucket", self.bucket(own))
             fresh = rows.withColumn("_bucket", self.bucket([F.expr(k) for k in keys]))
-            touched = [r[0] for r in gone.select("_bucket").unionByName(fresh.select("_bucket")).distinct().collect()]  # at most ``buckets`` numbers
+            touched = [r[0] for r in gone.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
             if not touched:
                 continue
             had = self.read(name, rows.schema, before, touched)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, search
 from ..plans import reports, requests
+from ..session import stored
 from . import VIEWS, query
 from .searches import PREFIX_INDEX, terms_sql
 
@@ -67,12 +68,14 @@ def answered(v):
     q = v.embeddings.join(asked, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("q_vector"))
     vectors = v.embeddings.select(F.concat(F.lit("C"), "vec_id").alias("doc_id"), "embedding")
     near = search.semantic(vectors, q, 200).select(F.col("query_id").alias("request_id"), "doc_id", "score")
-    return requests.answer(v.requests, v.docs, v.entities, v.edges, v.changes, near)
+    # the views stand for tables that a corpus has; as such they are written once for all legs
+    tables = {name: stored(getattr(v, name), name) for name in ("requests", "docs", "entities", "edges", "changes")}
+    return tables, requests.answer(*tables.values(), near)
 
 
 @query("r16_requests", *NEEDS, sql=ANSWERED + "SELECT request_id, mode, relation, rank, id, round(score, 9) AS score FROM answered")
 def _(v):
-    return answered(v).withColumn("score", F.round("score", 9))
+    return answered(v)[1].withColumn("score", F.round("score", 9))
 
 
 @query("r17_answers", *NEEDS, sql=ANSWERED + r"""SELECT a.request_id, rank, a.id, d.doc_no, d.title, d.parent_id, md5(d.content) AS content,
@@ -81,7 +84,8 @@ def _(v):
 FROM (SELECT a.*, q, CASE WHEN instr(lower(d.content), lower(regexp_extract(q, '[A-Za-z0-9]+', 0))) > 0 THEN greatest(instr(lower(d.content), lower(regexp_extract(q, '[A-Za-z0-9]+', 0))) - 61, 0) ELSE 0 END AS s FROM answered a JOIN requests USING (request_id) LEFT JOIN docs d ON d.id = a.id) a
 LEFT JOIN docs d ON d.id = a.id LEFT JOIN docs p ON p.id = d.parent_id LEFT JOIN docs g ON g.id = p.parent_id LEFT JOIN docs r ON r.id = g.parent_id""")
 def _(v):
-    rows = requests.enriched(answered(v), v.requests.withColumn("include_params", F.lit(True)), v.docs)
+    tables, answers = answered(v)
+    rows = requests.enriched(answers, tables["requests"].withColumn("include_params", F.lit(True)), tables["docs"])
     path = F.array_join(F.transform("ancestors", lambda a: a["doc_no"]), ">")
     return rows.select("request_id", "rank", "id", "doc_no", "title", "parent_id", F.md5("content").alias("content"), path.alias("ancestors"), F.length("snippet").cast("long").alias("snippet_chars"), F.size("params").cast("long").alias("n_params"))
 

@@ -46,9 +46,10 @@ def _(v):
     shape = lambda df, seq, removed: df.select("id", "title", F.lit(None).cast("string").alias("doc_no"), F.lit(None).cast("string").alias("type"), "content", "path", F.lit(seq).cast("long").alias("seq"), F.lit(removed).alias("removed"))
     shape(v.prev, 1, False).repartition(2, "id").write.parquet(one)
     lost = v.prev.join(v.curr.select("id"), "id", "left_anti")
-    shape(v.curr, 2, False).unionByName(shape(lost, 2, True)).repartition(3, "id").write.parquet(other)
+    same = v.curr.join(v.prev, ["id", "title", "content", "path"], "left_semi").select("id")
+    shape(v.curr.join(same, "id", "left_anti"), 2, False).unionByName(shape(lost, 2, True)).repartition(3, "id").write.parquet(other)
     store = Versioned(v.spark, shared_folder(v.spark, "corpus"), buckets=16)
-    read = lambda path: v.spark.readStream.schema(refresh.SECTIONS).option("maxFilesPerTrigger", 1).parquet(path)
+    read = lambda path: v.spark.readStream.schema(refresh.SECTIONS).option("maxFilesPerTrigger", 2).parquet(path)
     refresh.refresh(store, [read(one), read(other)], ["title", "content"], shared_folder(v.spark, "refresh-state")).awaitTermination()
     return store.read("postings", v.spark.createDataFrame([], refresh.POSTINGS).schema)
 
@@ -68,7 +69,7 @@ h AS (
 def held_fast(v):
     """Texts whose edits at both ends have a line between them that is there once, for edits of the last kind."""
     kind = F.pmod(F.substring("id", 2, 20).cast("long"), F.lit(6))
-    lines = v.corpus.select("id", F.explode(F.split("content", "\n")).alias("line")).groupBy("id", "line").count().where("count = 1").select("id").distinct()
+    lines = v.corpus.where(kind == 5).select("id", F.explode(F.split("content", "\n")).alias("line")).groupBy("id", "line").count().where("count = 1").select("id").distinct()
     return kind, lines
 
 
