@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["r2_lexical"](spark, sf_dir)
+    return QUERIES["r2_prefix"](spark, sf_dir)

@@ -72,16 +72,19 @@ def _ranked(hits: DataFrame, asked: DataFrame) -> DataFrame:
 def searched(asked: DataFrame, docs: DataFrame, near: DataFrame | None) -> DataFrame:
     """request_id, id and score of fused hits that have a request's quoted phrases, and its words in mixed case as they are.
 
-    asked: request_id, q, target_type, k; near: request_id, doc_id and score of vectors near to
+    asked: request_id, q, target_type, k and, if some requests want one leg alone, leg (lexical,
+    semantic or hybrid, also for null); near: request_id, doc_id and score of vectors near to
     a request, if there are any. Types narrow each leg before its best are taken.
     """
+    leg = F.coalesce("leg", F.lit("hybrid")) if "leg" in asked.columns else F.lit("hybrid")
+    by_words, by_vectors = asked.where(leg != "semantic"), asked.where(leg != "lexical")
     kinds = docs.select(F.col("id").alias("doc_id"), "type")
     typed = lambda hits: hits.join(asked.select("request_id", "target_type"), "request_id").join(kinds, "doc_id").where("target_type IS NULL OR target_type = type").select("request_id", "doc_id", "score")
     index = search.postings(docs, list(search.BOOSTS))
-    words = search.lexical(index, search.query_terms(asked.select(F.col("request_id").alias("query_id"), "q")), prefix=True)
+    words = search.lexical(index, search.query_terms(by_words.select(F.col("request_id").alias("query_id"), "q")), prefix=True)
     legs = [_ranked(typed(words.select(F.col("query_id").alias("request_id"), "doc_id", F.round("score", 9).alias("score"))), asked).withColumn("source", F.lit("lexical"))]
     if near is not None:
-        legs.append(_ranked(typed(near.select("request_id", "doc_id", F.round("score", 9).alias("score"))), asked).withColumn("source", F.lit("semantic")))
+        legs.append(_ranked(typed(near.join(by_vectors.select("request_id"), "request_id", "left_semi").select("request_id", "doc_id", F.round("score", 9).alias("score"))), asked).withColumn("source", F.lit("semantic")))
     fused = search.fuse(*[leg.withColumnRenamed("request_id", "query_id") for leg in legs]).select(F.col("query_id").alias("request_id"), F.col("doc_id").alias("id"), F.round("score", 12).alias("score"))
     wanted = asked.select("request_id", F.transform(F.regexp_extract_all("q", F.lit('"([^"]+)"'), F.lit(1)), lambda p: F.concat(F.lit("(?i)"), bounded_column(p))).alias("phrases"), F.transform(search.ticker_phrases(F.col("q")), bounded_column).alias("as_is"))
     texts = docs.select("id", F.coalesce("title", F.lit("")).alias("_title"), F.coalesce("content", F.lit("")).alias("_content"))

@@ -125,3 +125,27 @@ def _(v):
     seeds = agents.select("agent_id", F.lit("BUILDING").alias("category"), F.lit("Seeded").alias("primitive"))
     rows = reports.status_statistics(agents, seeds, v.instances, ["BUILDING", "MACHINERY", "EMPTY"], most_names=3)
     return rows.withColumn("names", F.array_join("names", ","))
+
+
+#: Searches with the beginning of every fiftieth document: by words, by its vector, by both; some quote a word, some ask for its language alone.
+VIEWS["searches"] = ((), """SELECT doc_id AS request_id, concat(CASE WHEN doc_id % 100 = 0 THEN concat('"', regexp_extract(text, '[A-Za-z]+', 0), '" ') ELSE '' END, replace(substring(text, 1, 50), '"', '')) AS q,
+CASE WHEN doc_id % 200 = 0 THEN lang END AS target_type, CASE doc_id % 150 WHEN 0 THEN 'lexical' WHEN 50 THEN 'semantic' END AS leg, 10 AS k FROM {documents} WHERE doc_id % 50 = 0 AND text IS NOT NULL""")
+SEARCHED = ", " + PREFIX_INDEX.removeprefix(", ").replace(f"item_id AS query_id, unnest({terms_sql('text')}) AS term FROM benchmark", f"request_id AS query_id, unnest({terms_sql('q')}) AS term FROM searches WHERE leg IS NULL OR leg = 'lexical'") + """,
+unit AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+near AS (SELECT request_id, 'D' || u.vec_id AS doc_id, round(list_sum(list_transform(range(1, len(u.e) + 1), lambda i: u.e[i] * w.e[i])) / sqrt(list_sum(list_transform(u.e, lambda x: x * x))) / sqrt(list_sum(list_transform(w.e, lambda x: x * x))), 9) AS score
+  FROM searches JOIN unit w ON w.vec_id = request_id CROSS JOIN unit u WHERE leg IS NULL OR leg = 'semantic'),
+near_best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id) <= 200),
+legs AS (SELECT query_id AS request_id, doc_id, 'lexical' AS source, round(score, 9) AS score FROM sc UNION ALL SELECT request_id, doc_id, 'semantic', score FROM near_best),
+ranked AS (SELECT l.*, row_number() OVER (PARTITION BY l.request_id, source ORDER BY l.score DESC, doc_id) AS n FROM legs l JOIN searches m ON m.request_id = l.request_id JOIN corpus d ON d.id = l.doc_id WHERE m.target_type IS NULL OR m.target_type = d.type),
+fused AS (SELECT request_id, doc_id AS id, round(sum(1.0 / (60 + n)), 12) AS score FROM ranked WHERE n <= 40 GROUP BY ALL),
+said AS (SELECT f.* FROM fused f JOIN searches m USING (request_id) JOIN corpus d USING (id) WHERE NOT starts_with(q, '"') OR regexp_matches(d.title || chr(10) || d.content, '(?i)(?:^|[^A-Za-z0-9_])' || regexp_extract(q, '"([^"]+)"', 1) || '(?:[^A-Za-z0-9_]|$)'))
+"""
+
+
+@query("r14_modes", "corpus", "searches", sql=SEARCHED + "SELECT request_id, id, round(score, 9) AS score, CAST(n - 1 AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS n FROM said) WHERE n <= 10")
+def _(v):
+    asked, docs = stored(v.searches, "searches"), stored(v.corpus, "corpus")
+    q = v.embeddings.join(asked.where("leg IS NULL OR leg = 'semantic'"), F.col("vec_id") == F.col("request_id")).select(F.col("request_id").alias("query_id"), F.col("embedding").alias("q_vector"))
+    near = search.semantic(v.vectors, q, 200).select(F.col("query_id").alias("request_id"), "doc_id", "score")
+    hits = requests.searched(asked, docs, near).select(F.col("request_id").alias("query_id"), F.col("id").alias("doc_id"), "score")
+    return search.top(hits, 10).select(F.col("query_id").alias("request_id"), F.col("doc_id").alias("id"), F.round("score", 9).alias("score"), "rank")
