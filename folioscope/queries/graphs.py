@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import filters, graph, hierarchy, tables
+from ..session import stored
 from . import TABLES, query
 
 
@@ -321,7 +322,7 @@ hops AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)
 
 @query("g10_traverse", "edges", sql=STEP + "SELECT node_type, node_id, depth FROM hops")
 def _(v):
-    return graph.reach(v.edges, v.spark.createDataFrame([("entity", "S1")], "node_type string, node_id string"), 2)
+    return graph.reach(stored(v.edges, "edges"), v.spark.createDataFrame([("entity", "S1")], "node_type string, node_id string"), 2)
 
 
 @query("g11_subgraph", "edges", sql=STEP + "SELECT edge_type, CAST(count(*) AS BIGINT) AS n FROM edges WHERE (from_type, from_id) IN (SELECT (node_type, node_id) FROM hops WHERE depth < 2) AND (to_type, to_id) IN (SELECT (node_type, node_id) FROM hops WHERE depth < 2) GROUP BY edge_type")
