@@ -32,6 +32,9 @@ def test_prose(spark):
     assert value(spark, text.links(F.col("a")), a=f"[x]({U}1) [y]({U}2) [z]({U}1)") == [f"{U}1", f"{U}2"]
     assert value(spark, text.scrub(F.col("a")), a="**Do not merge yet**\nA real description here") == "A real description here"
     assert value(spark, text.scrub(F.col("a")), a="https://example.org/x") is None
+    assert value(spark, text.scrub(F.col("a")), a="Adds the vault. This may only be merged once the poll passes!\nOriginating forum post: <https://x.org/1>") == "Adds the vault."
+    assert value(spark, text.declared_party(F.col("a")), a="The Responsible Party is the Acme Lab. It acts.") == "Acme Lab"
+    assert value(spark, text.declared_party(F.col("a")), a="The Responsible Party is [Acme](x).") is None
     assert value(spark, text.natural_key(F.col("a")), a="A.2") < value(spark, text.natural_key(F.col("a")), a="A.10")
 
 
@@ -100,6 +103,8 @@ def test_change_classes(spark):
     assert {(r.id, r.change_type) for r in history.diff(prev, curr).collect()} == {("a", "modified"), ("b", "modified"), ("c", "modified"), ("d", "moved"), ("e", "removed"), ("f", "added")}
     assert {r.id: r.kind for r in history.change_size(history.token_changes(prev, curr)).collect()} == {"a": "semantic", "b": "lint", "c": "typo"}
     assert value(spark, history.title_kind(F.col("a")), a="Fixes a typo in X") == "typo" and value(spark, history.title_kind(F.col("a")), a="Lint it") == "lint"
+    for title, kind in (("Spelling fixes", "typo"), ("Corrects typos", None), ("Correct typo", "typo"), ("Non-breaking spaces", "lint"), ("Fix typos in formatting", "lint"), ("Flint and steel", None), (None, None)):
+        assert value(spark, history.title_kind(F.col("a").cast("string")), a=title or "") == kind
     got = value(spark, history.bullets(F.col("a")), a="x\n- **One** — first\n* **Two**\nplain")
     assert [tuple(x) for x in got] == [("One", "first"), ("Two", "")]
 
