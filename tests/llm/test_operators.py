@@ -400,17 +400,28 @@ def test_sharding_law_at_any_count(spark, shards):
     assert {r.doc_id: r.shard for r in sharding.shard_documents(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("y").alias("text")), shards + 1).collect()} == {r.doc_id: r.grown_shard for r in rows}
 
 
-def test_sharding_draws_brute_force(spark):
-    """Places against the draws of all shards, told apart level by level."""
-    tree = [[[1.0, 2.0], [0.0, 1.0]], [[3.0]], [[0.5, 0.5, 0.5]]]
-    leaves = [((r, k, s), w) for r, region in enumerate(tree) for k, rack in enumerate(region) for s, w in enumerate(rack)]
-    keys = spark.range(500)
-    hashes = keys.select("id", *[F.xxhash64("id", F.lit(7), *map(F.lit, path)).alias(f"h{i}") for i, (path, _) in enumerate(leaves)])
-    got = {r.id: r.shard for r in sharding.place(keys, F.col("id"), tree).collect()}
+@pytest.mark.parametrize("built", [None, 1, 2, 4, 5, 6, 9])
+def test_sharding_descent_brute_force(spark, built):
+    """Places against the draws of all nodes: a place's own draw is its region's, and how far its rack and it are behind the winners of their levels."""
+    tree = [[[1.0, 2.0], [0.0, 1.0]], [[3.0]], [[0.5, 0.5], [2.0, 1.0], [0.0]]]
+    weights = {(r,): sum(map(sum, region)) for r, region in enumerate(tree)}
+    weights |= {(r, k): sum(rack) for r, region in enumerate(tree) for k, rack in enumerate(region)}
+    weights |= {(r, k, s): w for r, region in enumerate(tree) for k, rack in enumerate(region) for s, w in enumerate(rack)}
+    names = {path: "h" + "_".join(map(str, path)) for path in weights}
+    hashes = spark.range(400).select("id", *[F.xxhash64("id", F.lit(7), *map(F.lit, path)).alias(n) for path, n in names.items()])
+    got = {r.id: r.shard for r in sharding.place(spark.range(400), F.col("id"), tree, built=built).collect()}
+    places = [p for p in weights if len(p) == 3][:built]
     for row in hashes.collect():
-        draw = [np.inf if w == 0 else -np.log((((row[f"h{i}"] % 2**64) >> 11) + 0.5) * 2.0**-53) / w for i, (_, w) in enumerate(leaves)]
-        region = min(range(3), key=lambda r: min(d for d, (p, _) in zip(draw, leaves, strict=True) if p[0] == r))
-        assert got[row.id] == int(np.argmin([d if p[0] == region else np.inf for d, (p, _) in zip(draw, leaves, strict=True)]))
+        draw = {p: -np.log((((row[n] % 2**64) >> 11) + 0.5) * 2.0**-53) / weights[p] if weights[p] else np.inf for p, n in names.items()}
+        behind = lambda p: draw[p] - min(d for q, d in draw.items() if q[:-1] == p[:-1]) if weights[p] else np.inf
+        assert got[row.id] == int(np.argmin([draw[p[:1]] + behind(p[:2]) + behind(p) for p in places]))
+
+
+def test_sharding_shares_follow_weights_while_a_region_is_filled(spark):
+    rows = sharding.place(spark.range(26_000), F.col("id"), sharding.topology(13), built=13).groupBy("shard").count().collect()
+    assert {r.shard for r in rows} == set(range(13)) and all(abs(r["count"] - 2000) < 220 for r in rows)
+    with pytest.raises(ValueError):
+        sharding.place(spark.range(1), F.col("id"), [[[0.0, 1.0]]], built=1)
 
 
 def test_sharding(spark, odd):
