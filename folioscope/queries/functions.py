@@ -82,6 +82,15 @@ def _(v):
     return v.corpus.select("id", F.md5(text.highlight(F.col("content"), "licensed")).alias("marked"))
 
 
+@query("x23_three_tiers", "corpus", sql=r"""SELECT id, md5(replace(regexp_replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'),
+'(\bLicense\b)|((?i:\bLicense\b))|((?i:\bunder the\b)|(?i:licen)|(?i:permi))', '<mark>\1\3</mark>\2', 'g'), '<mark></mark>', '')) AS marked,
+CAST(len(regexp_extract_all(content, '\bLicense\b|(?i:\bLicense\b)|(?i:\bunder the\b)|(?i:licen)|(?i:permi)')) AS BIGINT) AS found FROM corpus""")
+def _(v):
+    marked = text.highlight(F.col("content"), ["licen", "permi"], ["under the"], ["License"])
+    found = F.regexp_count("content", F.lit(r"(?i)(?<![A-Za-z0-9_])(?:License|under the)(?![A-Za-z0-9_])|licen|permi"))
+    return v.corpus.select("id", F.md5(marked).alias("marked"), found.cast("long").alias("found"))
+
+
 @query("x25_scrub", "corpus", sql=r"""SELECT id, CASE WHEN regexp_matches(t, '^https?://\S+$') THEN NULL WHEN len(t) >= 10 THEN t END AS cleaned FROM (
 SELECT id, trim(regexp_replace(regexp_replace(title, '[ \t\n\r\f\v]+', ' ', 'g'), '^[ —*•·:-]+|[ —*•·:-]+$', '', 'g')) AS t FROM corpus)""")
 def _(v):

@@ -38,6 +38,20 @@ def test_prose(spark):
     assert value(spark, text.natural_key(F.col("a")), a="A.2") < value(spark, text.natural_key(F.col("a")), a="A.10")
 
 
+def test_highlight_tiers(spark):
+    cases = [
+        ("The GOVERNANCE of <un>governed", (["govern"],), "The <mark>GOVERN</mark>ANCE of &lt;un&gt;<mark>govern</mark>ed"),
+        ("Big cats, big cat & bigger", (["big"], ["big cat"]), "<mark>Big</mark> cats, <mark>big cat</mark> &amp; <mark>big</mark>ger"),
+        ("Sky, sky and skyline", (["sky"], [], ["Sky"]), "<mark>Sky</mark>, sky and <mark>sky</mark>line"),
+        ("One Two one two", ([], ["one two"], ["One Two", "ab"]), "<mark>One Two</mark> one two"),
+        ("a.b axb", (["a.b", "x"],), "<mark>a.b</mark> axb"),
+        ("", (["ab"], ["cd"]), ""), ("x < y", ([],), "x &lt; y"),
+    ]
+    for body, given, want in cases:
+        assert value(spark, text.highlight(F.col("a"), *given), a=body) == want
+    assert value(spark, text.highlight(F.lit(None).cast("string"), "ab"), a="") is None
+
+
 CORPUS = f"""before
 # A.1 - Root [Scope]  <!-- UUID: {U}1 -->
 body
