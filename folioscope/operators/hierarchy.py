@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import links
 from ..session import stored
 
 #: Rounds of doubled jumps; a chain beyond 2^24 hops is a cycle of parents.
@@ -133,3 +134,19 @@ def integrity(docs: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFra
     orphans = docs.where("parent_id IS NOT NULL").join(docs.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("orphan parent").alias("problem"), "n")
     twice = entities.groupBy("slug").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("slug given twice").alias("problem"), "n")
     return dangling.unionByName(orphans).unionByName(twice)
+
+
+def unresolved(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """problem and n: links in texts to ids that no section has, edges whose evidence (source) is no section's number, and numbers given twice.
+
+    A text counts once for each id it links to; edges without evidence are no fault. Targets
+    are counted before they are joined, so that one that very many name is one row.
+    """
+    def lost(told: DataFrame, key: str, problem: str) -> DataFrame:
+        known = docs.select(F.col(key).alias("k")).distinct()
+        return told.groupBy("k").agg(F.count("*").alias("n")).join(known, "k", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(problem).alias("problem"), "n")
+
+    linked = lost(docs.select(F.explode(links(F.col("content"))).alias("k")), "id", "link to nothing")
+    evidence = lost(edges.where("source IS NOT NULL").select(F.col("source").alias("k")), "doc_no", "evidence of nothing")
+    twice = docs.where("doc_no IS NOT NULL").groupBy("doc_no").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("number given twice").alias("problem"), "n")
+    return linked.unionByName(evidence).unionByName(twice)

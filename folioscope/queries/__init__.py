@@ -55,6 +55,12 @@ SELECT event_id, concat('D', user_id) AS doc_id, day AS date, ts, commit_seq, su
        CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'removed' WHEN 'purchase' THEN 'moved' ELSE 'modified' END AS change_type,
        CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS pr_number, value, user_id, props
 FROM {events} JOIN commits ON CAST(ts AS DATE) = day"""),
+    "cards": ((), """
+SELECT concat('00000000-0000-4000-8000-', lpad(CAST(o_orderkey AS STRING), 12, '0')) AS id, concat('A.', o_custkey, '.', substring(o_orderpriority, 1, 1)) AS doc_no,
+       concat('After [this](00000000-0000-4000-8000-', lpad(CAST(o_orderkey + 1 AS STRING), 12, '0'), '), [again](00000000-0000-4000-8000-', lpad(CAST(o_orderkey + 1 AS STRING), 12, '0'),
+              ') and [that](00000000-0000-4000-8000-', lpad(CAST(o_custkey AS STRING), 12, '0'), ')') AS content FROM {orders} WHERE o_orderstatus <> 'P'"""),
+    "card_edges": ((), """
+SELECT o_orderkey AS from_id, o_custkey AS to_id, CASE WHEN o_orderstatus <> 'O' THEN concat('A.', o_custkey, '.', substring(o_orderpriority, 1, 1)) END AS source FROM {orders}"""),
     "vectors": ((), """SELECT concat('D', vec_id) AS doc_id, embedding, label FROM {embeddings}"""),
     "prev": (("corpus",), """SELECT id, title, content, concat('a/', ord) AS path FROM corpus WHERE ord % 10 <> 0"""),
     "curr": (("corpus",), """

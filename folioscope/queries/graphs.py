@@ -353,6 +353,14 @@ def _(v):
     return hierarchy.integrity(v.docs, v.edges, v.entities)
 
 
+@query("g18_unresolved", "cards", "card_edges", sql="""SELECT 'link to nothing' AS problem, CAST(count(*) AS BIGINT) AS n FROM (
+SELECT o_orderkey AS i, o_orderkey + 1 AS k FROM orders WHERE o_orderstatus <> 'P' UNION SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P') WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+UNION ALL SELECT 'evidence of nothing', CAST(count(*) AS BIGINT) FROM card_edges WHERE source IS NOT NULL AND source NOT IN (SELECT doc_no FROM cards)
+UNION ALL SELECT 'number given twice', CAST(count(*) AS BIGINT) FROM (SELECT doc_no FROM cards GROUP BY doc_no HAVING count(*) > 1)""")
+def _(v):
+    return hierarchy.unresolved(v.cards, v.card_edges)
+
+
 @query("g19_entity_nodes", "edges", "entities", sql="""SELECT e.id, e.entity_type, CAST(coalesce(d.n, 0) AS BIGINT) AS degree, least(coalesce(d.n, 0), 8) * 0.8::DOUBLE + 4 AS size FROM entities e LEFT JOIN (SELECT i, count(*) AS n FROM (SELECT from_id AS i FROM edges WHERE from_type = 'entity' AND to_type = 'entity' UNION ALL SELECT to_id FROM edges WHERE from_type = 'entity' AND to_type = 'entity') GROUP BY i) d ON d.i = e.id""")
 def _(v):
     d = graph.degrees(v.edges.where("from_type = 'entity' AND to_type = 'entity'")).select(F.col("node_id").alias("id"), "degree")

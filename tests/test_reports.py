@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import extraction
+from folioscope.operators import extraction, hierarchy
 from folioscope.plans import reports
 
 
@@ -45,3 +45,11 @@ def test_rewards_and_decisions(spark):
     docs, curated = spark.createDataFrame([(x,) for x in "abcde"], "id string"), spark.createDataFrame([("e",)], "id string")
     good, bad = reports.decided(decisions, docs, curated)
     assert {r.id for r in good.collect()} == {"a", "c"} and {r.id: r.fault for r in bad.collect()} == {"b": "no category", "z": "unknown id", "d": "given twice", "e": "already there"}
+
+
+def test_unresolved(spark):
+    u = "00000000-0000-4000-8000-00000000000"
+    docs = spark.createDataFrame([(f"{u}1", "A.1", f"[x]({u}2) [y]({u}9) [z]({u}9)"), (f"{u}2", "A.1", f"[y]({u}9)"), (f"{u}3", None, None), (f"{u}4", None, "")], "id string, doc_no string, content string")
+    edges = spark.createDataFrame([("a", "A.1"), ("b", "A.7"), ("c", "A.7"), ("d", None)], "from_id string, source string")
+    assert {r.problem: r.n for r in hierarchy.unresolved(docs, edges).collect()} == {"link to nothing": 2, "evidence of nothing": 2, "number given twice": 1}
+    assert {r.n for r in hierarchy.unresolved(docs.limit(0), edges.limit(0)).collect()} == {0}
