@@ -66,14 +66,21 @@ def change_size(changed_tokens: DataFrame) -> DataFrame:
 
 
 def token_changes(prev: DataFrame, curr: DataFrame) -> DataFrame:
-    """id and token for each token that only one of two versions of a section has, repeats counted."""
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.select("id", F.explode(F.split("content", r"\s+")).alias("token")).groupBy("id", "token").agg(F.count("*").alias(name))
-
-    shared = prev.select("id").join(curr.select("id"), "id")
-    a, b = counted(prev.join(shared, "id", "left_semi"), "old"), counted(curr.join(shared, "id", "left_semi"), "new")
-    both = a.join(b, ["id", "token"], "full").withColumn("n", F.abs(F.coalesce("new", F.lit(0)) - F.coalesce("old", F.lit(0))))
-    return both.where("n > 0").select("id", "token", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("id", "token")
+    """id and token for each token that only one of two versions of a section has, repeats counted.
+
+    Ids must be given once in each version; only changed texts are split, what is alike at
+    their beginnings and ends cancels out in its row, and the rest of both versions stays
+    where the join has put its id.
+    """
+    words = lambda c: F.coalesce(F.split(c, r"\s+"), F.array().cast("array<string>"))
+    pairs = prev.select("id", F.col("content").alias("a")).join(curr.select("id", F.col("content").alias("b")), "id").where("NOT a <=> b")
+    pairs = pairs.select("id", words("a").alias("a"), words("b").alias("b")).withColumn("head", _alike(F.col("a"), F.col("b")))
+    rest = lambda c: F.slice(c, F.col("head") + 1, F.size(c) - F.col("head"))
+    pairs = pairs.select("id", rest("a").alias("a"), rest("b").alias("b")).withColumn("tail", _alike(F.col("a"), F.col("b"), backwards=True))
+    told = lambda c, n: F.transform(F.slice(c, F.lit(1), F.size(c) - F.col("tail")), lambda t: F.struct(t.alias("token"), F.lit(n).alias("n")))
+    each = pairs.select("id", F.explode(F.concat(told("a", -1), told("b", 1))).alias("t")).select("id", "t.*")
+    sums = each.groupBy("id", "token").agg(F.abs(F.sum("n")).alias("n")).where("n > 0")
+    return sums.select("id", "token", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("id", "token")
 
 
 # fixed values: unchanged lines shown around a change, and the most lines of either side that are shown

@@ -164,3 +164,28 @@ def test_search_index_is_the_same_by_terms_that_begin_others(spark):
     got = {(r.query_id, r.doc_id): r.score for r in search.lexical(search.postings(docs, ["title", "content"]), search.query_terms(asked), prefix=True).collect()}
     free = {tuple(r) for r in search.prefix_free(search.query_terms(asked)).collect()}
     assert free == {("q", "the"), ("q", "oth"), ("r", "them")} and len(got) == 10 and all(got["q", f"d{n}"] > got["r", f"d{n}"] for n in range(5))
+
+
+def test_changed_tokens_are_those_of_multisets(spark):
+    from collections import Counter
+    from random import Random
+
+    rng = Random(5)
+    text = lambda: " ".join(rng.choice("abc") for _ in range(rng.randint(0, 8)))
+    old = [(f"d{n}", text()) for n in range(60)] + [("null", None), ("both", None), ("gone", "x")]
+    new = [(f"d{n}", text()) for n in range(60)] + [("null", "a a"), ("both", None), ("fresh", "x")]
+    old += [("same", "k " * 50), ("ends", "p q r s q"), ("moved", "one two")]
+    new += [("same", "k " * 50), ("ends", "p q q s q"), ("moved", "two one")]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, content string")
+    split = lambda t: Counter([] if t is None else t.split(" "))
+    a, b = dict(old), dict(new)
+    want = Counter()
+    for i in a.keys() & b.keys():
+        for t, n in ((split(a[i]) - split(b[i])) + (split(b[i]) - split(a[i]))).items():
+            want[i, t] = n
+    found = history.token_changes(frame(old), frame(new))
+    assert Counter((r.id, r.token) for r in found.collect()) == want and want["ends", "r"] == want["ends", "q"] == 1
+    # long texts that differ in one word
+    pairs = frame([(f"w{n}", f"{'same words ' * 200}{n} end") for n in range(40)]), frame([(f"w{n}", f"{'same words ' * 200}x end") for n in range(40)])
+    df = history.token_changes(*pairs)
+    assert df.count() == 80
