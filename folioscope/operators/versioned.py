@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import stored
 from .tables import ledger
 
 VERSION = "kind string, name string, bucket int, place string, number long"
@@ -59,6 +60,9 @@ class Versioned:
     def bucket(self, keys: list[Column]) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
 
+    def part(self, keys: list[Column], parts: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit("part"), *keys), F.lit(parts))
+
     def replace(self, changes: dict[str, tuple[DataFrame, DataFrame, list[str]]], source: str | None = None, batch: int | None = None, appended: dict[str, DataFrame] | None = None) -> int:
         """Commits a version in which rows of some keys are others, and gives its number.
 
@@ -88,8 +92,10 @@ class Versioned:
                 on &= F.col(f"o.k{n}").eqNullSafe(F.col(f"g.k{n}"))
             kept = kept.alias("o").join(gone.alias("g"), on, "left_anti").withColumn("_bucket", self.bucket([F.col(f"k{n}") for n in range(len(keys))])).drop(*[f"k{n}" for n in range(len(keys))])
             folder = f"data/{name}/{uuid.uuid4().hex}"
-            # a bucket is one task and one file of a version; more buckets make both smaller
-            kept.unionByName(fresh).repartition(len(touched), "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+            # a bucket is dealt over as many tasks as there would be without buckets, by its keys
+            parts = max(1, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // len(touched)))
+            rest = kept.withColumn("_part", self.part(key, parts)).unionByName(fresh.withColumn("_part", self.part(key, parts)))
+            rest.repartition("_bucket", "_part").drop("_part").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
             written = {int(s.getPath().getName().split("=")[1]) for s in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if s.getPath().getName().startswith("_bucket=")}
             for b in touched:
                 listed.pop(("bucket", name, b), None)
@@ -133,6 +139,8 @@ class Versioned:
         both = newest.alias("n").join(had.alias("o"), on, "left").select(*[F.col(f"n.{k}").alias(k) for k in key], "new", "old", "_d")
         op = F.when(F.col("_d"), F.when(F.col("old").isNotNull(), "D").otherwise("=")).when(F.col("old").isNull(), "I").when(F.col("old").eqNullSafe(F.col("new")), "=").otherwise("U")
         both = both.withColumn("op", op)
+        # what changes is written once; rows that stay leave their key's count alone
+        both = stored(both.select(*key, F.when(F.col("op") != "=", F.col("new")).alias("new"), "op"), "upsert")
         counted = ledger(both)
         moved = both.where("op <> '='")
         numbers = counted.first()

@@ -189,3 +189,18 @@ def test_changed_tokens_are_those_of_multisets(spark):
     pairs = frame([(f"w{n}", f"{'same words ' * 200}{n} end") for n in range(40)]), frame([(f"w{n}", f"{'same words ' * 200}x end") for n in range(40)])
     df = history.token_changes(*pairs)
     assert df.count() == 80
+
+
+def test_a_bucket_is_dealt_over_several_tasks(spark, tmp_path):
+    store = Versioned(spark, f"file://{tmp_path}/t", buckets=1)
+    rows = spark.createDataFrame([(n, f"v{n}" * 50) for n in range(400)], "id long, v string")
+    had = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.upsert("t", rows, ["id"])
+        store.upsert("t", rows.withColumn("v", F.when(F.col("id") == 7, "new").otherwise(F.col("v"))), ["id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", had)
+    place = store._listed(None)[0]["place"]
+    assert len([f for f in os.listdir(f"{tmp_path}/t/{place}") if f.startswith("part-")]) > 1
+    assert {r.id: r.v for r in store.read("t", rows.schema).collect()} == {n: "new" if n == 7 else f"v{n}" * 50 for n in range(400)}
