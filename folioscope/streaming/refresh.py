@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import search
 from ..operators.versioned import Versioned
+from ..session import stored
 
 SECTIONS = "id string, title string, doc_no string, type string, content string, path string, seq long, removed boolean"
 POSTINGS = "term string, field string, doc_id string, tf long, len long"
@@ -32,13 +33,16 @@ def refresh_batch(store: Versioned, rows: DataFrame, batch: int, fields: list[st
     newest = newest.select("id", "s.*").select(*columns)
     there = store.read("sections", schema)
     old = there.select("id", F.col("seq").alias("_seq"), F.struct("title", "doc_no", "type", "content", "removed").alias("_old"))
+    # what only got a new number or path keeps its postings
+    told = F.struct("title", "doc_no", "type", "content", "removed")
     later = newest.join(old, "id", "left").where("_seq IS NULL OR seq > _seq")
+    later = later.withColumn("_changed", F.col("_old").isNull() | ~F.col("_old").eqNullSafe(told)).drop("_seq", "_old")
+    later = stored(later, "later")  # sections, postings and the keys of both read it
     blank = lambda c: F.when(~F.col("removed"), F.col(c)).alias(c)
     fresh = later.select("id", *[blank(c) for c in ("title", "doc_no", "type", "content", "path")], "seq", "removed")
-    # what only got a new number or path keeps its postings
-    told = F.struct("title", "doc_no", "type", "content", "removed")
-    changed = later.where(F.col("_old").isNull() | ~F.col("_old").eqNullSafe(told))
-    postings = search.postings(changed.where("NOT removed"), fields)
+    changed = later.where("_changed")
+    # texts are dealt, so that the postings of each are counted where it is
+    postings = search.postings(changed.where("NOT removed").repartition("id"), fields)
     store.replace({
         "sections": (fresh.select(*columns), fresh.select(F.col("id").alias("k0")), ["id"]),
         "postings": (postings, changed.select(F.col("id").alias("k0")), ["doc_id"]),
