@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import UUID
 
@@ -49,9 +50,8 @@ def _level(line: Column) -> Column:
     return F.when(line.rlike(r"^###[ \t]+\S"), 3).when(line.rlike(r"^##[ \t]+[^#\s]"), 2).otherwise(0)
 
 
-def _under(lines: Column, heads: Column, level: int) -> Column:
-    """Headings of a level with the lines under each, up to the next heading of this level or above."""
-    ends = F.filter(heads, lambda h: h["level"] <= level)
+def _under(lines: Column, ends: Column, level: int) -> Column:
+    """Headings of a level with the lines under each, up to the next heading of this level or above; ends are all such headings."""
     of_level = F.filter(F.transform(ends, lambda h, i: F.struct(h["level"].alias("level"), h["title"].alias("title"), h["at"].alias("at"), F.coalesce(F.get(ends, i + 1)["at"], F.size(lines)).alias("end"))), lambda h: h["level"] == level)
     return F.transform(of_level, lambda h: F.struct(h["title"].alias("title"), F.array_join(F.slice(lines, h["at"] + 2, h["end"] - h["at"] - 1), "\n").alias("body")))
 
@@ -70,21 +70,21 @@ def parse_posts(posts: DataFrame) -> DataFrame:
     that title, letters and digits compared. Null bodies are empty. Posts may repeat.
     """
     rows = posts.select("post_id", F.coalesce("title", F.lit("")).alias("title"), F.split(F.coalesce("body", F.lit("")), r"\r?\n").alias("lines"))
-    heads = F.filter(F.transform("lines", lambda x, i: F.struct(_level(x).alias("level"), F.trim(F.regexp_replace(x, "^#+", "")).alias("title"), i.alias("at"))), lambda h: h["level"] > 0)
+    marked = F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda h: F.startswith(h["line"], F.lit("##")))
+    heads = F.filter(F.transform(marked, lambda h: F.struct(_level(h["line"]).alias("level"), F.trim(F.regexp_replace(h["line"], "^#+", "")).alias("title"), h["at"].alias("at"))), lambda h: h["level"] > 0)
+    # what a function of elements or several columns use is a column of its own: an expression inside it would be worked out anew each time
     rows = rows.withColumn("heads", heads)
-    chapters, topics = F.filter("heads", lambda h: h["level"] == 2), F.filter("heads", lambda h: h["level"] == 3)
-    summary = F.get(F.filter(_under(F.col("lines"), F.col("heads"), 2), lambda c: F.lower(c["title"]) == "summary"), 0)["body"]
-    intro = F.array_join(F.slice("lines", F.lit(1), F.get(topics, 0)["at"]), "\n")
+    rows = rows.withColumns({"chapters": F.filter("heads", lambda h: h["level"] == 2), "topics": F.filter("heads", lambda h: h["level"] == 3)})
+    summary = F.get(F.filter(_under(F.col("lines"), F.col("chapters"), 2), lambda c: F.lower(c["title"]) == "summary"), 0)["body"]
+    intro = F.array_join(F.slice("lines", F.lit(1), F.get("topics", F.lit(0))["at"]), "\n")
     item = r"(?m)^[-*][ \t]+\*\*([^*\n]+)\*\*[ \t]*[—–-][ \t]*(\S[^\n]*)$"
-    rows = rows.withColumns({
-        "summary": F.when(F.size(chapters) >= 2, F.trim(summary)), "n_topics": F.size(topics), "blocks": _under(F.col("lines"), F.col("heads"), 3),
-        "items": F.when(F.size(topics) >= 2, F.arrays_zip(F.regexp_extract_all(intro, F.lit(item), F.lit(1)).alias("title"), F.regexp_extract_all(intro, F.lit(item), F.lit(2)).alias("description"))),
-    })
-    told = F.transform("blocks", lambda b: _bullet(heading_text(b["title"]), shortened(plain_text(b["body"])), "topic", F.concat_ws("\n", b["title"], b["body"])))
+    rows = rows.withColumns({"summary": F.when(F.size("chapters") >= 2, F.trim(summary)), "n_topics": F.size("topics"), "blocks": _under(F.col("lines"), F.col("heads"), 3), "intro": F.when(F.size("topics") >= 2, intro)})
+    rows = rows.withColumns({"items": F.arrays_zip(F.regexp_extract_all("intro", F.lit(item), F.lit(1)).alias("title"), F.regexp_extract_all("intro", F.lit(item), F.lit(2)).alias("description")), "plain": plain_text(F.col("summary"))})
+    told = F.zip_with("blocks", F.transform("blocks", lambda b: plain_text(b["body"])), lambda b, plain: _bullet(heading_text(b["title"]), shortened(plain), "topic", F.concat_ws("\n", b["title"], b["body"])))
     rows = rows.withColumn("told", F.filter(told, lambda b: b["description"] != ""))
     said = F.transform("items", lambda t: _bullet(heading_text(t["title"]), F.trim(t["description"]), "item", F.concat_ws("\n", t["title"], t["description"])))
     rows = rows.withColumn("said", F.filter(said, lambda b: ~F.exists("told", lambda t: same_title(t["title"]) == same_title(b["title"]))))
-    sums = F.array(_bullet(F.col("title"), shortened(plain_text(F.col("summary"))), "summary", F.concat_ws("\n", "title", "summary")))
+    sums = F.array(_bullet(F.col("title"), shortened(F.col("plain")), "summary", F.concat_ws("\n", "title", "summary")))
     none = F.filter("told", lambda b: F.lit(False))
     bullets = F.when((F.col("summary") != "") & (F.col("title") != ""), sums).when(F.col("n_topics") >= 2, F.concat("told", "said")).otherwise(none)
     rows = rows.withColumn("bullets", bullets)
@@ -109,9 +109,9 @@ def harvested(posts: DataFrame, parsed: DataFrame) -> DataFrame:
     A reference belongs to the first bullet whose whole text, also beyond the description's
     end, has it; one outside of all bullets to the post's first, and to none (null) in a post without bullets.
     """
-    every = posts.select("post_id", F.explode(references(F.concat_ws("\n", "title", "body"))).alias("ref")).distinct()
-    rows = parsed.select("post_id", F.posexplode("bullets").alias("bullet", "b"))
-    inside = rows.select("post_id", "bullet", F.explode(references(F.col("b.own"))).alias("ref")).groupBy("post_id", "ref").agg(F.min("bullet").alias("inside"))
-    first = parsed.groupBy("post_id").agg(F.max(F.size("bullets") > 0).alias("has"))
-    found = every.join(inside, ["post_id", "ref"], "left").join(first, "post_id", "left")
-    return found.select("post_id", "ref", F.coalesce("inside", F.when(F.col("has"), F.lit(0))).alias("bullet"))
+    every = posts.select("post_id", F.explode(references(F.concat_ws("\n", "title", "body"))).alias("ref"), F.lit(None).cast("int").alias("bullet"), F.lit(True).alias("whole"))
+    # posts without bullets and bullets without references stay, as no filter may be put below that would parse a post again
+    rows = parsed.select("post_id", F.posexplode_outer("bullets").alias("bullet", "b")).select("post_id", "bullet", F.explode_outer(references(F.col("b.own"))).alias("ref"))
+    rows = every.unionByName(rows.select("post_id", "ref", "bullet", F.lit(False).alias("whole"))).groupBy("post_id", "ref").agg(F.min("bullet").alias("inside"), F.max("whole").alias("whole"))
+    found = rows.withColumn("first", F.min(F.when(F.col("inside").isNotNull(), 0)).over(Window.partitionBy("post_id"))).where("whole")
+    return found.select("post_id", "ref", F.when(F.col("post_id").isNotNull(), F.coalesce("inside", "first")).alias("bullet"))

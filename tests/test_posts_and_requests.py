@@ -81,3 +81,12 @@ def test_walks_of_a_tree(spark):
     assert up == {("r", 0): "r", ("x", 0): "x", **{("x", k + 1): f"n{5 - k}" for k in range(6)}, ("x", 7): "r"}
     near = {r.id: (r.hop, r.ancestor_id) for r in hierarchy.closest_flagged(docs, spark.createDataFrame([("n3",), ("n20",), ("r",)], "id string")).collect()}
     assert near["n39"] == (19, "n20") and near["n20"] == (17, "n3") and near["x"] == (3, "n3") and near["n3"] == (4, "r") and near["n0"] == (1, "r") and "r" not in near and "lost" not in near
+
+
+def test_a_post_is_parsed_once_for_all_its_references(spark):
+    df = spark.createDataFrame([(1, "t", "### A\nx\n### B\ny A.2")], "post_id int, title string, body string")
+    found = posts.harvested(df, posts.parse_posts(df))
+    assert [tuple(r) for r in found.collect()] == [(1, "A.2", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # titles and descriptions of list items, and texts of topics and of a summary
+    assert plan.count("[—–-]") == 2 and plan.count(r"\*\*([^*]+)\*\*") == 2
