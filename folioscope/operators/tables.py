@@ -65,6 +65,16 @@ def fingerprint(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(row).cast("string").alias("checksum"))
 
 
+def glossary_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """id and each term (term: lower-case words of a-z with one space between them) that a text (id, content) has as whole words, once, however the text parts them.
+
+    A text is put into words once and each term is looked for in it; its runs of words are not made, as
+    they are several times the text.
+    """
+    words = texts.select("id", F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("content"), "[^a-z]+", " ")), F.lit(" ")).alias("_words"))
+    return words.join(F.broadcast(terms.select("term").distinct()), F.expr("contains(_words, concat(' ', term, ' '))")).select("id", "term")
+
+
 def file_manifest(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
     """name, file, bytes and sha256 of every file of each folder or file (name -> path); a file is read by one task and never leaves it. Spark's reader passes over files without bytes."""
     rows = None

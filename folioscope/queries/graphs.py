@@ -58,9 +58,7 @@ def _(v):
 (SELECT unnest(['apache license', 'the', 'all rights reserved', 'licensed under the']) AS term) t WHERE contains(concat(' ', array_to_string(c.w, ' '), ' '), concat(' ', t.term, ' '))""")
 def _(v):
     terms = v.spark.createDataFrame([("apache license",), ("the",), ("all rights reserved",), ("licensed under the",)], "term string")
-    words = v.corpus.select("id", F.filter(F.split(F.lower("content"), "[^a-z]+"), lambda w: w != "").alias("w"))
-    grams = F.flatten(F.array(*[text.word_runs(F.col("w"), n) for n in (1, 2, 3)]))
-    return words.select("id", F.explode(F.array_distinct(grams)).alias("term")).join(F.broadcast(terms), "term")
+    return tables.glossary_hits(v.corpus.select("id", "content"), terms).select("id", "term")
 
 
 @query("j9_by_id_or_number", "docs", sql="SELECT r.asked, d.id FROM (SELECT unnest(['C1', 'A.1', 'A.2.6', 'S3', 'nothing']) AS asked) r JOIN docs d ON d.id = r.asked OR d.doc_no = r.asked")

@@ -85,3 +85,13 @@ def test_long_numbers_compare_as_numbers(spark):
     numbers = ["A.2", "A.010", "A.99", "A.9999999999", "A.12345678901", "A.12345678902", "A.100000000000", "A.var2"]
     df = spark.createDataFrame([(n,) for n in reversed(numbers)], "n string").orderBy(text.natural_key(F.col("n")))
     assert [r.n for r in df.collect()] == numbers
+
+
+def test_glossary_terms_are_looked_for_without_runs_of_words(spark):
+    from folioscope.operators import tables
+
+    texts = spark.createDataFrame([(1, "The  APACHE-license, the"), (2, "then apachelicense"), (3, None), (4, ""), (5, "x the"), (6, "apache\nLicense")], "id int, content string")
+    terms = spark.createDataFrame([("the",), ("apache license",), ("the",)], "term string")
+    found = tables.glossary_hits(texts, terms)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "apache license"), (1, "the"), (5, "the"), (6, "apache license")]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
