@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import stored
 
@@ -71,6 +72,15 @@ SELECT id, title, CASE WHEN ord % 7 = 0 THEN concat(content, ' edited') ELSE con
 
 #: Views that are written once for a query and read again, as its operators use them many times.
 STORED = {"sections"}
+#: A table that a view reads dealt by what all rows that it makes distinct begin with: tasks hold them once dealt, not before and after.
+DEALT = {"edges": {"lineitem": "concat('S', l_suppkey)"}}
+#: Parts into which what a task reads of such a table is dealt, so that a part's rows and their strings are small in memory however large the table is.
+PARTS = 8
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key into a number of parts that grows with the table."""
+    return df.repartition(PARTS * max(1, df.rdd.getNumPartitions()), F.expr(key))
 
 
 class Views:
@@ -91,7 +101,8 @@ class Views:
                     text = text.replace(f" {view} ", f" {{{view}}} ").replace(f" {view}\n", f" {{{view}}}\n")
                     text = text + " " if not text.endswith(view) else text[: -len(view)] + f"{{{view}}}"
                 used = [n for n in (*TABLES, *VIEWS) if f"{{{n}}}" in text]
-                made = self.spark.sql(text, **{n: getattr(self, n) for n in used})
+                keys = DEALT.get(name, {})
+                made = self.spark.sql(text, **{n: dealt(getattr(self, n), keys[n]) if n in keys else getattr(self, n) for n in used})
                 self._made[name] = stored(made, name) if name in STORED else made
         return self._made[name]
 

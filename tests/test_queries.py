@@ -63,3 +63,12 @@ def test_every_table_is_fingerprinted_the_same_in_any_order(spark, sf_dir):
 
     df = spark.read.parquet(f"{sf_dir}/orders.parquet")
     assert fingerprint(df, "o").collect() == fingerprint(df.repartition(5), "o").collect()
+
+
+@pytest.mark.parametrize("edge_type", ["supplies", "responsible_party_for"])
+def test_edges_are_made_distinct_where_they_are_dealt(spark, sf_dir, edge_type):
+    from folioscope.queries import PARTS, Views
+
+    edges = Views(spark, sf_dir).edges.where(f"edge_type = '{edge_type}'")
+    # parts whose number grows with the table, and which are not joined again
+    assert edges.rdd.getNumPartitions() == PARTS
