@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import digests
+
 
 def version_pairs(prev: DataFrame, curr: DataFrame, key: str = "id") -> DataFrame:
     """Rows of two versions side by side as structs p and c, null where a version lacks the key."""
@@ -75,14 +79,32 @@ def glossary_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(F.broadcast(terms.select("term").distinct()), F.expr("contains(_words, concat(' ', term, ' '))")).select("id", "term")
 
 
+#: Files of more bytes than that are hashed by blocks.
+WHOLE = 128 << 20
+
+
 def file_manifest(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
-    """name, file, bytes and sha256 of every file of each folder or file (name -> path); a file is read by one task and never leaves it. Spark's reader passes over files without bytes."""
-    rows = None
-    for name, path in folders.items():
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        own = files.select(F.lit(name).alias("name"), F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows
+    """name, file, bytes and sha256 of every file of each folder or file (name -> path). Spark's reader passes over files without bytes.
+
+    A file of up to ``WHOLE`` bytes is read by one task; a larger one by many, a block each (``digests.chained``), as this is called.
+    Only files that Spark's reader of lines would unpack are read whole whatever their size, and all are where OpenSSL isn't found.
+    """
+    name_of = lambda path: F.element_at(F.split(path, "/"), -1)
+    read = lambda paths: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    own = lambda name, files: files.select(F.lit(name).alias("name"), name_of("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    files = {name: read(path) for name, path in folders.items()}
+    if digests.openssl() is None:
+        return reduce(DataFrame.unionByName, [own(name, df) for name, df in files.items()])
+    large = reduce(DataFrame.unionByName, [df.where(F.col("length") > WHOLE).select(F.lit(name).alias("name"), "path", "length") for name, df in files.items()]).collect()
+    rows = [own(name, df.where(F.col("length") <= WHOLE)) for name, df in files.items()]
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    packed = {r["path"] for r in large if codecs.getCodec(spark._jvm.org.apache.hadoop.fs.Path(r["path"])) is not None}
+    rows += [own(r["name"], read(digests.plain(r["path"]))) for r in large if r["path"] in packed]
+    if lengths := {r["path"]: r["length"] for r in large if r["path"] not in packed}:
+        hashes = digests.chained(spark, lengths)
+        chained = spark.createDataFrame([(r["name"], r["path"], r["length"], hashes[r["path"]]) for r in large if r["path"] in hashes], "name string, path string, bytes long, sha256 string")
+        rows.append(chained.select("name", name_of("path").alias("file"), "bytes", "sha256"))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def merkle_roots(manifest: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Tables that change by versions: what stays, what a replay and a loss change, and files by their hashes."""
 
+import gzip
 import hashlib
 import os
+from random import Random
 
 import pytest
-from folioscope.operators import history, search, tables
+from folioscope.operators import digests, history, search, tables
 from folioscope.operators.versioned import Conflict, Versioned
 from folioscope.streaming import refresh
 from pyspark.sql import functions as F
@@ -116,6 +118,53 @@ def test_files_by_their_hashes(spark, tmp_path):
     assert rows_of(tables.changed_files(manifest.where("file <> 'f5.bin'"), pinned)) == [("t", "f1.bin", "new"), ("t", "f2.bin", "changed"), ("t", "f5.bin", "missing")]
 
 
+def test_large_files_are_hashed_by_blocks(spark, tmp_path, monkeypatch):
+    data, mark = Random(3).randbytes(40_001), b"\xef\xbb\xbf"
+    contents = {"a.bin": data, "b.bin": data + b"\n", "c.bin": mark + data, "d.bin": mark + data + b"\n\n", "e.bin": b"\n" * 9001, "f.bin": bytes(20_000), "g [x]*{y} 100%41.bin": b"\r\n" * 4000 + b"\r"}
+    contents |= {"h.bin": data.replace(b"\n", b"") + b"\n", "i.bin": b"\n" + mark + data, "k.bin": data * 3, "l.bin": data[:1000], "m.bin": data[:1001]}
+    (tmp_path / "t").mkdir()
+    for name, content in contents.items():
+        (tmp_path / "t" / name).write_bytes(content)
+    (tmp_path / "z.gz").write_bytes(gzip.compress(data[:2000]))
+    monkeypatch.setattr(tables, "WHOLE", 1000, raising=False)
+    # what holds for files of 2 GB: the reader of whole files takes none of over 4,096 bytes
+    conf = {"spark.sql.sources.binaryFile.maxLength": "4096", "spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in tables.file_manifest(spark, {"t": str(tmp_path / "t"), "z": str(tmp_path / "z.gz")}).collect())
+        spark.conf.set("spark.sql.files.maxPartitionNum", "3")  # several blocks are one part
+        again = sorted(tuple(r) for r in tables.file_manifest(spark, {"k": str(tmp_path / "t" / "k.bin")}).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.files.maxPartitionNum")
+    want = sorted(("t", n, len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items())
+    packed = (tmp_path / "z.gz").read_bytes()
+    assert got == [*want, ("z", "z.gz", len(packed), hashlib.sha256(packed).hexdigest())]
+    assert again == [("k", *next(w for w in want if w[1] == "k.bin")[1:])]
+
+
+def test_no_task_reads_more_than_a_block(spark, tmp_path):
+    content = Random(4).randbytes(50_000)
+    (tmp_path / "a.bin").write_bytes(content)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = digests._lines(spark, f"file:{tmp_path}/a.bin")
+        sizes = lines.rdd.glom().map(lambda rows: sum(len(r["value"]) + 1 for r in rows)).collect()
+        longest = max(map(len, content.split(b"\n"))) + 1
+        assert len(sizes) == 13 and max(sizes) <= 4096 + longest
+        assert digests.chained(spark, {f"file:{tmp_path}/a.bin": len(content)}).popitem()[1] == hashlib.sha256(content).hexdigest()
+        with pytest.raises(ValueError, match="50000 of 49000 bytes"):
+            digests.chained(spark, {f"file:{tmp_path}/a.bin": len(content) - 1000})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_given_tables_are_hashed_whole(spark, sf_dir):
     roots = {r.name: r for r in __import__("folioscope.catalog", fromlist=["x"]).queries()["s14_files"](spark, sf_dir).collect()}
     data = open(f"{sf_dir}/orders.parquet", "rb").read()
