@@ -106,6 +106,12 @@ class Views:
                 self._made[name] = stored(made, name) if name in STORED else made
         return self._made[name]
 
+    def kept(self, *names: str) -> dict[str, DataFrame]:
+        """Views written once, in this order; what is derived from them later reads them there."""
+        for name in names:
+            self._made[name] = stored(getattr(self, name), name)
+        return {name: self._made[name] for name in names}
+
 
 def prelude(*views: str) -> str:
     """WITH clauses that define views in SQL, those they need first."""

@@ -64,12 +64,12 @@ NEEDS = ("docs", "entities", "edges", "changes", "requests")
 
 
 def answered(v):
-    asked = v.requests.where("q IS NOT NULL").select(F.col("request_id").alias("query_id"))
+    # the views stand for tables that a corpus has; as such they are written once for all legs
+    tables = v.kept("requests", "docs", "entities", "edges", "changes")
+    asked = tables["requests"].where("q IS NOT NULL").select(F.col("request_id").alias("query_id"))
     q = v.embeddings.join(asked, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("q_vector"))
     vectors = v.embeddings.select(F.concat(F.lit("C"), "vec_id").alias("doc_id"), "embedding")
     near = search.semantic(vectors, q, 200).select(F.col("query_id").alias("request_id"), "doc_id", "score")
-    # the views stand for tables that a corpus has; as such they are written once for all legs
-    tables = {name: stored(getattr(v, name), name) for name in ("requests", "docs", "entities", "edges", "changes")}
     return tables, requests.answer(*tables.values(), near)
 
 

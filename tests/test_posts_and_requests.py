@@ -90,3 +90,23 @@ def test_a_post_is_parsed_once_for_all_its_references(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # titles and descriptions of list items, and texts of topics and of a summary
     assert plan.count("[—–-]") == 2 and plan.count(r"\*\*([^*]+)\*\*") == 2
+
+
+def test_equal_requests_are_answered_once(spark, world, monkeypatch):
+    rows = [(n, None, "Data", None, 1 + n % 3) for n in range(40)] + [(n, None, "Data", "beta", None) for n in range(40, 60)] + [(n, "acme", None, None, None) for n in range(60, 70)]
+    df = spark.createDataFrame(rows, "request_id int, entity string, target_type string, status string, k int")
+    written = {}
+    kept = requests.stored
+
+    def counted(table, name):
+        out = kept(table, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(requests, "stored", counted)
+    got = {}
+    for r in requests.answer(df, *world).orderBy("request_id", "relation", "rank").collect():
+        got.setdefault(r.request_id, []).append(r.id)
+    assert all(got[n] == ["d3", "d4", "d5"][: 1 + n % 3] for n in range(40)) and all(got[n] == ["d3", "d4"] for n in range(40, 60)) and all(got[n] == ["d4", "d3"] for n in range(60, 70))
+    # three sections of a type for each of two requests, two of an entity for one
+    assert written["found"] == 8 and written["marked"] == 7
