@@ -4,11 +4,13 @@ A version is a small table that names, for each table and bucket of keys, the fo
 its rows, and for each source of batches the last one taken. It is written beside and
 renamed into place, so readers see the old version or the new one, never a part; what a
 lost writer leaves behind is named by no version. Folders of untouched buckets are named
-again as they are.
+again as they are. A change may also be laid beside what a bucket has: its rows, and the
+keys whose older rows no longer count, so that little is written where little changes.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,8 @@ from pyspark.sql.types import StructType
 from ..session import stored
 from .tables import ledger
 
+#: Layers of keys laid beside a bucket, beyond which it is written anew.
+LAYERS = 4
 VERSION = "kind string, name string, bucket int, place string, number long"
 
 
@@ -53,9 +57,24 @@ class Versioned:
 
     def read(self, name: str, schema: StructType, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """Rows of a table in the last version or an older one, of all buckets or some; none if the table isn't there."""
-        places = [r["place"] for r in self._listed(version) if r["kind"] == "bucket" and r["name"] == name and (buckets is None or r["bucket"] in buckets)]
+        own = [r for r in self._listed(version) if r["name"] == name and (r["kind"] == "key" or buckets is None or r["bucket"] in buckets)]
+        places, gone = ([(r["number"] or 0, f"{self.root}/{r['place']}") for r in own if r["kind"] == kind] for kind in ("bucket", "gone"))
         rows = self.spark.read.schema(schema)
-        return rows.parquet(*[f"{self.root}/{p}" for p in places]) if places else self.spark.createDataFrame([], schema)
+        if not places:
+            return self.spark.createDataFrame([], schema)
+        if not gone:
+            return rows.parquet(*[p for _, p in places])
+        keys = next(json.loads(r["place"]) for r in own if r["kind"] == "key")
+        found = None
+        for number in sorted({n for n, _ in places}):  # a few layers
+            layer = rows.parquet(*[p for n, p in places if n == number])
+            if after := [p for n, p in gone if n > number]:
+                on = F.lit(True)
+                for n, k in enumerate(keys):
+                    on &= F.col(f"_k{n}").eqNullSafe(F.col(f"g.k{n}"))
+                layer = layer.withColumns({f"_k{n}": F.expr(k) for n, k in enumerate(keys)}).join(self.spark.read.parquet(*after).alias("g"), on, "left_anti").drop(*[f"_k{n}" for n in range(len(keys))])
+            found = layer if found is None else found.unionByName(layer)
+        return found
 
     def bucket(self, keys: list[Column]) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
@@ -63,7 +82,7 @@ class Versioned:
     def part(self, keys: list[Column], parts: int) -> Column:
         return F.pmod(F.xxhash64(F.lit("part"), *keys), F.lit(parts))
 
-    def replace(self, changes: dict[str, tuple[DataFrame, DataFrame, list[str]]], source: str | None = None, batch: int | None = None, appended: dict[str, DataFrame] | None = None) -> int:
+    def replace(self, changes: dict[str, tuple[DataFrame, DataFrame, list[str]]], source: str | None = None, batch: int | None = None, appended: dict[str, DataFrame] | None = None, beside: bool = False) -> int:
         """Commits a version in which rows of some keys are others, and gives its number.
 
         changes: name -> (rows, keys that lose all rows they had, SQL of the key); rows have
@@ -71,12 +90,13 @@ class Versioned:
         keys. A key's rows are in one bucket; a bucket of none of the keys is not touched. Tables in
         ``appended`` get rows beside all they have; such a table is never one of changes too.
         A batch of a source that a version has already is passed over. The expressions of a
-        table's key are the same in each call.
+        table's key are the same in each call. With ``beside`` rows that stay are not written
+        again: rows and keys of the change are laid beside them, up to ``LAYERS`` times.
         """
         if source is not None and batch is not None and (last := self.taken(source)) is not None and last >= batch:
             return self.version()
         before = self.version()
-        listed = {(r["kind"], r["name"], r["bucket"]): r for r in self._listed(before)}
+        listed = [tuple(r) for r in self._listed(before)]  # kind, name, bucket, place, number
         for name, (rows, gone, keys) in changes.items():
             key = [F.expr(k).alias(f"k{n}") for n, k in enumerate(keys)]
             own = [F.col(f"k{n}") for n in range(len(keys))]
@@ -85,29 +105,36 @@ class Versioned:
             touched = [r[0] for r in gone.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
             if not touched:
                 continue
-            had = self.read(name, rows.schema, before, touched)
-            kept = had.withColumns({f"k{n}": k for n, k in enumerate(key)})
-            on = F.lit(True)
-            for n in range(len(keys)):
-                on &= F.col(f"o.k{n}").eqNullSafe(F.col(f"g.k{n}"))
-            kept = kept.alias("o").join(gone.alias("g"), on, "left_anti").withColumn("_bucket", self.bucket([F.col(f"k{n}") for n in range(len(keys))])).drop(*[f"k{n}" for n in range(len(keys))])
             folder = f"data/{name}/{uuid.uuid4().hex}"
             # a bucket is dealt over as many tasks as there would be without buckets, by its keys
             parts = max(1, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // len(touched)))
-            rest = kept.withColumn("_part", self.part(key, parts)).unionByName(fresh.withColumn("_part", self.part(key, parts)))
+            there = {r[2] for r in listed if r[:2] == ("bucket", name)} & set(touched)
+            deepest = max([sum(r[:3] == ("gone", name, b) for r in listed) for b in there], default=0)
+            laid = beside and bool(there) and deepest < LAYERS
+            rest = fresh.withColumn("_part", self.part(key, parts))
+            if there and not laid:
+                kept = self.read(name, rows.schema, before, touched).withColumns({f"k{n}": k for n, k in enumerate(key)})
+                on = F.lit(True)
+                for n in range(len(keys)):
+                    on &= F.col(f"o.k{n}").eqNullSafe(F.col(f"g.k{n}"))
+                kept = kept.alias("o").join(gone.alias("g"), on, "left_anti").withColumn("_bucket", self.bucket([F.col(f"k{n}") for n in range(len(keys))])).drop(*[f"k{n}" for n in range(len(keys))])
+                rest = kept.withColumn("_part", self.part(key, parts)).unionByName(rest)
             rest.repartition("_bucket", "_part").drop("_part").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+            if laid:
+                gone.where(F.col("_bucket").isin(*there)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}-gone")
+                listed = [r for r in listed if r[:2] != ("key", name)] + [("key", name, -1, json.dumps(keys), None)]
+                listed += [("gone", name, b, f"{folder}-gone/_bucket={b}", before + 1) for b in touched if b in there]
+            else:
+                listed = [r for r in listed if r[0] not in ("bucket", "gone") or r[1] != name or r[2] not in touched]
             written = {int(s.getPath().getName().split("=")[1]) for s in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if s.getPath().getName().startswith("_bucket=")}
-            for b in touched:
-                listed.pop(("bucket", name, b), None)
-                if b in written:
-                    listed["bucket", name, b] = ("bucket", name, b, f"{folder}/_bucket={b}", None)
+            listed += [("bucket", name, b, f"{folder}/_bucket={b}", before + 1 if laid else None) for b in touched if b in written]
         for name, rows in (appended or {}).items():
             folder = f"data/{name}/{uuid.uuid4().hex}"
             rows.write.parquet(f"{self.root}/{folder}")
-            listed["bucket", name, -before - 1] = ("bucket", name, -before - 1, folder, None)
+            listed.append(("bucket", name, -before - 1, folder, None))
         if source is not None and batch is not None:
-            listed["batch", source, -1] = ("batch", source, -1, None, batch)
-        self._publish(before + 1, [tuple(r) for r in listed.values()])
+            listed = [r for r in listed if r[:2] != ("batch", source)] + [("batch", source, -1, None, batch)]
+        self._publish(before + 1, listed)
         return before + 1
 
     def _publish(self, number: int, rows: list[tuple]) -> None:

@@ -41,12 +41,14 @@ def _(v):
 @query("st2_streams", "curr", sql=f"""SELECT term, field, doc_id, CAST(count(*) AS BIGINT) AS tf, any_value(n) AS len FROM (
 SELECT field, doc_id, len(t) AS n, unnest(t) AS term FROM (SELECT 'title' AS field, id AS doc_id, {terms_sql('title')} AS t FROM curr UNION ALL SELECT 'content', id, {terms_sql('content')} FROM curr) x) y GROUP BY term, field, doc_id""")
 def _(v):
-    # one stream brings the earlier version in two files, the other what the later one changed, and removals
+    # one stream brings the earlier version in two files at most, the other what the later one changed, and removals
     one, other = shared_folder(v.spark, "stream-a"), shared_folder(v.spark, "stream-b")
     shape = lambda df, seq, removed: df.select("id", "title", F.lit(None).cast("string").alias("doc_no"), F.lit(None).cast("string").alias("type"), "content", "path", F.lit(seq).cast("long").alias("seq"), F.lit(removed).alias("removed"))
-    shape(v.prev, 1, False).repartition(2, "id").write.parquet(one)
+    shape(v.prev, 1, False).coalesce(2).write.parquet(one)
     lost = v.prev.join(v.curr.select("id"), "id", "left_anti")
-    same = v.curr.join(v.prev, ["id", "title", "content", "path"], "left_semi").select("id")
+    # versions are told apart by hashes, so that texts stay where they are read
+    hashed = lambda df: df.select("id", F.sha2(F.to_json(F.struct("title", "content", "path")), 256).alias("hash"))
+    same = hashed(v.curr).join(hashed(v.prev), ["id", "hash"], "left_semi").select("id")
     shape(v.curr.join(same, "id", "left_anti"), 2, False).unionByName(shape(lost, 2, True)).repartition(3, "id").write.parquet(other)
     store = Versioned(v.spark, shared_folder(v.spark, "corpus"), buckets=16)
     read = lambda path: v.spark.readStream.schema(refresh.SECTIONS).option("maxFilesPerTrigger", 2).parquet(path)

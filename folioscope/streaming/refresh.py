@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import search
 from ..operators.versioned import Versioned
-from ..session import stored
+from ..session import discard, stored
 
 SECTIONS = "id string, title string, doc_no string, type string, content string, path string, seq long, removed boolean"
 POSTINGS = "term string, field string, doc_id string, tf long, len long"
@@ -32,11 +32,11 @@ def refresh_batch(store: Versioned, rows: DataFrame, batch: int, fields: list[st
     newest = rows.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("seq", F.coalesce("removed", F.lit(False)).alias("removed"), *[c for c in columns if c not in ("id", "seq", "removed")])).alias("s"))
     newest = newest.select("id", "s.*").select(*columns)
     there = store.read("sections", schema)
-    old = there.select("id", F.col("seq").alias("_seq"), F.struct("title", "doc_no", "type", "content", "removed").alias("_old"))
-    # what only got a new number or path keeps its postings
-    told = F.struct("title", "doc_no", "type", "content", "removed")
+    # what only got a new number or path keeps its postings; texts that are there are met by their hashes alone
+    told = F.sha2(F.to_json(F.struct("title", "doc_no", "type", "content", "removed")), 256)
+    old = there.select("id", F.col("seq").alias("_seq"), told.alias("_old"))
     later = newest.join(old, "id", "left").where("_seq IS NULL OR seq > _seq")
-    later = later.withColumn("_changed", F.col("_old").isNull() | ~F.col("_old").eqNullSafe(told)).drop("_seq", "_old")
+    later = later.withColumn("_changed", F.col("_old").isNull() | (F.col("_old") != told)).drop("_seq", "_old")
     later = stored(later, "later")  # sections, postings and the keys of both read it
     blank = lambda c: F.when(~F.col("removed"), F.col(c)).alias(c)
     fresh = later.select("id", *[blank(c) for c in ("title", "doc_no", "type", "content", "path")], "seq", "removed")
@@ -46,7 +46,8 @@ def refresh_batch(store: Versioned, rows: DataFrame, batch: int, fields: list[st
     store.replace({
         "sections": (fresh.select(*columns), fresh.select(F.col("id").alias("k0")), ["id"]),
         "postings": (postings, changed.select(F.col("id").alias("k0")), ["doc_id"]),
-    }, source, batch)
+    }, source, batch, beside=True)
+    discard(later)
 
 
 def refresh(store: Versioned, streams: list[DataFrame], fields: list[str], checkpoint: str, source: str = "refresh") -> StreamingQuery:

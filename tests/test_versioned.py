@@ -253,3 +253,29 @@ def test_a_bucket_is_dealt_over_several_tasks(spark, tmp_path):
     place = store._listed(None)[0]["place"]
     assert len([f for f in os.listdir(f"{tmp_path}/t/{place}") if f.startswith("part-")]) > 1
     assert {r.id: r.v for r in store.read("t", rows.schema).collect()} == {n: "new" if n == 7 else f"v{n}" * 50 for n in range(400)}
+
+
+def test_changes_laid_beside_a_bucket_write_themselves_alone(spark, tmp_path):
+    store = Versioned(spark, f"{tmp_path}/store", buckets=4)
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, n long")
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "k0 string")
+    have = lambda version=None: {r.id: r.n for r in store.read("t", rows(("", 0)).schema, version).collect()}
+    want = {f"k{n}": n for n in range(200)}
+    store.replace({"t": (rows(*want.items()), keys(*want), ["id"])}, beside=True)
+    first = {r["place"] for r in store._listed(None) if r["kind"] == "bucket"}
+    seen = {1: dict(want)}
+    for n in range(1, 8):
+        old, new, gone = f"k{n}", f"new{n}", f"k{100 + n}"
+        store.replace({"t": (rows((old, -n), (new, n), ("k0", n)), keys(old, new, gone, "k0", None), ["id"])}, beside=True)
+        want |= {old: -n, new: n, "k0": n}
+        want.pop(gone)
+        seen[n + 1] = dict(want)
+        assert have() == want
+        if n == 1:  # the folders of rows that stay are named again, and only three rows are beside them
+            places = {r["place"] for r in store._listed(None) if r["kind"] == "bucket"}
+            assert first < places and sum(spark.read.parquet(f"{store.root}/{p}").count() for p in places - first) == 3
+    assert all(have(v) == rows_then for v, rows_then in seen.items())
+    assert max(sum(r["kind"] == "gone" and r["bucket"] == b for r in store._listed(None)) for b in range(4)) <= 4
+    # without it a touched bucket is one folder again
+    store.replace({"t": (rows(("k0", 99)), keys("k0", *[f"k{n}" for n in range(200)]), ["id"])})
+    assert have() == {"k0": 99, **{f"new{n}": n for n in range(1, 8)}} and not [r for r in store._listed(None) if r["kind"] == "gone"]
