@@ -82,7 +82,12 @@ class Versioned:
     def part(self, keys: list[Column], parts: int) -> Column:
         return F.pmod(F.xxhash64(F.lit("part"), *keys), F.lit(parts))
 
-    def replace(self, changes: dict[str, tuple[DataFrame, DataFrame, list[str]]], source: str | None = None, batch: int | None = None, appended: dict[str, DataFrame] | None = None, beside: bool = False) -> int:
+    def deal(self, rows: DataFrame, key: Column) -> DataFrame:
+        """Rows with _bucket and _part, dealt by them, so that a task has whole keys of few buckets."""
+        parts = max(1, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets))
+        return rows.withColumns({"_bucket": self.bucket([key]), "_part": self.part([key], parts)}).repartition("_bucket", "_part")
+
+    def replace(self, changes: dict[str, tuple[DataFrame, DataFrame, list[str]]], source: str | None = None, batch: int | None = None, appended: dict[str, DataFrame] | None = None, beside: bool = False, dealt: bool = False) -> int:
         """Commits a version in which rows of some keys are others, and gives its number.
 
         changes: name -> (rows, keys that lose all rows they had, SQL of the key); rows have
@@ -91,7 +96,8 @@ class Versioned:
         ``appended`` get rows beside all they have; such a table is never one of changes too.
         A batch of a source that a version has already is passed over. The expressions of a
         table's key are the same in each call. With ``beside`` rows that stay are not written
-        again: rows and keys of the change are laid beside them, up to ``LAYERS`` times.
+        again: rows and keys of the change are laid beside them, up to ``LAYERS`` times. ``dealt``
+        says that rows are in tasks of few buckets each already, as ``deal`` leaves them.
         """
         if source is not None and batch is not None and (last := self.taken(source)) is not None and last >= batch:
             return self.version()
@@ -112,14 +118,17 @@ class Versioned:
             deepest = max([sum(r[:3] == ("gone", name, b) for r in listed) for b in there], default=0)
             laid = beside and bool(there) and deepest < LAYERS
             rest = fresh.withColumn("_part", self.part(key, parts))
-            if there and not laid:
+            whole = bool(there) and not laid
+            if whole:
                 kept = self.read(name, rows.schema, before, touched).withColumns({f"k{n}": k for n, k in enumerate(key)})
                 on = F.lit(True)
                 for n in range(len(keys)):
                     on &= F.col(f"o.k{n}").eqNullSafe(F.col(f"g.k{n}"))
                 kept = kept.alias("o").join(gone.alias("g"), on, "left_anti").withColumn("_bucket", self.bucket([F.col(f"k{n}") for n in range(len(keys))])).drop(*[f"k{n}" for n in range(len(keys))])
                 rest = kept.withColumn("_part", self.part(key, parts)).unionByName(rest)
-            rest.repartition("_bucket", "_part").drop("_part").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+            if whole or not dealt:
+                rest = rest.repartition("_bucket", "_part")
+            rest.drop("_part").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
             if laid:
                 gone.where(F.col("_bucket").isin(*there)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}-gone")
                 listed = [r for r in listed if r[:2] != ("key", name)] + [("key", name, -1, json.dumps(keys), None)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import search
+from ..operators import scoring
 from ..operators.versioned import Versioned
 from ..session import discard, stored
 
@@ -29,7 +29,8 @@ def refresh_batch(store: Versioned, rows: DataFrame, batch: int, fields: list[st
         return
     schema = spark.createDataFrame([], SECTIONS).schema
     columns = [f.name for f in schema]
-    newest = rows.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("seq", F.coalesce("removed", F.lit(False)).alias("removed"), *[c for c in columns if c not in ("id", "seq", "removed")])).alias("s"))
+    # versions are dealt once, as the store's buckets are; what follows stays in its task
+    newest = store.deal(rows.where("id IS NOT NULL"), F.col("id")).groupBy("_bucket", "_part", "id").agg(F.max(F.struct("seq", F.coalesce("removed", F.lit(False)).alias("removed"), *[c for c in columns if c not in ("id", "seq", "removed")])).alias("s"))
     newest = newest.select("id", "s.*").select(*columns)
     there = store.read("sections", schema)
     # what only got a new number or path keeps its postings; texts that are there are met by their hashes alone
@@ -41,12 +42,11 @@ def refresh_batch(store: Versioned, rows: DataFrame, batch: int, fields: list[st
     blank = lambda c: F.when(~F.col("removed"), F.col(c)).alias(c)
     fresh = later.select("id", *[blank(c) for c in ("title", "doc_no", "type", "content", "path")], "seq", "removed")
     changed = later.where("_changed")
-    # texts are dealt, so that the postings of each are counted where it is
-    postings = search.postings(changed.where("NOT removed").repartition("id"), fields)
+    postings = scoring.term_counts(changed.where("NOT removed"), fields)
     store.replace({
         "sections": (fresh.select(*columns), fresh.select(F.col("id").alias("k0")), ["id"]),
         "postings": (postings, changed.select(F.col("id").alias("k0")), ["doc_id"]),
-    }, source, batch, beside=True)
+    }, source, batch, beside=True, dealt=True)
     discard(later)
 
 

@@ -162,3 +162,10 @@ def test_documents_alike_are_scored_once(spark, monkeypatch):
     one, two = np.array([0, 1, 0, 1, 1]), np.array([0, 0, 1, 1, 2])
     alike = list(search.scoring._alike(one, two, np.array([0.5, 1.0, 0.5, 1.0, 1.0]), np.array(["a"] * 4, object), 2))
     assert [(w.tolist(), d.tolist()) for _, w, _, d in alike] == [([0, 1], [0, 1]), ([1], [2])]
+
+
+def test_terms_are_counted_where_documents_are(spark):
+    docs = spark.createDataFrame([("a", "The the cat", "x É été_a b7 b7"), ("b", None, ""), ("c", "q", "日本 語 the")], "id string, title string, content string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = search.scoring.term_counts(docs, ["title", "content"])
+    assert rows(got) == rows(search.postings(docs, ["title", "content"])) and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
