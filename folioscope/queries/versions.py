@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history, tables
 from ..operators.versioned import Versioned
-from ..session import shared_folder
+from ..session import shared_folder, stored
 from ..streaming import refresh
 from . import TABLES, VIEWS, query
 from .searches import terms_sql
@@ -45,11 +45,11 @@ def _(v):
     one, other = shared_folder(v.spark, "stream-a"), shared_folder(v.spark, "stream-b")
     shape = lambda df, seq, removed: df.select("id", "title", F.lit(None).cast("string").alias("doc_no"), F.lit(None).cast("string").alias("type"), "content", "path", F.lit(seq).cast("long").alias("seq"), F.lit(removed).alias("removed"))
     shape(v.prev, 1, False).coalesce(2).write.parquet(one)
-    lost = v.prev.join(v.curr.select("id"), "id", "left_anti")
-    # versions are told apart by hashes, so that texts stay where they are read
+    # versions are told apart by hashes, and the ids of what changed are written, so that texts stay where they are read
     hashed = lambda df: df.select("id", F.sha2(F.to_json(F.struct("title", "content", "path")), 256).alias("hash"))
-    same = hashed(v.curr).join(hashed(v.prev), ["id", "hash"], "left_semi").select("id")
-    shape(v.curr.join(same, "id", "left_anti"), 2, False).unionByName(shape(lost, 2, True)).repartition(3, "id").write.parquet(other)
+    changed = stored(hashed(v.curr).join(hashed(v.prev), ["id", "hash"], "left_anti").select("id"), "changed")
+    lost = stored(v.prev.select("id").join(v.curr.select("id"), "id", "left_anti"), "lost")
+    shape(v.curr.join(changed, "id", "left_semi"), 2, False).unionByName(shape(v.prev.join(lost, "id", "left_semi"), 2, True)).repartition(3, "id").write.parquet(other)
     store = Versioned(v.spark, shared_folder(v.spark, "corpus"), buckets=16)
     read = lambda path: v.spark.readStream.schema(refresh.SECTIONS).option("maxFilesPerTrigger", 2).parquet(path)
     refresh.refresh(store, [read(one), read(other)], ["title", "content"], shared_folder(v.spark, "refresh-state")).awaitTermination()
